@@ -33,3 +33,24 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def text_column(df: DataFrame, name: str = "text"):
     """The text, an empty string for null."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def per_text(docs: DataFrame, columns: str, score, key: str = "doc_id") -> DataFrame:
+    """key and, from Arrow batches of whole texts (null: empty), the given columns, each a list or array of score(texts).
+
+    Keys pass through as Arrow, so nulls and large ids stay exact.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = dict(docs.select(key).dtypes)[key]
+    schema = StructType.fromDDL(f"{key} {kind}, {columns}")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            found = score(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), *(pa.array(v, type=f.type) for v, f in zip(found, list(arrow)[1:], strict=True))], schema=arrow)
+
+    return docs.select(key, text_column(docs).alias("text")).mapInArrow(run, schema)
