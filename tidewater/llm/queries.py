@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from .common import table
+import uuid
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from .common import shared_dir, table
 from .line_rules import judged
+from .piece_codec import digests
 from .sharding import shard_documents
+from .token_index import documents_of, read_segments, write_segments
+from .url_rules import judge_urls
 
 
 def op1_virtual_slot_sharding(spark, sf_dir):
@@ -15,6 +23,44 @@ def op9_line_first_cleaning(spark, sf_dir):
     return judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_virtual_slot_sharding, op9_line_first_cleaning)}
+def op4_perfect_hash_index(spark, sf_dir):
+    path = f"{shared_dir(spark)}/tidewater/segments-{uuid.uuid4().hex}"
+    write_segments(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return documents_of(read_segments(spark, path))
+
+
+#: Fixed by the query's contract: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op7_url_range_join(spark, sf_dir):
+    rules = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in URL_RULES))))
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op10_piece_codec(spark, sf_dir):
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_virtual_slot_sharding, op4_perfect_hash_index, op7_url_range_join, op9_line_first_cleaning, op10_piece_codec)
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_url_range_join": r"""
+        WITH rest AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS r
+            FROM pages),
+        parts AS (
+            SELECT page_id, translate(regexp_extract(r, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   substr(coalesce(r, ''), length(regexp_extract(coalesce(r, ''), '^[^/]*')) + 1) AS path
+            FROM rest),
+        rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+        fits AS (
+            SELECT page_id, host, path, h || p AS rule, v,
+                   row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS k
+            FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+        SELECT a.page_id, coalesce(a.host, '') AS host, a.path, f.rule, coalesce(f.v, 'allow') AS verdict
+        FROM parts a LEFT JOIN fits f ON f.page_id = a.page_id AND f.k = 1""",
+}
