@@ -79,25 +79,29 @@ class Words:
         return np.diff(self.first)
 
 
-def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle codes of each text, sorted within it, and each text's first. A text of fewer words is one shingle."""
-    n, codes = len(words.codes), words.codes
-    count = words.counts()
-    of = np.repeat(np.arange(len(count)), count)
+def shingles(words: Words, size: int) -> list[np.ndarray]:
+    """The sorted distinct shingle codes of each text. A text of fewer words is one shingle, one without words has none."""
+    codes, n = words.codes, len(words.codes)
     with np.errstate(over="ignore"):
-        if n >= size:
-            whole = sum((codes[k : n - size + 1 + k] * powers(size + 1)[0][k] for k in range(size)), np.zeros(n - size + 1, U64))
+        weights = powers(size)[0]
+        whole = mix(sum((codes[k : n - size + 1 + k] * weights[k] for k in range(size)), np.full(n - size + 1, U64(1)))) if n >= size else np.zeros(0, U64)
+    out = []
+    for start, end in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        if end - start >= size:
+            own = np.sort(whole[start : end - size + 1])
+            fresh = np.empty(len(own), bool)
+            fresh[0] = True
+            np.not_equal(own[1:], own[:-1], out=fresh[1:])
+            out.append(own[fresh])
+        elif end > start:
+            code = sum(int(c) * pow(int(BASE), k, 1 << 64) for k, c in enumerate(codes[start:end])) + ((end - start) << 56)
+            out.append(mix(np.array([code & (1 << 64) - 1], U64)))
         else:
-            whole = np.zeros(0, U64)
-        inside = of[: len(whole)] == of[size - 1 :] if n >= size else np.zeros(0, bool)
-        found, owner = mix(whole[inside] + U64(1)), of[: len(whole)][inside]
-        short = np.flatnonzero((count > 0) & (count < size))
-        if len(short):
-            extra = np.array([sum(int(codes[words.first[d] + k]) * pow(int(BASE), k, 1 << 64) for k in range(count[d])) + (int(count[d]) << 56) & (1 << 64) - 1 for d in short], U64)
-            found, owner = np.concatenate([found, mix(extra + U64(2))]), np.concatenate([owner, short])
-    order = np.lexsort((found, owner))
-    found, owner = found[order], owner[order]
-    fresh = np.ones(len(found), bool)
-    fresh[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-    found, owner = found[fresh], owner[fresh]
-    return found, np.searchsorted(owner, np.arange(len(count) + 1))
+            out.append(np.zeros(0, U64))
+    return out
+
+
+def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """Shingle sets of any number of texts, slice by slice."""
+    for a, b in slices(texts):
+        yield from shingles(Words(texts[a:b]), size)

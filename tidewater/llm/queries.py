@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 from .line_rules import judged
+from .parity_join import linked_documents
 from .piece_codec import digests
 from .sharding import shard_documents
 from .token_index import documents_of, read_segments, write_segments
@@ -29,6 +30,10 @@ def op4_perfect_hash_index(spark, sf_dir):
     return documents_of(read_segments(spark, path))
 
 
+def op6_parity_sketch_join(spark, sf_dir):
+    return linked_documents(table(spark, sf_dir, "documents"))
+
+
 #: Fixed by the query's contract: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -44,10 +49,28 @@ def op10_piece_codec(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_virtual_slot_sharding, op4_perfect_hash_index, op7_url_range_join, op9_line_first_cleaning, op10_piece_codec)
+    for f in (op1_virtual_slot_sharding, op4_perfect_hash_index, op6_parity_sketch_join, op7_url_range_join, op9_line_first_cleaning, op10_piece_codec)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_parity_sketch_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+            FROM words, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN both_ways l ON l.x = r.node)
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+        FROM documents d LEFT JOIN sizes s USING (doc_id)
+        JOIN (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)""",
     "op7_url_range_join": r"""
         WITH rest AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS r
