@@ -72,7 +72,7 @@ class Words:
         self.first = np.searchsorted(self.starts, self.begins)  # first word of each text
         up, down = powers(len(buf) + 1)
         with np.errstate(over="ignore"):
-            run = np.concatenate([np.zeros(1, U64), np.cumsum(BYTE_CODES[buf] * up[: len(buf)], dtype=U64)])
+            run = self.run = np.concatenate([np.zeros(1, U64), np.cumsum(BYTE_CODES[buf] * up[: len(buf)], dtype=U64)])
             self.codes = mix((run[self.ends] - run[self.starts]) * down[self.starts])
 
     def counts(self) -> np.ndarray:

@@ -7,6 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from . import quality_knn, toxicity_gru
 from .common import shared_dir, table
 from .line_rules import judged
 from .parity_join import linked_documents
@@ -24,12 +25,20 @@ def op9_line_first_cleaning(spark, sf_dir):
     return judged(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_knn(spark, sf_dir):
+    return quality_knn.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_perfect_hash_index(spark, sf_dir):
     path = f"{shared_dir(spark)}/tidewater/segments-{uuid.uuid4().hex}"
     write_segments(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
     return documents_of(read_segments(spark, path))
 
 
+def op5_toxicity_gru(spark, sf_dir):
+    return toxicity_gru.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_parity_sketch_join(spark, sf_dir):
     return linked_documents(table(spark, sf_dir, "documents"))
 
@@ -49,7 +58,16 @@ def op10_piece_codec(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_virtual_slot_sharding, op4_perfect_hash_index, op6_parity_sketch_join, op7_url_range_join, op9_line_first_cleaning, op10_piece_codec)
+    for f in (
+        op1_virtual_slot_sharding,
+        op2_quality_knn,
+        op4_perfect_hash_index,
+        op5_toxicity_gru,
+        op6_parity_sketch_join,
+        op7_url_range_join,
+        op9_line_first_cleaning,
+        op10_piece_codec,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
