@@ -13,6 +13,7 @@ from .line_rules import judged
 from .parity_join import linked_documents
 from .piece_codec import digests
 from .sharding import shard_documents
+from .style_tree import main_texts
 from .token_index import documents_of, read_segments, write_segments
 from .url_rules import judge_urls
 
@@ -52,6 +53,10 @@ def op7_url_range_join(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_site_style_tree(spark, sf_dir):
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_piece_codec(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -65,6 +70,7 @@ QUERIES = {
         op5_toxicity_gru,
         op6_parity_sketch_join,
         op7_url_range_join,
+        op8_site_style_tree,
         op9_line_first_cleaning,
         op10_piece_codec,
     )
