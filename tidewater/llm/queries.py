@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import quality_knn, toxicity_gru
 from .common import shared_dir, table
+from .decontaminate import contaminated
 from .line_rules import judged
 from .parity_join import linked_documents
 from .piece_codec import digests
@@ -30,6 +31,10 @@ def op2_quality_knn(spark, sf_dir):
     return quality_knn.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pigeonhole_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_perfect_hash_index(spark, sf_dir):
     path = f"{shared_dir(spark)}/tidewater/segments-{uuid.uuid4().hex}"
     write_segments(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
@@ -66,6 +71,7 @@ QUERIES = {
     for f in (
         op1_virtual_slot_sharding,
         op2_quality_knn,
+        op3_pigeonhole_decontamination,
         op4_perfect_hash_index,
         op5_toxicity_gru,
         op6_parity_sketch_join,
