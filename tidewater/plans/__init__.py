@@ -1 +1,3 @@
-"""Plans of the engine."""
+"""Plans of the engine: importing this package registers all queries."""
+
+from . import aggregating, basics, joining  # noqa: F401
