@@ -12,8 +12,11 @@ enough spare pieces that linked documents also agree in one that is not empty; a
 empty pieces than spares sends its empty ones too, as both of such a pair do.
 
 Rounds. Documents that agree in a piece form a bucket. (1) Each document is checked against one
-pivot, the bucket-mate of lowest id it shares most pieces with. (2) Within buckets that still have
-several components, sketches are compared in blocks and what passes is checked. A check compares
+pivot: of each of its buckets the hub, the member with most mates over all buckets, and of these the
+one it shares most pieces with. Around a much copied text that is the original, so most of a group
+is one component after this round. (2) In buckets that still hold several components, sketches are
+compared in blocks; each document is checked against the nearest of every other component, and (3)
+against all the others that sketches leave open. A check compares
 the shingle sets themselves. Links inside one component add nothing, so groups of copies never
 become all pairs; exact copies (equal sets) are one node from the start.
 
@@ -43,6 +46,8 @@ SHINGLE = 5
 PERCENT = 80
 BAND = 1.25
 BLOCK = 512
+#: Bits of a sketch for each shingle, at least: fewer bits let more pairs just over the bound through to the check.
+SKETCH_BITS = 6
 #: A candidate table of at most so many rows is broadcast to the scan of texts; a larger one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 FLUSH_KEYS = 1 << 21
@@ -92,7 +97,7 @@ def pieces_of(codes: np.ndarray, band: int, percent: int) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    return max(64, 1 << (2 * n - 1).bit_length())
+    return max(64, 1 << (SKETCH_BITS * n - 1).bit_length())
 
 
 def sketch(codes: np.ndarray) -> bytes:
@@ -110,8 +115,8 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def close(one: list[bytes], other: list[bytes], sizes: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs (one[i], other[k]) their sketches and sizes don't rule out, as a matrix."""
-    out = np.zeros((len(one), len(other)), bool)
+    """Hamming distances of the pairs (one[i], other[k]) that sketches and sizes don't rule out, -1 for the others."""
+    out = np.full((len(one), len(other)), -1, np.int64)
     lengths, lengths2 = np.array([len(x) for x in one]), np.array([len(x) for x in other])
     for a in np.unique(lengths):
         for b in np.unique(lengths2):
@@ -123,9 +128,9 @@ def close(one: list[bytes], other: list[bytes], sizes: np.ndarray, others: np.nd
             right = folded(np.frombuffer(b"".join(other[x] for x in k), U64).reshape(len(k), -1), words)
             for row, x in enumerate(i):
                 apart = np.bitwise_count(left[row] ^ right).sum(axis=1, dtype=np.int64)
-                out[x, k] = apart * (100 + percent) <= (100 - percent) * (sizes[x] + others[k])
+                out[x, k] = np.where(apart * (100 + percent) <= (100 - percent) * (sizes[x] + others[k]), apart, -1)
     small, large = np.minimum(sizes[:, None], others), np.maximum(sizes[:, None], others)
-    return out & (100 * small >= percent * large)
+    return np.where(100 * small >= percent * large, out, -1)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -201,7 +206,7 @@ def packed_pieces(docs: DataFrame, deals: int, size: int, percent: int) -> DataF
 
 
 def buckets(pieces: DataFrame, deals: int) -> DataFrame:
-    """bucket, set_id, pivot (the lowest set_id) and members of sets that agree in a piece. Equal buckets of a task come once, with times."""
+    """bucket, set_id and members of sets that agree in a piece. Equal buckets of a task come once, with times."""
 
     def run(batches):
         keys, ids = [], []
@@ -233,22 +238,27 @@ def buckets(pieces: DataFrame, deals: int) -> DataFrame:
         wanted = count > 1
         starts, count, name, times = starts[wanted], count[wanted], name[wanted], times[wanted]
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else np.zeros(0, np.int64)
-        columns = (np.repeat(name.view(np.int64), count), own[at], np.repeat(own[starts], count), np.repeat(count, count), np.repeat(times, count))
+        columns = (np.repeat(name.view(np.int64), count), own[at], np.repeat(count, count), np.repeat(times, count))
         for k in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000].astype(np.int64)) for c in columns], names=["bucket", "set_id", "pivot", "members", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000].astype(np.int64)) for c in columns], names=["bucket", "set_id", "members", "times"])
 
-    return pieces.repartition(deals, "deal").mapInArrow(run, "bucket long, set_id long, pivot long, members long, times long")
+    return pieces.repartition(deals, "deal").mapInArrow(run, "bucket long, set_id long, members long, times long")
 
 
 def pivots(found: DataFrame) -> DataFrame:
-    """For every set the lowest bucket-mate that it shares most pieces with."""
-    counted = found.where(F.col("set_id") != F.col("pivot")).groupBy("set_id", "pivot").agg(F.sum("times").alias("times"))
-    return counted.groupBy("set_id").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("pivot"))
+    """For every set that hub of its buckets that it shares most pieces with."""
+    degree = found.groupBy("set_id").agg(F.sum(F.col("times") * (F.col("members") - 1)).alias("degree"))
+    ranked = found.select("bucket", "set_id", "times").join(degree, "set_id")
+    hubs = ranked.groupBy("bucket").agg(F.max_by("set_id", F.struct("degree", "set_id")).alias("pivot"))
+    stars = ranked.join(hubs, "bucket").where(F.col("set_id") != F.col("pivot"))
+    counted = stars.groupBy("set_id", "pivot").agg(F.sum("times").alias("times"))
+    return counted.groupBy("set_id").agg(F.max_by("pivot", F.struct("times", "pivot")).alias("pivot"))
 
 
 def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, deals: int, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are similar. Pairs are grouped by a in blocks; a set goes once to each group."""
-    blocked = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("block"))
+    """The pairs (a, b) of set ids whose sets are similar. Pairs are grouped by one of them, `by`, in blocks; a set goes once to each group."""
+    other = F.when(F.col("by") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    blocked = pairs.select(F.col("by").alias("a"), other.alias("b")).withColumn("block", F.pmod(F.xxhash64("b"), F.lit(64)))
     group = F.xxhash64("a", "block")
     sent = blocked.select(F.col("b").alias("set_id"), group.alias("group"), F.lit(1).alias("role"), F.col("a").alias("pivot"))
     sent = sent.unionByName(blocked.select(F.col("a").alias("set_id"), group.alias("group"), F.lit(0).alias("role"), F.col("a").alias("pivot")).distinct())
@@ -278,8 +288,8 @@ def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, deals: int, siz
                 if role == 0:
                     pivot, codes = group, now
                 elif pivot == group and similar(codes, now, percent):
-                    a.append(group[1])
-                    out.append(own)
+                    a.append(min(group[1], own))
+                    out.append(max(group[1], own))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(out, pa.int64())], names=["a", "b"])
 
     dealt = joined.mapInArrow(sets, "group long, role int, pivot long, set_id long, codes binary")
@@ -287,8 +297,11 @@ def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, deals: int, siz
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, deals: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that their sketches don't rule out, bucket by bucket in blocks."""
+def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, deals: int, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket that their sketches don't rule out, bucket by bucket in blocks.
+
+    nearest: for each set and other component only the set nearest to it.
+    """
     labelled = found.join(labels, found["set_id"] == labels["node"], "left").select("bucket", "set_id", "members", F.coalesce("label", "set_id").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("bucket")
     open_ = labelled.join(mixed, "bucket").dropDuplicates(["bucket", "set_id"]).join(nodes.select("set_id", "n_shingles", "sketch"), "set_id")
@@ -301,9 +314,14 @@ def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, deals:
         _, i, k = group
         left, right = [r for r in rows if r[0] == i], [r for r in rows if r[0] == k]
         ok = close([r[4] for r in left], [r[4] for r in right], np.array([r[3] for r in left]), np.array([r[3] for r in right]), percent)
-        ok &= np.array([r[2] for r in left])[:, None] != np.array([r[2] for r in right])
+        label, label2 = np.array([r[2] for r in left]), np.array([r[2] for r in right])
         ids, ids2 = np.array([r[1] for r in left]), np.array([r[1] for r in right])
-        x, y = np.nonzero(ok & (ids[:, None] != ids2))
+        x, y = np.nonzero((ok >= 0) & (label[:, None] != label2))
+        if nearest and len(x):
+            order = np.lexsort((ids2[y], ok[x, y], label2[y], x))
+            x, y = x[order], y[order]
+            first = np.concatenate([[True], (x[1:] != x[:-1]) | (label2[y[1:]] != label2[y[:-1]])])
+            x, y = x[first], y[first]
         return np.minimum(ids[x], ids2[y]).tolist(), np.maximum(ids[x], ids2[y]).tolist()
 
     def run(batches):
@@ -335,11 +353,14 @@ def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     nodes = written(known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
     found = written(buckets(packed_pieces(docs, deals, size, percent), deals), "buckets")
 
-    first = pivots(found).select(F.col("pivot").alias("a"), F.col("set_id").alias("b"))
-    links = written(checked(docs, nodes, first, deals, size, percent), "links")
-    labels = components(links, "a", "b")
-    rest = written(split_buckets(found, nodes, labels, deals, percent).join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(checked(docs, nodes, rest, deals, size, percent))
+    pairs = written(pivots(found).select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"), F.col("pivot").alias("by")).dropDuplicates(["a", "b"]), "pairs")
+    links = written(checked(docs, nodes, pairs, deals, size, percent), "links")
+    for nearest in (True, False):
+        labels = components(links, "a", "b")
+        more = split_buckets(found, nodes, labels, deals, percent, nearest).join(pairs, ["a", "b"], "left_anti")
+        more = written(more.withColumn("by", F.col("a")), "pairs")
+        links = written(links.unionByName(checked(docs, nodes, more, deals, size, percent)), "links")
+        pairs = pairs.unionByName(more)
 
     rep = nodes.select("set_id", "rep")
     named = links.join(rep.withColumnsRenamed({"set_id": "a", "rep": "x"}), "a").join(rep.withColumnsRenamed({"set_id": "b", "rep": "y"}), "b")
