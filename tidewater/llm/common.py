@@ -54,3 +54,18 @@ def per_text(docs: DataFrame, columns: str, score, key: str = "doc_id") -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), *(pa.array(v, type=f.type) for v, f in zip(found, list(arrow)[1:], strict=True))], schema=arrow)
 
     return docs.select(key, text_column(docs).alias("text")).mapInArrow(run, schema)
+
+
+def kept_rows(docs: DataFrame, keep, text: str = "text") -> DataFrame:
+    """The rows whose whole text (null: empty) keep(texts) holds true for. Rows pass through as they are: nothing is joined or shuffled."""
+    import numpy as np
+    import pyarrow as pa
+
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(np.asarray(keep(texts), bool)))
+
+    return docs.mapInArrow(run, docs.schema)

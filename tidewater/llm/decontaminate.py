@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import kept_rows, text_column
 from .hashing import U64, Words, mix, powers, slices
 from .toxicity_gru import MARKS
 
@@ -169,6 +169,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = ERROR_PER
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = ERROR_PERCENT) -> DataFrame:
+    """docs without the rows whose text holds an item."""
+    for ids, texts in item_blocks(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
+        state: dict[str, Items] = {}
+
+        def clean(texts, shared=shared, state=state):
+            if "items" not in state:
+                state["items"] = Items(*shared.value, percent)
+            raw = lowered(texts)
+            out = np.ones(len(raw), bool)
+            for a, z in slices(raw):
+                for t, _, _ in held(state["items"], raw[a:z]):
+                    out[a + t] = False
+            return out
+
+        docs = kept_rows(docs, clean)
+    return docs

@@ -373,7 +373,20 @@ def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     )
 
 
+def small(ids: DataFrame, what: str) -> tuple[DataFrame, bool]:
+    """ids as a written table, broadcast to joins up to BROADCAST_ROWS rows, and whether it has any."""
+    ids = written(ids, what)
+    n = ids.count()
+    return (F.broadcast(ids) if n <= BROADCAST_ROWS else ids), n > 0
+
+
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component: the one of least doc_id, and one row of it."""
-    kept = linked_documents(docs, size, percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """docs with one document of each component, the one of least doc_id, and one row of it. Rows without doc_id stay."""
+    linked = linked_documents(docs, size, percent)
+    rows = written(linked.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("n")), "kept")
+    gone, _ = small(rows.where(~F.col("first")).select("doc_id"), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated, any_repeated = small(rows.where("first AND n > 1").select("doc_id"), "repeated")
+    if any_repeated:
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)

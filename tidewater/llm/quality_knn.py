@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import kept_rows, per_text
 from .hashing import U64, Words, mix, slices
 from .labels import held_out, sample
 
@@ -140,6 +140,6 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
 
 
 def good_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that the vote rejects. All rows of a doc_id are judged by their texts together: one good text keeps it."""
-    kept = scored(docs, labels).where(F.col("predicted") == 1).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """docs without the rows whose text the vote rejects."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    return kept_rows(docs, lambda texts: vote(model.value, [t.encode() for t in texts]) >= 0.5)

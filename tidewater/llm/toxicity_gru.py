@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import kept_rows, per_text
 from .hashing import U64, Words, mix, powers, slices
 from .labels import held_out, sample
 
@@ -62,6 +62,20 @@ class Inputs:
         self.windows = np.where(np.arange(WINDOW) < self.sizes[:, None], padded[np.minimum(at, len(self.of_word))], len(codes))
 
 
+class Merged(Inputs):
+    """The same over any number of texts, read slice by slice to bound memory; a word may have a row for each slice."""
+
+    def __init__(self, texts: list[bytes]):
+        parts = [(a, Inputs(texts[a:b])) for a, b in slices(texts)]
+        sizes = np.array([len(x.words) for _, x in parts])
+        total, before = int(sizes.sum()), np.cumsum(sizes) - sizes
+        self.words = np.concatenate([x.words for _, x in parts])
+        self.grams = np.concatenate([x.grams for _, x in parts])
+        self.text = np.concatenate([x.text + a for a, x in parts])
+        self.sizes = np.concatenate([x.sizes for _, x in parts])
+        self.windows = np.concatenate([np.where(x.windows == n, total, x.windows + k) for (_, x), n, k in zip(parts, sizes, before, strict=True)])
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
@@ -202,7 +216,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> dict[str, np.
     if len(set(labels.tolist())) < 2:
         return None
     p, rng = new_parameters(seed), np.random.default_rng(seed)
-    x = Inputs(texts)
+    x = Merged(texts)
     order = rng.permutation(len(x.text))
     order = order[np.argsort(x.text[order], kind="stable")]  # by text, windows in random order
     nth = np.arange(len(order)) - np.searchsorted(x.text[order], x.text[order])
@@ -291,6 +305,6 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
 
 
 def clean_only(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that any row of their doc_id makes toxic."""
-    out = scored(docs, labels).where(F.col("predicted") == 1).select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose text is toxic."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    return kept_rows(docs, lambda texts: scores(model.value, [t.encode() for t in texts]) < 0.5)
