@@ -22,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,19 @@ NULL_KEY = -(1 << 63)
 WORD_AND_MARKS = re.compile(r"([^\W\d_]*[^\W\d_İ])([.,!?&$%*#|:;]+)")
 
 
+MARKS_ALONE = re.compile(r"[.,!?&$%*#|:;]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others, in turn, as characters from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class WordTokenizer:
     """Ids of whole texts by the tokenizers library, which sees each distinct word once.
 
@@ -55,38 +69,48 @@ class WordTokenizer:
         self.ids: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    @staticmethod
+    def plain(part: str) -> str | None:
+        """The part as the tokenizer's merges see it, if normalizing changes nothing and it is one word: letters alone or marks alone."""
+        if part.isascii():
+            return part if part.isalpha() or MARKS_ALONE.fullmatch(part) else None
+        if part.isalpha() and is_normalized("NFC", part) and part == part.lower():
+            return part.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return None
+
     def learn(self, chunks: set[str]) -> None:
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         if len(self.ids) > KEPT_WORDS:
             self.ids.clear()
         cut = {c: m.groups() if (m := WORD_AND_MARKS.fullmatch(c)) else (c,) for c in chunks}
-        cut = {c: tuple(p.lower() if p.isascii() else p for p in parts) for c, parts in cut.items()}
-        new = list({p for parts in cut.values() for p in parts} - self.ids.keys())
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.ids[p] = np.array(e.ids, "<u4").tobytes()
+        cut = {c: tuple(p if "Σ" in p or "İ" in p or not is_normalized("NFC", p) else p.lower() for p in parts) for c, parts in cut.items()}
+        odd = []
+        for p in {p for parts in cut.values() for p in parts if p not in self.ids}:
+            mapped = self.plain(p)
+            if mapped is None:
+                odd.append(p)
+            else:  # one word to the tokenizer: only its merges are left to do
+                self.ids[p] = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+        for p, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
+            self.ids[p] = np.array(e.ids, "<u4").tobytes()
         ids = self.ids
         self.words.update((c, b"".join([ids[p] for p in parts])) for c, parts in cut.items())
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers, then end."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.words.keys()
-        missing: set[str] = set()
-        for words in split:
-            missing.update(w for w in words if w not in known)
-        if missing:
-            self.learn(missing)
-        get = self.words.get
-        out = []
-        for words in split:
-            found = [get(w) for w in words]
-            if None in found:  # the table was emptied meanwhile
+        get, out = self.words.get, []
+        for t in texts:
+            words = t.replace("\n", " ").split(" ")
+            found = list(map(get, words))
+            if None in found:
                 self.learn({w for w, f in zip(words, found, strict=True) if f is None})
-                found = [get(w) for w in words]
-            out.append(b"".join(found) + end)
+                found = list(map(get, words))
+                if None in found:  # the table was emptied meanwhile
+                    self.learn(set(words))
+                    found = list(map(get, words))
+            found.append(end)
+            out.append(b"".join(found))
         return out
 
 
