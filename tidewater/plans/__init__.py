@@ -1,3 +1,3 @@
 """Plans of the engine: importing this package registers all queries."""
 
-from . import aggregating, basics, joining  # noqa: F401
+from . import aggregating, analysing, basics, joining, scalars, streams, windowing  # noqa: F401
