@@ -56,8 +56,10 @@ def rebalance(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
     in_shard = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         slot_map.join(loads, "virtual_slot")
-        .withColumn("fair", F.sum("bytes").over(Window.partitionBy()) / shards)
-        .withColumn("stays", (F.col("shard") < shards) & (F.sum("bytes").over(in_shard) <= F.col("fair")))
+        .withColumn("mean", F.sum("bytes").over(Window.partitionBy()) / shards)
+        .withColumn("giant", F.col("bytes") > F.col("mean"))  # fills a shard of its own; the others share the rest
+        .withColumn("fair", F.sum(F.when(~F.col("giant"), F.col("bytes"))).over(Window.partitionBy()) / F.greatest(F.lit(1), shards - F.count_if("giant").over(Window.partitionBy())))
+        .withColumn("stays", (F.col("shard") < shards) & ~F.col("giant") & (F.sum("bytes").over(in_shard) <= F.col("fair")))
     )
     folded = placed.agg(
         F.max("version").alias("version"),

@@ -12,7 +12,7 @@ which is at most one more copy for each range and nesting depth. So no task gets
 and no rule set is broadcast.
 
 Edge cases: a null url or one without "://" has empty host and path, and only rules with an empty
-host fit it; such a rule fits every host; of equal rules a block wins; repeated pages are judged
+host fit it; such a rule fits every host; of rules of equal length a block wins; repeated pages are judged
 one by one; an empty rule table gives every page the default; empty pages give no rows; other
 columns of either table are ignored.
 """
@@ -74,7 +74,7 @@ def sweep(batches: Iterator[pd.DataFrame], default: str) -> Iterator[pd.DataFram
             best = (-1, None, default)
             for _, paths in stack:
                 for start in paths if len(paths) <= len(path) else (path[:n] for n in range(len(path) + 1)):
-                    if path.startswith(start) and start in paths and paths[start][0] > best[0]:
+                    if path.startswith(start) and start in paths and (paths[start][0], paths[start][2] == "block") > (best[0], best[2] == "block"):
                         best = paths[start]
             out.append((page_id, host, path, best[1], best[2]))
         yield pd.DataFrame(out, columns=["page_id", "host", "path", "rule", "verdict"])
