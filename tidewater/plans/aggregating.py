@@ -147,8 +147,8 @@ def agg_min_obs(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(rows().alias("n"), F.round(F.avg("value"), 6).alias("m")).where("n >= 60").drop("n")
 
 
-@query("agg_two_level", "SELECT l_suppkey, round(sum(l_quantity), 2) AS q, count(*) AS n FROM lineitem GROUP BY 1")
-def agg_two_level(spark, d):
+@query("agg_two_phase", "SELECT l_suppkey, round(sum(l_quantity), 2) AS q, count(*) AS n FROM lineitem GROUP BY 1")
+def agg_two_phase(spark, d):
     parts = table(spark, d, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("part")).agg(F.sum("l_quantity").alias("q"), rows().alias("n"))
     return parts.groupBy("l_suppkey").agg(F.round(F.sum("q"), 2).alias("q"), F.sum("n").alias("n"))
 

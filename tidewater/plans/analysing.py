@@ -346,9 +346,9 @@ def monotonicity(spark, d):
     return table(spark, d, "lineitem").groupBy("l_suppkey").agg(upto(40, "a"), upto(20, "b"), upto(10, "c")).agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("a") >= F.col("b")) & (F.col("b") >= F.col("c"))).alias("ok"))
 
 
-@query("partner_balance", """WITH t AS (SELECT n_name, year(o_orderdate) AS y, sum(l_extendedprice * (1 - l_discount)) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+@query("facts_partner_balance", """WITH t AS (SELECT n_name, year(o_orderdate) AS y, sum(l_extendedprice * (1 - l_discount)) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
     r AS (SELECT *, v / sum(v) OVER (PARTITION BY y) AS share, row_number() OVER (PARTITION BY y ORDER BY v DESC, n_name) AS k FROM t) SELECT y, n_name, round(v, 2) AS v, round(share, 8) AS share, k FROM r WHERE k <= 8""")
-def partner_balance(spark, d):
+def facts_partner_balance(spark, d):
     line = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("y"))
     who = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")

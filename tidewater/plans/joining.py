@@ -236,9 +236,9 @@ def point_in_polygon(spark, d):
     return c.where(inside_box).where(J.in_polygon(F.col("x"), F.col("y"), RING)).select("id")
 
 
-@query("reconcile_names", """WITH a AS (SELECT n_nationkey AS k, n_name FROM nation), b AS (SELECT n_nationkey AS code, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) || ' ' ELSE n_name END AS name FROM nation WHERE n_nationkey <> 4)
+@query("reconcile_two_stage", """WITH a AS (SELECT n_nationkey AS k, n_name FROM nation), b AS (SELECT n_nationkey AS code, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) || ' ' ELSE n_name END AS name FROM nation WHERE n_nationkey <> 4)
     SELECT a.k, b.code, CASE WHEN a.n_name = b.name THEN 'exact' ELSE 'normalised' END AS how FROM a JOIN b ON lower(trim(a.n_name)) = lower(trim(b.name))""")
-def reconcile_names(spark, d):
+def reconcile_two_stage(spark, d):
     a = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
     b = table(spark, d, "nation").where("n_nationkey <> 4").select(F.col("n_nationkey").alias("code"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lower("n_name"), F.lit(" "))).otherwise(F.col("n_name")).alias("name"))
     exact = a.join(b, F.col("n_name") == F.col("name")).select("k", "code", F.lit("exact").alias("how"))

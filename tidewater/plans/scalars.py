@@ -285,10 +285,10 @@ def pii_scan(spark, d):
     return table(spark, d, "documents").select("doc_id", n("[A-Za-z0-9._]+@[A-Za-z0-9.]+").alias("mails"), n("[0-9]{3}-[0-9]{3}-[0-9]{4}").alias("phones"))
 
 
-@query("lexical_search", """WITH q(term) AS (VALUES ('rin'), ('small')), t AS (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS token FROM part),
+@query("search_lexical", """WITH q(term) AS (VALUES ('rin'), ('small')), t AS (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS token FROM part),
     s AS (SELECT p_partkey, term, max(CASE WHEN token = term THEN 2.0 WHEN starts_with(token, term) THEN 1.2 WHEN levenshtein(token, term) <= 1 THEN 0.8 WHEN contains(token, term) THEN 0.6 ELSE 0 END) AS s FROM t CROSS JOIN q GROUP BY 1, 2)
     SELECT p_partkey, round(sum(s), 6) AS score FROM s GROUP BY 1 HAVING min(s) > 0""")
-def lexical_search(spark, d):
+def search_lexical(spark, d):
     t = table(spark, d, "part").select("p_partkey", F.array_distinct(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]+"), F.lit(0))).alias("tokens"))
     grade = lambda term: F.array_max(F.transform("tokens", lambda w: F.when(w == term, 2.0).when(w.startswith(term), 1.2).when(F.levenshtein(w, F.lit(term)) <= 1, 0.8).when(F.contains(w, F.lit(term)), 0.6).otherwise(0.0)))
     scores = [grade(x) for x in ("rin", "small")]
