@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import DATA, same
+from support import DATA, same
 
 from tidewater.llm import queries
 

@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import quality_knn, toxicity_gru
+from . import line_rules, quality_knn, toxicity_gru
 from .common import shared_dir, table
 from .decontaminate import contaminated
 from .line_rules import judged
@@ -82,7 +82,36 @@ QUERIES = {
     )
 }
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+LINE_RULES_SQL = rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+    grams AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM w, unnest(range(1, greatest(len(words) - 1, 1))) AS t(i)),
+    twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+    covered AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (VALUES (0), (1), (2)) v(o) GROUP BY 1),
+    ls AS (SELECT doc_id, unnest(lines) AS l FROM w),
+    sizes AS (SELECT doc_id, l, length(l) AS chars, length(l) - length(replace(l, ' ', '')) + 1 AS n,
+        {" + ".join(f"length(l) - length(replace(l, {quoted(c)}, ''))" for c in line_rules.SEPARATORS)} AS seps,
+        length(l) - length(translate(l, {quoted(line_rules.NOISE)}, '')) AS noise, regexp_replace(l, '[\x20\x09-\x0D]+$', '') AS bare FROM ls),
+    judged AS (SELECT doc_id, chars,
+        chars <= {line_rules.BOILERPLATE_CHARS} AND ({" OR ".join(f"contains(lower(l), {quoted(x)})" for x in line_rules.BOILERPLATE)})
+        OR seps >= 2 AND seps * 4 >= n
+        OR noise * 100 > (chars - n + 1) * {line_rules.NOISE_PERCENT}
+        OR n BETWEEN {line_rules.UNENDED_WORDS[0]} AND {line_rules.UNENDED_WORDS[1]} AND NOT contains({quoted(line_rules.ENDS)}, right(bare, 1)) AS bad FROM sizes),
+    lost AS (SELECT doc_id, count(*) FILTER (WHERE bad) AS n_lines_removed, coalesce(sum(chars) FILTER (WHERE bad), 0) AS chars_removed, sum(chars) AS line_chars FROM judged GROUP BY 1),
+    base AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(text) - length(translate(text, {quoted(line_rules.SYMBOLS)}, '')) AS n_symbols,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(lines) AS n_lines,
+        coalesce(n_lines_removed, 0) AS n_lines_removed, CAST(coalesce(chars_removed, 0) AS BIGINT) AS chars_removed, CAST(coalesce(line_chars, 0) AS BIGINT) AS line_chars
+        FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN lost USING (doc_id))
+    SELECT *, n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed,
+        NOT (n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEAT_PERCENT} * n_words) AND chars_removed * 100 <= line_chars * {line_rules.MAX_LOST_PERCENT} AS kept
+    FROM base"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_line_first_cleaning": LINE_RULES_SQL,
     "op6_parity_sketch_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
