@@ -6,7 +6,7 @@ import subprocess
 import sys
 from pathlib import Path
 
-from conftest import DATA
+from support import DATA
 from pyspark.sql import functions as F
 
 from tidewater.operators import joins
