@@ -35,6 +35,17 @@ def text_column(df: DataFrame, name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: Rows of an Arrow batch that a task takes at a time, so that memory follows these and not the batch.
+ROWS_AT_ONCE = 256
+
+
+def pieces(batches):
+    """Arrow batches cut to ROWS_AT_ONCE rows."""
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(k, ROWS_AT_ONCE)
+
+
 def per_text(docs: DataFrame, columns: str, score, key: str = "doc_id") -> DataFrame:
     """key and, from Arrow batches of whole texts (null: empty), the given columns, each a list or array of score(texts).
 
@@ -49,7 +60,7 @@ def per_text(docs: DataFrame, columns: str, score, key: str = "doc_id") -> DataF
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             found = score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), *(pa.array(v, type=f.type) for v, f in zip(found, list(arrow)[1:], strict=True))], schema=arrow)
 
@@ -64,7 +75,7 @@ def kept_rows(docs: DataFrame, keep, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             texts = [t or "" for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(np.asarray(keep(texts), bool)))
 

@@ -7,7 +7,7 @@ pieces, one of which such a stretch must contain unchanged. Windows of piece len
 in sorted piece codes over the whole text, in numpy; around each hit Myers' bit-parallel algorithm
 finds the least distance of the whole item.
 
-Items are a query set set against all documents: they are broadcast in blocks of at most
+Items are a query set held against all documents: they are broadcast in blocks of at most
 BLOCK_ITEMS items and BLOCK_BYTES of text, so the broadcast stays bounded for any number of items.
 Documents are scanned without shuffle.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_rows, text_column
+from .common import kept_rows, pieces, text_column
 from .hashing import U64, Words, mix, powers, slices
 from .toxicity_gru import MARKS
 
@@ -56,7 +56,7 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str], percent: int = ERROR_PERCENT):
         self.ids, self.codes, self.masks, self.errors = ids, [], [], []
-        pieces: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        parts: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for item, text in enumerate(lowered(texts)):
             codes = Words([text], blank=MARKS).codes
             m = len(codes)
@@ -70,9 +70,9 @@ class Items:
             edges = [m * p // (k + 1) for p in range(k + 2)]
             for a, b in zip(edges, edges[1:], strict=False):
                 if b > a:
-                    pieces[b - a].append((int(window_codes(codes[a:b], b - a)[0]), item, a))
+                    parts[b - a].append((int(window_codes(codes[a:b], b - a)[0]), item, a))
         self.pieces = {}
-        for size, found in pieces.items():
+        for size, found in parts.items():
             found.sort()
             self.pieces[size] = (np.array([f[0] for f in found], U64), np.array([f[1] for f in found]), np.array([f[2] for f in found]))
 
@@ -158,7 +158,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = ERROR_PER
             if "items" not in state:
                 state["items"] = Items(*shared.value, percent)
             items = state["items"]
-            for b in batches:
+            for b in pieces(batches):
                 keys, raw = b.column(0).to_pylist(), lowered(b.column(1).to_pylist())
                 found = [(a + t, i, d) for a, z in slices(raw) for t, i, d in held(items, raw[a:z])]
                 columns = ([keys[t] for t, _, _ in found], [items.ids[i] for _, i, _ in found], [len(items.codes[i]) for _, i, _ in found], [d for _, _, d in found])

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
@@ -35,7 +35,7 @@ BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** k and its inverse for k < n at least."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        size = 1 << max(21, (n - 1).bit_length())
+        size = 1 << max(20, (n - 1).bit_length())
         with np.errstate(over="ignore"):
             _powers["up"] = np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(size - 1, BASE)]))
             _powers["down"] = np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(size - 1, BASE_INVERSE)]))

@@ -15,8 +15,8 @@ Rounds. Documents that agree in a piece form a bucket. (1) Each document is chec
 pivot: of each of its buckets the hub, the member with most mates over all buckets, and of these the
 one it shares most pieces with. Around a much copied text that is the original, so most of a group
 is one component after this round. (2) In buckets that still hold several components, sketches are
-compared in blocks; each document is checked against the nearest of every other component, and (3)
-against all the others that sketches leave open. A check compares
+compared in blocks and all pairs that they leave open are checked; if these are many, each document
+is first checked against the nearest of every other component. A check compares
 the shingle sets themselves. Links inside one component add nothing, so groups of copies never
 become all pairs; exact copies (equal sets) are one node from the start.
 
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_column, written
+from .common import pieces, text_column, written
 from .components import components
 from .hashing import U64, mix, shingle_sets
 
@@ -50,7 +50,9 @@ BLOCK = 512
 SKETCH_BITS = 6
 #: A candidate table of at most so many rows is broadcast to the scan of texts; a larger one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
-FLUSH_KEYS = 1 << 21
+FLUSH_KEYS = 1 << 20
+#: If no more pairs than round 1 had, and these, are open after it, they are checked at once.
+FEW_PAIRS = 100_000
 
 
 def most_apart(sizes: int, percent: int = PERCENT) -> int:
@@ -74,10 +76,10 @@ def cut(band: int, percent: int) -> tuple[int, int]:
     top = math.ceil(BAND ** (band + 1)) - 1
     low = max(1.0, BAND**band * percent / 100)
     d = most_apart(2 * top, percent)
-    pieces = d + 1
+    n = d + 1
     for _ in range(8):
-        pieces = d + 2 + math.ceil(1.5 * pieces * math.exp(-low / pieces))
-    return d, pieces
+        n = d + 2 + math.ceil(1.5 * n * math.exp(-low / n))
+    return d, n
 
 
 def pieces_of(codes: np.ndarray, band: int, percent: int) -> np.ndarray:
@@ -148,7 +150,7 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
     names = ["doc_id", "n_shingles", "set_id", "sketch"]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             n, ids, bits = [], [], []
             for codes in shingle_sets(texts_bytes(b.column(1)), size):
                 n.append(len(codes))
@@ -186,7 +188,7 @@ def packed_pieces(docs: DataFrame, deals: int, size: int, percent: int) -> DataF
 
     def run(batches):
         keys, ids, held = [], [], 0
-        for b in batches:
+        for b in pieces(batches):
             for codes in shingle_sets(texts_bytes(b.column(0)), size):
                 if not len(codes):
                     continue
@@ -205,7 +207,7 @@ def packed_pieces(docs: DataFrame, deals: int, size: int, percent: int) -> DataF
     return texts(docs).select("text").mapInArrow(run, PACK)
 
 
-def buckets(pieces: DataFrame, deals: int) -> DataFrame:
+def buckets(packed: DataFrame, deals: int) -> DataFrame:
     """bucket, set_id and members of sets that agree in a piece. Equal buckets of a task come once, with times."""
 
     def run(batches):
@@ -220,6 +222,7 @@ def buckets(pieces: DataFrame, deals: int) -> DataFrame:
         del keys, ids
         order = np.argsort(key)
         key, own = key[order], own[order]
+        del order
         same = np.concatenate([[False], key[1:] == key[:-1]])
         keep = same | np.concatenate([same[1:], [False]])  # keys that come once go
         key, own = key[keep], own[keep]
@@ -242,7 +245,7 @@ def buckets(pieces: DataFrame, deals: int) -> DataFrame:
         for k in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000].astype(np.int64)) for c in columns], names=["bucket", "set_id", "members", "times"])
 
-    return pieces.repartition(deals, "deal").mapInArrow(run, "bucket long, set_id long, members long, times long")
+    return packed.repartition(deals, "deal").mapInArrow(run, "bucket long, set_id long, members long, times long")
 
 
 def pivots(found: DataFrame) -> DataFrame:
@@ -269,7 +272,7 @@ def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, deals: int, siz
     joined = texts(docs).join(wanted, "doc_id").select("text", "set_id", "to")
 
     def sets(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for codes, own, to in zip(shingle_sets(texts_bytes(b.column(0)), size), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = codes.tobytes()
@@ -297,13 +300,16 @@ def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, deals: int, siz
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, deals: int, percent: int, nearest: bool) -> DataFrame:
+def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, done: DataFrame, deals: int, percent: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of different components in one bucket that their sketches don't rule out, bucket by bucket in blocks.
 
+    done: pairs that were checked; buckets of such a pair alone are left out at once.
     nearest: for each set and other component only the set nearest to it.
     """
     labelled = found.join(labels, found["set_id"] == labels["node"], "left").select("bucket", "set_id", "members", F.coalesce("label", "set_id").alias("label"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("bucket")
+    ends = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("n"), F.min("set_id").alias("a"), F.max("set_id").alias("b"))
+    seen = done.select("a", "b", F.lit(2).cast("long").alias("n"))
+    mixed = ends.where(F.col("low") != F.col("high")).join(seen, ["a", "b", "n"], "left_anti").select("bucket")
     open_ = labelled.join(mixed, "bucket").dropDuplicates(["bucket", "set_id"]).join(nodes.select("set_id", "n_shingles", "sketch"), "set_id")
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set_id"), parts).cast("int")
@@ -355,12 +361,18 @@ def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
 
     pairs = written(pivots(found).select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"), F.col("pivot").alias("by")).dropDuplicates(["a", "b"]), "pairs")
     links = written(checked(docs, nodes, pairs, deals, size, percent), "links")
-    for nearest in (True, False):
+    def still_open(nearest: bool) -> DataFrame:
         labels = components(links, "a", "b")
-        more = split_buckets(found, nodes, labels, deals, percent, nearest).join(pairs, ["a", "b"], "left_anti")
-        more = written(more.withColumn("by", F.col("a")), "pairs")
-        links = written(links.unionByName(checked(docs, nodes, more, deals, size, percent)), "links")
-        pairs = pairs.unionByName(more)
+        found_open = split_buckets(found, nodes, labels, pairs, deals, percent, nearest).join(pairs, ["a", "b"], "left_anti")
+        return written(found_open.withColumn("by", F.col("a")), "pairs")
+
+    more = still_open(nearest=False)
+    if more.count() > pairs.count() + FEW_PAIRS:
+        near = still_open(nearest=True)
+        links = written(links.unionByName(checked(docs, nodes, near, deals, size, percent)), "links")
+        pairs = pairs.unionByName(near)
+        more = still_open(nearest=False)
+    links = written(links.unionByName(checked(docs, nodes, more, deals, size, percent)), "links")
 
     rep = nodes.select("set_id", "rep")
     named = links.join(rep.withColumnsRenamed({"set_id": "a", "rep": "x"}), "a").join(rep.withColumnsRenamed({"set_id": "b", "rep": "y"}), "b")
