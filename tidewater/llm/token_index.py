@@ -35,7 +35,7 @@ from .hashing import U64, mix
 
 END_ID = 1
 SEGMENT_IDS = 1 << 18
-KEPT_WORDS = 350_000
+KEPT_WORDS = 800_000
 KEYS_PER_BUCKET = 4
 NULL_KEY = -(1 << 63)
 #: Letters, then marks that the tokenizer never joins to letters: the two can be encoded apart. İ ends in a mark once lower-cased.
