@@ -185,6 +185,18 @@ def test_token_index(spark, make_docs, prose):
     assert token_index.ids_of(spark, path, 10**12) is None
 
 
+def test_word_tokenizer():
+    """Against the library, whole texts, with names of special tokens as written and in capitals."""
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    letters = [*"abXYé À.,!?'\n\t\u00a0²Ⅷ0١_ıİΣς<|>-#*\u0301日ﬁ😀", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "don't", "Word,"]
+    texts = ["", " ", *("".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(3000))]
+    got = token_index.WordTokenizer(path).encode(texts, b"\1\0\0\0")
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [[*w.ids, 1] for w in want]
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 1000])
 def test_perfect_hash(n):
     keys = list(range(0, 7 * n, 7))

@@ -22,6 +22,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack as pack_ids
 from unicodedata import is_normalized
 
 import numpy as np
@@ -83,19 +84,27 @@ class WordTokenizer:
             self.words.clear()
         if len(self.ids) > KEPT_WORDS:
             self.ids.clear()
-        cut = {c: m.groups() if (m := WORD_AND_MARKS.fullmatch(c)) else (c,) for c in chunks}
-        cut = {c: tuple(p if "Σ" in p or "İ" in p or not is_normalized("NFC", p) else p.lower() for p in parts) for c, parts in cut.items()}
-        odd = []
-        for p in {p for parts in cut.values() for p in parts if p not in self.ids}:
-            mapped = self.plain(p)
-            if mapped is None:
-                odd.append(p)
-            else:  # one word to the tokenizer: only its merges are left to do
-                self.ids[p] = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+        ids, merges, cut, odd = self.ids, self.tokenizer.model.tokenize, {}, []
+        for c in chunks:
+            if c.isascii() and c.isalpha():
+                parts = (c.lower(),)
+            else:
+                parts = m.groups() if (m := WORD_AND_MARKS.fullmatch(c)) else (c,)
+                # a special token's name is one only as it is written
+                parts = tuple([p if "<|" in p or "Σ" in p or "İ" in p or not is_normalized("NFC", p) else p.lower() for p in parts])
+            for p in parts:
+                if p not in ids:
+                    mapped = self.plain(p)
+                    if mapped is None:
+                        ids[p] = b""  # until the library has encoded it
+                        odd.append(p)
+                    else:  # one word to the tokenizer: only its merges are left to do
+                        found = [t.id for t in merges(mapped)]
+                        ids[p] = pack_ids(f"<{len(found)}I", *found)
+            cut[c] = parts
         for p, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
-            self.ids[p] = np.array(e.ids, "<u4").tobytes()
-        ids = self.ids
-        self.words.update((c, b"".join([ids[p] for p in parts])) for c, parts in cut.items())
+            ids[p] = np.array(e.ids, "<u4").tobytes()
+        self.words.update((c, ids[parts[0]] if len(parts) == 1 else ids[parts[0]] + ids[parts[1]]) for c, parts in cut.items())
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers, then end."""
