@@ -326,3 +326,19 @@ def test_main_text(spark):
         assert out[k].text == f"Head {k} & more First bold{k}. next Second <{k}>" and out[k].n_chars == len(out[k].text)
     assert out[50].text == out[51].text == "" and out[52].text == "No article here, but text." and out[53].text == "plain < text & more"
     assert style_tree.main_texts(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_main_text_of_copies(spark, prose, tag):
+    """1,000 copies and 1,000 near copies of one article keep their text; a menu of many unlike pages does not."""
+    body = lambda head, text: f"<body><div>Home News About</div><{tag} class=x><h1>{head}</h1><p>{text}</p></{tag}></body>"
+    text, menu = prose(1, 200), "Home News About "
+    near = [" ".join(w if i != 7 * (k % 28) else f"edit{k}" for i, w in enumerate(text.split())) for k in range(1000)]
+    rows = [(k, f"http://copies.org/{k}", body("One head", text)) for k in range(1000)]
+    rows += [(1000 + k, f"http://near.org/{k}", body("One head", near[k])) for k in range(1000)]
+    rows += [(2000 + k, f"http://unlike.org/{k}", body(f"Head {k}", prose(100 + k, 60))) for k in range(200)]
+    out = {r.page_id: r.text for r in style_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(out) == len(rows)
+    assert all(out[k].removeprefix(menu) == f"One head {text}" for k in range(1000))
+    assert all(out[1000 + k].removeprefix(menu) == f"One head {near[k]}" for k in range(1000))
+    assert all(out[2000 + k] == f"Head {k} {prose(100 + k, 60)}" for k in range(200))

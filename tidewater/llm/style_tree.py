@@ -3,21 +3,28 @@
 The DOMs of a host's pages are merged by style: a node is a path of block elements with their
 classes. For each node two entropies are taken over the m pages that have it. Content: a text that k
 of the pages share has entropy log k / log m, and the node's importance is one less the mean over its
-distinct texts, so menus and notices, the same everywhere, fall to zero, and articles stay near one
-however many copies of an article there are. Presentation: the entropy of the node's child
-sequences. A branch counts CONTENT_SHARE of its content and the rest of its parent's presentation.
-Hosts with few pages lean on the tree of all hosts, as if LEAN more pages had it. Branches under
-LOW (in an article under LOW_IN_ARTICLE) are removed from each page, and so are branches that
+distinct texts, so menus and notices, the same everywhere, fall to zero, and articles stay near one.
+Presentation: the entropy of the node's child sequences. A branch counts CONTENT_SHARE of its
+content and the rest of its parent's presentation. Hosts with few pages lean on the tree of all
+hosts, as if LEAN more pages had it. Branches under LOW (in an article under LOW_IN_ARTICLE) are
+removed from each page, but never on hosts where fewer than MIN_PAGES distinct pages have them,
+which say nothing of what is common to unlike pages; also removed are branches that
 their own markup names as furniture (navigation, forms, adverts, reader comments and the like),
 which entropy cannot tell when every page has its own.
 
+Copies of a page count as one page, or a host of copies would take its article for a menu. A page
+has SLOTS least hashes of the word triples of its article (without one, of all text outside named
+furniture). It counts 1/c, where c pages of its host share ALIKE of these (ALIKE_WHOLE without an
+article, where a long menu is shared too): so copies count as one together, near copies about as
+one, and the numbers k and m are sums of such parts.
+
 Trees are counted with partial sums by host, node and text; no task gets a whole host. What is
 removed is a small table of hosts and nodes, broadcast only below BROADCAST_HOSTS hosts and joined
 by shuffle (split where skewed) above.
 
 Edge cases: a null or empty html gives an empty text; broken markup is read leniently (a new
 paragraph or item closes the last one, an article closes open furniture); repeated pages count as
-pages; an empty table gives no rows; a null url is the empty host; other columns are ignored.
+one page in the tree, each with its own row; an empty table gives no rows; a null url is the empty host; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,19 +32,22 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import pieces, written
 from .url_rules import url_parts
 
 CONTENT_SHARE = 0.9
 LEAN = 20
 LOW, LOW_IN_ARTICLE = 0.5, 0.05
 MIN_PAGES = 4
+SLOTS, ALIKE, ALIKE_WHOLE = 16, 8, 12
+SALT = np.random.default_rng(8).integers(1 << 63, size=SLOTS + 5, dtype=np.uint64) | np.uint64(1)
 BROADCAST_HOSTS = 20_000
 EVERY_HOST = "*"
 
@@ -128,24 +138,48 @@ def code(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
 
 
+def sketch(page: Page) -> tuple[bool, list[int]]:
+    """Whether the page has an article with text, and the least hashes of its word triples."""
+    own = [t for _, t, furniture, article in page.blocks if article and not furniture]
+    words = " ".join(own or [t for _, t, furniture, _ in page.blocks if not furniture]).split()
+    words += [""] * (3 - len(words))
+    h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    grams = h[:-2] * SALT[0] + h[1:-1] * SALT[1] + h[2:] * SALT[2]
+    grams = np.unique((grams ^ (grams >> np.uint64(29))) * SALT[3])
+    least = np.full(SLOTS, ~np.uint64(0))
+    for k in range(0, len(grams), 4096):
+        x = (grams[k : k + 4096, None] ^ SALT[5:]) * SALT[4]
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
+    return bool(own), least.view(np.int64).tolist()
+
+
 def features(pages: DataFrame) -> DataFrame:
-    """host, path, kind (node, text or style) and value: what a page has, once each."""
+    """A row for each page: host, article and slots (its sketch), and what it has, once each: path, kind (node, text or style) and value."""
 
     def run(batches):
-        for b in batches:
-            host, path, kind, value = [], [], [], []
+        for b in pieces(batches):
+            host, article, slots, has = [], [], [], []
             for name, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 page = Page(source)
                 found = {(p, "text", code(t)) for p, t, _, _ in page.blocks} | {(p, "node", 0) for p, _, _, _ in page.blocks}
                 found |= {(p, "style", code(" ".join(dict.fromkeys(c)))) for p, c in page.children.items()} | {(p, "inner", 0) for p in page.children}
-                for p, k, v in found:
-                    host.append(name)
-                    path.append(p)
-                    kind.append(k)
-                    value.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(kind, pa.string()), pa.array(value, pa.int64())], names=["host", "path", "kind", "value"])
+                own, least = sketch(page)
+                host.append(name)
+                article.append(own)
+                slots.append(least)
+                has.append([{"path": p, "kind": k, "value": v} for p, k, v in found])
+            kind = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("value", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(article, pa.bool_()), pa.array(slots, pa.list_(pa.int64())), pa.array(has, kind)], names=["host", "article", "slots", "has"])
+
+    return pages.select("host", "html").mapInArrow(run, "host string, article boolean, slots array<long>, has array<struct<path string, kind string, value long>>")
+
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, kind string, value long")
+def page_parts(parsed: DataFrame) -> DataFrame:
+    """sketch and part: what a page of this sketch counts, 1/c of a page for c pages alike."""
+    each = parsed.groupBy("host", "article", "slots", "sketch").agg(F.count(F.lit(1)).alias("n")).select("host", "article", "sketch", "n", F.explode("slots").alias("slot"))
+    alike = each.groupBy("host", "article", "slot").agg(F.sum("n").alias("c"))
+    c = each.join(alike, ["host", "article", "slot"]).groupBy("sketch", "article").agg(F.sort_array(F.collect_list("c"), False).alias("c"))
+    return c.select("sketch", (1 / F.get("c", F.when(F.col("article"), ALIKE - 1).otherwise(ALIKE_WHOLE - 1))).alias("part"))
 
 
 def importances(counts: DataFrame) -> DataFrame:
@@ -155,7 +189,7 @@ def importances(counts: DataFrame) -> DataFrame:
     share = F.col("k") / F.col("m")
     node = both.groupBy("host", "path", "kind").agg(
         F.first("m").alias("m"),
-        F.avg(F.log(F.col("k")) / F.log(F.greatest(F.col("m"), F.lit(2)))).alias("mean"),
+        F.avg(F.log(F.greatest(F.col("k"), F.lit(1))) / F.log(F.greatest(F.col("m"), F.lit(2)))).alias("mean"),
         F.sum(-share * F.log(share) / F.log(F.greatest(F.col("m"), F.lit(2)))).alias("entropy"),
     )
     node = node.withColumn("value", F.when(F.col("m") <= 1, 1.0).when(F.col("kind") == "text", 1 - F.col("mean")).otherwise(F.least(F.lit(1.0), F.col("entropy"))))
@@ -169,14 +203,17 @@ def importances(counts: DataFrame) -> DataFrame:
 
 def low_branches(pages: DataFrame) -> DataFrame:
     """host and low: the nodes whose branches go, of every host and, as EVERY_HOST, of all hosts together."""
-    counts = written(features(pages).groupBy("host", "path", "kind", "value").agg(F.count(F.lit(1)).alias("k")), "style-counts")
-    every = counts.groupBy("path", "kind", "value").agg(F.sum("k").alias("k")).select(F.lit(EVERY_HOST).alias("host"), "path", "kind", "value", "k")
+    parsed = written(features(pages).withColumn("sketch", F.xxhash64("host", "article", "slots")), "style-pages")
+    has = parsed.join(page_parts(parsed), "sketch").select("host", "part", F.inline("has"))
+    # rounded, so that the order of a sum changes nothing
+    counts = written(has.groupBy("host", "path", "kind", "value").agg(F.round(F.sum("part"), 6).alias("k")), "style-counts")
+    every = counts.groupBy("path", "kind", "value").agg(F.round(F.sum("k"), 6).alias("k")).select(F.lit(EVERY_HOST).alias("host"), "path", "kind", "value", "k")
     own, all_ = importances(counts), importances(every).select("path", F.col("m").alias("m_all"), F.col("importance").alias("importance_all"))
     blended = own.join(all_, "path").withColumn(
         "importance", (F.col("importance") * F.col("m") + F.col("importance_all") * LEAN) / (F.col("m") + LEAN)
     )
     bound = F.when(F.col("path").rlike("/(article|main)[./]|/(article|main)$"), LOW_IN_ARTICLE).otherwise(LOW)
-    low = blended.where((F.col("m_all") >= MIN_PAGES) & (F.col("importance") < bound))
+    low = blended.where((F.col("m") >= MIN_PAGES) & (F.col("importance") < bound))
     return low.groupBy("host").agg(F.collect_list("path").alias("low"))
 
 
