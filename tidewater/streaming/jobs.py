@@ -21,24 +21,29 @@ def event_files(spark: SparkSession, path: str, schema, per_trigger: int = 100)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def tumbling(events: DataFrame, size: str, late: str = LATE) -> DataFrame:
+def watermarked(events: DataFrame, late: str | None) -> DataFrame:
+    """late None: no watermark, so no row is ever too late and no state goes; for replays of all events into complete results."""
+    return events if late is None else events.withWatermark("ts", late)
+
+
+def tumbling(events: DataFrame, size: str, late: str | None = LATE) -> DataFrame:
     w = F.window("ts", size)
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return watermarked(events, late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def sliding(events: DataFrame, size: str, step: str, late: str = LATE) -> DataFrame:
+def sliding(events: DataFrame, size: str, step: str, late: str | None = LATE) -> DataFrame:
     w = F.window("ts", size, step)
-    return events.withWatermark("ts", late).groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "n", "value")
+    return watermarked(events, late).groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("w.start").alias("start"), "n", "value")
 
 
-def sessions(events: DataFrame, gap: str, late: str = LATE) -> DataFrame:
+def sessions(events: DataFrame, gap: str, late: str | None = LATE) -> DataFrame:
     w = F.session_window("ts", gap)
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return watermarked(events, late).groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def once(events: DataFrame, keys: list[str], late: str = LATE) -> DataFrame:
-    """Repeats of a key within the watermark go."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+def once(events: DataFrame, keys: list[str], late: str | None = LATE) -> DataFrame:
+    """Repeats of a key within the watermark go; without one, all repeats."""
+    return events.dropDuplicates(keys) if late is None else events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
 def with_reference(events: DataFrame, reference: DataFrame, key: str) -> DataFrame:
