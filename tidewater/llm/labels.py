@@ -19,12 +19,15 @@ def held_out(key, modulus: int, rest: int):
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, rest: int, per_class: int) -> DataFrame:
-    """text and label of at most per_class documents of each class, those of least hash; none is held out. Null labels are no labels."""
+    """doc_id, text and label of at most per_class documents of each class, those of least hash; none is held out.
+
+    Only ids that docs has are drawn. Null labels are no labels; of a repeated doc_id the least label and the least text count.
+    """
     usable = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, rest))
-    usable = usable.select(F.col("doc_id"), F.col(column).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    usable = usable.groupBy("doc_id").agg(F.min(F.col(column).cast("int")).alias("label")).join(docs.select("doc_id"), "doc_id", "left_semi")
     drawn = None
     for value in (0, 1):
         some = usable.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         drawn = some if drawn is None else drawn.unionByName(some)
     # at most two times per_class rows, so the broadcast is bounded
-    return docs.select("doc_id", text_column(docs).alias("text")).join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
+    return docs.select("doc_id", text_column(docs).alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))

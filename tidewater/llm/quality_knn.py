@@ -7,12 +7,16 @@ sample gives AXES latent axes. Labelled vectors are broadcast (at most 2 x PER_C
 document is compared with all of them in exact blocked cosine products, and the NEIGHBOURS nearest
 vote with their similarity.
 
+Weights, axes and latent vectors are rounded to steps (WEIGHT_STEP, LATENT_STEP) whose products and
+sums floats hold exactly. So a text's score depends on the text alone: not on the block, batch or
+task that it comes in, nor on the order in which sums are taken.
+
 The sample of labelled rows is the only bounded part; every whole text is scored, in slices of about
 1 MB, in one pass without shuffle.
 
 Edge cases: a null or empty text, or one that shares no term with the sample, scores the share of
-label 1 among the labelled rows drawn; ties of similarity go to the lower sample row; repeated rows
-score alike; an empty table gives no rows; without labels of both classes the score is that of the
+label 1 among the labelled rows drawn; of equal similarities the lower sample row is nearer; equal
+texts score alike; of repeated doc_ids the fit takes the least text and label; an empty table gives no rows; without labels of both classes the score is that of the
 one class, or 0.5; only doc_id and text are read.
 """
 
@@ -34,6 +38,10 @@ TERMS = WORD_TERMS + SHAPE_TERMS + SIGNS
 AXES = 64
 NEIGHBOURS = 15
 SHARPNESS = 4
+#: Term weights and axes are below 1: their products have 40 bits, exact in double precision.
+WEIGHT_STEP = 1 << 20
+#: Products of two latent vectors, and all sums on the way, stay below 2 ** 24: exact in single precision.
+LATENT_STEP = 4000
 MODULUS, REST = 3, 1
 
 
@@ -50,7 +58,7 @@ SHAPES = shape_classes()
 
 
 def term_counts(texts: list[bytes]) -> np.ndarray:
-    """Counts of every hashed term, a row for each text."""
+    """Counts of every hashed term, a row for each text. Shapes may take in the blank after the text, but nothing of the next one."""
     n, words = len(texts), Words(texts)
     of = np.repeat(np.arange(n), words.counts())
     out = np.zeros((n, TERMS), np.float32)
@@ -58,7 +66,9 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
     shape = SHAPES[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
     if len(shape) > 2:
         run = (shape[:-2] << 16 | shape[1:-1] << 8 | shape[2:]).astype(U64)
-        owner = np.repeat(np.arange(n), np.diff(words.begins))[: len(run)]
+        owner = np.repeat(np.arange(n), np.diff(words.begins))
+        own = owner[2:] == owner[:-2]
+        run, owner = run[own], owner[:-2][own]
         out[:, WORD_TERMS : WORD_TERMS + SHAPE_TERMS] = np.bincount(owner * SHAPE_TERMS + (mix(run) % U64(SHAPE_TERMS)).astype(np.int64), minlength=n * SHAPE_TERMS).reshape(n, -1)
     again = (words.codes[1:] == words.codes[:-1]) & (of[1:] == of[:-1])
     out[:, -2] = np.bincount(of[1:][again], minlength=n)
@@ -69,8 +79,15 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    out = np.log1p(counts) * idf
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    out = np.log1p(counts.astype(np.float64)) * idf
+    return np.rint(out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-9) * WEIGHT_STEP) / WEIGHT_STEP
+
+
+def latent(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors on the axes, in whole numbers of LATENT_STEP; zeros for texts without a known term."""
+    out = x @ axes
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return np.where(length > 1e-6, np.rint(out / np.maximum(length, 1e-9) * LATENT_STEP), 0).astype(np.float32)
 
 
 def fit(counts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
@@ -81,15 +98,13 @@ def fit(counts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
     x = weighted(counts, idf)
     axes = min(AXES, max(1, len(x)))
     rng = np.random.default_rng(7)
-    basis = rng.standard_normal((TERMS, axes + 16)).astype(np.float32)
+    basis = rng.standard_normal((TERMS, axes + 16))
     for _ in range(4):  # subspace iteration: the leading right singular vectors
         basis, _ = np.linalg.qr(x.T @ (x @ basis))
     small = x @ basis
-    _, _, turn = np.linalg.svd(small, full_matrices=False) if len(x) else (0, 0, np.eye(axes, axes + 16, dtype=np.float32))
-    project = (basis @ turn.T[:, :axes]).astype(np.float32)
-    vectors = x @ project
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    return {"idf": idf, "axes": project, "vectors": vectors.astype(np.float32), "labels": labels.astype(np.float32)}
+    _, _, turn = np.linalg.svd(small, full_matrices=False) if len(x) else (0, 0, np.eye(axes, axes + 16))
+    project = np.rint(basis @ turn.T[:, :axes] * WEIGHT_STEP) / WEIGHT_STEP
+    return {"idf": idf, "axes": project, "vectors": latent(x, project), "labels": labels.astype(np.float64)}
 
 
 def vote(model: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
@@ -99,18 +114,19 @@ def vote(model: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
     out = np.full(len(texts), share)
     if not len(labels):
         return out
-    k = min(NEIGHBOURS, len(labels))
+    k, n = min(NEIGHBOURS, len(labels)), len(labels)
     for a, b in slices(texts):
         for c in range(a, b, 256):
             some = texts[c : min(b, c + 256)]
-            latent = weighted(term_counts(some), model["idf"]) @ model["axes"]
-            length = np.linalg.norm(latent, axis=1, keepdims=True)
-            cosine = (latent / np.maximum(length, 1e-9)) @ model["vectors"].T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0).astype(np.float64) ** SHARPNESS
+            own = latent(weighted(term_counts(some), model["idf"]), model["axes"])
+            # similarity, then the lower row, in one whole number
+            order = (own @ model["vectors"].T).astype(np.int64) * n + np.arange(n - 1, -1, -1)
+            near = np.sort(np.partition(order, n - k, axis=1)[:, n - k :], axis=1)[:, ::-1]
+            cosine, row = near // n, n - 1 - near % n
+            weight = (np.maximum(cosine, 0) / LATENT_STEP**2) ** SHARPNESS
             total = weight.sum(axis=1)
-            usable = (total > 0) & (length[:, 0] > 1e-6) & np.array([bool(t.strip()) for t in some])
-            voted = (weight * labels[near]).sum(axis=1) / np.where(total > 0, total, 1)
+            usable = (total > 0) & np.array([bool(t.strip()) for t in some])
+            voted = (weight * labels[row]).sum(axis=1) / np.where(total > 0, total, 1)
             out[c : c + len(some)] = np.where(usable, np.clip(voted, 0, 1), share)
     return out
 
