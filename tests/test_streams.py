@@ -14,6 +14,7 @@ from tidewater.streaming import jobs
 
 HOURLY = registry.ORACLES["batch_tumbling"].replace("'day'", "'hour'").replace("[:10]", "[:19]")
 CASES = {
+    "stream_foreach_upsert": (lambda s: s, registry.ORACLES["stream_foreach_upsert"]),
     "stream_tumbling": (lambda s: s.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n"), registry.ORACLES["batch_tumbling"]),
     "stream_late_data": (lambda s: s.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n"), HOURLY),
     "stream_sliding": (lambda s: s.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("value", 4).alias("value")), registry.ORACLES["batch_sliding"]),

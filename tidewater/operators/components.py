@@ -5,52 +5,59 @@ Each round ends in a table written to the shared checkpoint folder, so plans sta
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import dropped, written
+
+
+def star(links: DataFrame, large: bool) -> DataFrame:
+    """Links u > v turned towards the least neighbour: of all neighbours, or of the smaller ones."""
+    if large:
+        near = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
+        moved = near.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+    else:
+        least = links.groupBy("u").agg(F.min("v").alias("least"))
+        joined = links.join(least, "u")
+        moved = joined.select(F.explode(F.array(F.struct("u", F.col("least").alias("v")), F.struct(F.col("v").alias("u"), F.col("least").alias("v")))).alias("x")).select("x.*")
+    return moved.where(F.col("u") > F.col("v")).distinct()
 
-def stored(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidewater-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/rounds/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """node and label, the least node of its component, for nodes that stand in a link between different nodes.
 
-def components(links: DataFrame, u: str, v: str) -> DataFrame:
-    """node and label, the least node reachable, of every node with a link. Labels spread to neighbours and jump along labels."""
-    both = links.select(F.col(u).alias("a"), F.col(v).alias("b"))
-    edges = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    Alternating large and small stars: two aggregations and two joins a round, one written table a round, and rounds that
+    grow with the logarithm of the longest path. A node with very many links is one side's single row in a join whose other
+    side Spark splits where it is skewed.
+    """
+    now = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    state = None
     while True:
-        spread = edges.join(now, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        nearer = now.join(spread, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        jump = now.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = stored(nearer.join(jump, "label", "left").select("node", F.least("label", "far").alias("label"), (F.least("label", "far") < F.col("was")).alias("moved")))
-        if not after.where("moved").limit(1).count():
-            return after.select("node", "label")
-        now = after.select("node", "label")
+        after = written(star(star(now, large=True), large=False), "links")
+        dropped(now)
+        now = after
+        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if seen == state:
+            break
+        state = seen
+    least = now.groupBy("u").agg(F.min("v").alias("label"))
+    return least.unionByName(least.select(F.col("label").alias("u"), "label").distinct()).select(F.col("u").alias("node"), "label")
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
     """Edges (a, b, w) of a maximum spanning forest: in each round every component takes its heaviest edge outwards."""
-    edges = stored(edges.select("a", "b", "w"))
-    labels = stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
+    edges = written(edges.select("a", "b", "w"))
+    labels = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
     chosen = None
     while True:
         la, lb = labels.withColumnsRenamed({"node": "a", "label": "la"}), labels.withColumnsRenamed({"node": "b", "label": "lb"})
         out = edges.join(la, "a").join(lb, "b").where("la <> lb")
         order = F.struct("w", "a", "b", "la", "lb")
-        best = stored(out.select(F.explode(F.array("la", "lb")).alias("label"), order.alias("e")).groupBy("label").agg(F.max("e").alias("e")).select("e.*").distinct())
+        best = written(out.select(F.explode(F.array("la", "lb")).alias("label"), order.alias("e")).groupBy("label").agg(F.max("e").alias("e")).select("e.*").distinct())
         if not best.limit(1).count():
             return chosen if chosen is not None else edges.limit(0)
         picked = best.select("a", "b", "w")
-        chosen = stored(picked if chosen is None else chosen.unionByName(picked).distinct())
+        chosen = written(picked if chosen is None else chosen.unionByName(picked).distinct())
         merged = components(best, "la", "lb").select(F.col("node").alias("label"), F.col("label").alias("to"))
-        labels = stored(labels.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        labels = written(labels.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")))

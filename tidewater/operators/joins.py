@@ -20,9 +20,10 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_on: str
     return seen.select("_row.*", *(F.col("_last")[v].alias(v) for v in values))
 
 
-def densify(df: DataFrame, keys: list[str], day: str, first: str, last: str) -> DataFrame:
-    """All days from first to last for every key, with df's columns where there are rows."""
-    spine = df.select(*keys).distinct().withColumn(day, F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))))
+def densify(df: DataFrame, keys: list[str], day: str) -> DataFrame:
+    """All days from df's first to its last for every key, with df's columns where there are rows."""
+    days = F.broadcast(df.agg(F.explode(F.sequence(F.min(day), F.max(day))).alias(day)))  # a row a day
+    spine = df.select(*keys).distinct().crossJoin(days)
     return spine.join(df, [*keys, day], "left")
 
 
@@ -44,6 +45,21 @@ def within_distance(a: DataFrame, b: DataFrame, ax: str, ay: str, bx: str, by: s
     return left.join(right, ["_cx", "_cy"]).withColumn("distance", d).where(F.col("distance") <= radius).drop("_cx", "_cy")
 
 
+def nearest_value(left: DataFrame, right: DataFrame, by: str, at: str, key: str) -> DataFrame:
+    """Each left row with the key of the right row of its group whose value is nearest, and the gap; of equal gaps the lesser key.
+
+    right has one row a value. Both sides are sorted once by value: the nearest is the last one before or the first one after.
+    """
+    both = left.withColumn("_m", F.lit(None).cast(right.select(F.struct(F.col(at), F.col(key)).alias("m")).schema["m"].dataType)).unionByName(right.select(by, at, F.struct(F.col(at), F.col(key)).alias("_m")), allowMissingColumns=True)
+    order = Window.partitionBy(by).orderBy(at)
+    near = lambda m: F.when(m.isNotNull(), F.struct(F.abs(F.col(at) - m[at]).alias("gap"), m[key].alias(key)))
+    before = F.last("_m", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first("_m", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    found = both.withColumn("_before", near(before)).withColumn("_after", near(after)).where("_m IS NULL")
+    best = F.when(F.col("_before").isNull() | F.col("_after").isNull(), F.coalesce("_before", "_after")).otherwise(F.least("_before", "_after"))
+    return found.withColumn("_best", best).where("_best IS NOT NULL").select(*left.columns, f"_best.{key}", "_best.gap")
+
+
 def overlap_days(a_from: Column, a_to: Column, b_from: Column, b_to: Column) -> Column:
     """Days that two closed date intervals share."""
     return F.greatest(F.lit(0), F.datediff(F.least(a_to, b_to), F.greatest(a_from, b_from)) + 1)

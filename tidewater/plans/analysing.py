@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import stats as S
 from ..operators.components import components, spanning_forest
 from ..operators.joins import neighbours
+from ..sources.shared import written
 from ..sources.tables import table
 from .registry import query
 from .windowing import DAILY, PANEL, by, daily, panel
@@ -195,23 +196,31 @@ def connected_components(spark, d):
 @query("greedy_cover")
 def greedy_cover(spark, d):
     """Sets of nations by brand, picked until none adds a nation; each step is one aggregation, the number of picks is bounded by the nations."""
-    h = brand_holders(spark, d).withColumnsRenamed({"p_brand": "set", "c_nationkey": "item"})
+    h = written(brand_holders(spark, d).withColumnsRenamed({"p_brand": "set", "c_nationkey": "item"}))
     picked = []
     while len(picked) < 25:
         best = h.groupBy("set").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "set").first()
         if best is None:
             break
         picked.append((len(picked) + 1, best["set"], best["n"]))
-        h = h.join(h.where(F.col("set") == best["set"]).select("item"), "item", "left_anti")
+        h = written(h.join(h.where(F.col("set") == best["set"]).select("item"), "item", "left_anti"))
     return spark.createDataFrame(picked, "pick int, set string, added long")
 
 
-@query("focal_fill", """WITH c AS (SELECT CAST(floor(c_acctbal / 500) AS BIGINT) AS x, CAST(c_nationkey AS BIGINT) AS y, avg(c_acctbal) AS v FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1, 2), m AS (SELECT x + i AS x, y + j AS y, avg(v) AS v, count(*) AS n FROM c CROSS JOIN (VALUES (-1), (0), (1)) a(i) CROSS JOIN (VALUES (-1), (0), (1)) b(j) GROUP BY 1, 2)
-    SELECT x, y, round(coalesce(c.v, m.v), 4) AS v FROM m LEFT JOIN c USING (x, y) WHERE c.v IS NOT NULL OR m.n >= 3""")
+def filled_once(c: str, m: str, out: str) -> str:
+    return f"""{m} AS (SELECT x + i AS x, y + j AS y, sum(v) AS s, count(*) AS n FROM {c} CROSS JOIN (VALUES (-1), (0), (1)) a(i) CROSS JOIN (VALUES (-1), (0), (1)) b(j) GROUP BY 1, 2),
+    {out} AS (SELECT x, y, coalesce(c.v, CAST(floor(m.s / m.n) AS BIGINT)) AS v FROM {m} m LEFT JOIN {c} c USING (x, y) WHERE c.v IS NOT NULL OR m.n >= 3)"""
+
+
+@query("focal_fill", "WITH c AS (SELECT CAST(floor(c_acctbal / 500) AS BIGINT) AS x, CAST(c_nationkey AS BIGINT) AS y, CAST(floor(sum(CAST(round(c_acctbal * 100) AS BIGINT)) / count(*)) AS BIGINT) AS v FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1, 2), " + filled_once("c", "m", "d") + ", " + filled_once("d", "k", "e") + " SELECT x, y, v FROM e")
 def focal_fill(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 3 <> 0").groupBy(F.floor(F.col("c_acctbal") / 500).alias("x"), F.col("c_nationkey").cast("long").alias("y")).agg(F.avg("c_acctbal").alias("v"))
-    m = neighbours(c, "x", "y").groupBy("x", "y").agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    return m.join(c, ["x", "y"], "left").where("v IS NOT NULL OR n >= 3").select("x", "y", rnd(F.coalesce("v", "m"), "v", 4))
+    """Empty cells with at least three known neighbours get their mean, in two passes. Values are whole cents, so sums have no order."""
+    c = table(spark, d, "customer").where("c_custkey % 3 <> 0").groupBy(F.floor(F.col("c_acctbal") / 500).alias("x"), F.col("c_nationkey").cast("long").alias("y"))
+    c = c.agg(F.floor(F.sum(F.round(F.col("c_acctbal") * 100).cast("long")) / F.count(F.lit(1))).alias("v"))
+    for _ in range(2):
+        m = neighbours(c, "x", "y").groupBy("x", "y").agg(F.floor(F.sum("v") / F.count(F.lit(1))).alias("m"), F.count(F.lit(1)).alias("n"))
+        c = m.join(c, ["x", "y"], "left").where("v IS NOT NULL OR n >= 3").select("x", "y", F.coalesce("v", "m").alias("v"))
+    return c
 
 
 @query("persistent_mask", """WITH m AS (SELECT user_id AS x, 0 AS y FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(DISTINCT CAST(date_trunc('week', ts) AS DATE)) >= 3) SELECT x + i AS x, max(CASE WHEN i = 0 THEN 1 ELSE 0 END) AS core FROM m CROSS JOIN (VALUES (-1), (0), (1)) o(i) GROUP BY 1""")
@@ -307,7 +316,9 @@ def gate_table(spark, d):
     return S.gate(o, "orders", F.count(F.lit(1)), 100).unionByName(S.gate(o, "priority", F.avg(F.col("o_orderpriority").isNotNull().cast("double")), 0.99))
 
 
-@query("leakage_probe", DAILY + " SELECT 0 AS mismatches, (SELECT count(*) FROM n) AS rows")
+@query("leakage_probe", DAILY + """, f AS (SELECT user_id, day, coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), 0) AS w FROM n),
+    r AS (SELECT a.user_id, a.day, coalesce(sum(b.n), 0) AS again FROM n a LEFT JOIN n b ON b.user_id = a.user_id AND b.day BETWEEN a.day - 7 AND a.day - 1 GROUP BY 1, 2)
+    SELECT CAST(count(*) FILTER (WHERE w <> again) AS INTEGER) AS mismatches, count(*) AS rows FROM f JOIN r USING (user_id, day)""")
 def leakage_probe(spark, d):
     """A window of the seven days before, made as a frame and again from raw rows: they must agree everywhere."""
     n = daily(spark, d).withColumn("t", F.unix_date("day"))

@@ -94,10 +94,9 @@ def range_join_sum(spark, d):
     return b.select("user_id", "day", F.sum("n").over(days).alias("week_before"))
 
 
-@query("self_join_theta", """SELECT a.l_orderkey, a.l_linenumber AS first, b.l_linenumber AS second FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber > a.l_linenumber
-    WHERE a.l_orderkey % 7 = 0""")
+@query("self_join_theta", """SELECT a.l_orderkey, a.l_linenumber AS first, b.l_linenumber AS second FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber > a.l_linenumber""")
 def self_join_theta(spark, d):
-    line = table(spark, d, "lineitem").where("l_orderkey % 7 = 0")
+    line = table(spark, d, "lineitem")
     a, b = line.select("l_orderkey", F.col("l_linenumber").alias("first")), line.select("l_orderkey", F.col("l_linenumber").alias("second"))
     return a.join(b, "l_orderkey").where("second > first")
 
@@ -125,12 +124,12 @@ def align_series(spark, d):
     return n("click", "clicks").join(n("view", "views"), "day")
 
 
-@query("densify_spine", """WITH n AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE user_id = 3 GROUP BY 1, 2)
-    SELECT k.event_type, s.day, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT event_type FROM n) k
-    CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day) s LEFT JOIN n ON n.event_type = k.event_type AND n.day = s.day""")
+@query("densify_spine", """WITH n AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2, 3)
+    SELECT k.user_id, k.event_type, s.day, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT user_id, event_type FROM n) k
+    CROSS JOIN (SELECT CAST(unnest(generate_series((SELECT min(day) FROM n), (SELECT max(day) FROM n), INTERVAL 1 DAY)) AS DATE) AS day) s LEFT JOIN n ON n.user_id = k.user_id AND n.event_type = k.event_type AND n.day = s.day""")
 def densify_spine(spark, d):
-    n = table(spark, d, "events").where("user_id = 3").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return J.densify(n, ["event_type"], "day", "2024-01-01", "2024-01-30").fillna(0, ["n"])
+    n = table(spark, d, "events").groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return J.densify(n, ["user_id", "event_type"], "day").fillna(0, ["n"])
 
 
 @query("join_broadcast_dim", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -153,10 +152,9 @@ def fuzzy_match_top1(spark, d):
 @query("nearest_neighbor", """WITH r AS (SELECT s_suppkey, c_custkey, abs(s_acctbal - c_acctbal) AS gap, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(s_acctbal - c_acctbal), c_custkey) AS k
     FROM supplier JOIN customer ON c_nationkey = s_nationkey) SELECT s_suppkey, c_custkey, round(gap, 4) AS gap FROM r WHERE k = 1""")
 def nearest_neighbor(spark, d):
-    pairs = table(spark, d, "supplier").join(table(spark, d, "customer"), F.col("s_nationkey") == F.col("c_nationkey"))
-    gap = F.abs(F.col("s_acctbal") - F.col("c_acctbal"))
-    near = pairs.groupBy("s_suppkey").agg(F.min(F.struct(gap.alias("gap"), "c_custkey")).alias("m"))
-    return near.select("s_suppkey", "m.c_custkey", F.round("m.gap", 4).alias("gap"))
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_acctbal").alias("x"), "s_suppkey")
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("g"), F.col("c_acctbal").alias("x")).agg(F.min("c_custkey").alias("c_custkey"))
+    return J.nearest_value(s, c, "g", "x", "c_custkey").select("s_suppkey", "c_custkey", F.round("gap", 4).alias("gap"))
 
 
 POINTS = "SELECT c_custkey AS id, c_acctbal / 100 AS x, (c_custkey % 1000) / 10.0 AS y FROM customer"
@@ -181,8 +179,9 @@ def pairwise_within_r(spark, d):
 
 @query("pairs_colocated", """SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE abs(a.s_acctbal - b.s_acctbal) <= 800""")
 def pairs_colocated(spark, d):
-    s = table(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("x"))
-    return s.join(s.withColumnsRenamed({"a": "b", "x": "y"}), "s_nationkey").where((F.col("a") < F.col("b")) & (F.abs(F.col("x") - F.col("y")) <= 800)).select("a", "b")
+    s = table(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("x"), J.cell(F.col("s_acctbal"), 800.0).alias("cell"))
+    near = s.withColumnsRenamed({"a": "b", "x": "y"}).withColumn("cell", F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1)))))
+    return s.join(near, ["s_nationkey", "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("x") - F.col("y")) <= 800)).select("a", "b")
 
 
 @query("interval_overlap", """SELECT o_orderkey, greatest(0, date_diff('day', greatest(CAST(o_orderdate AS DATE), DATE '1998-03-01'), least(CAST(o_orderdate AS DATE) + 30, DATE '1998-03-31')) + 1) AS days
@@ -211,11 +210,11 @@ def grid_coarse_join(spark, d):
     return f.withColumn("coarse", F.floor(F.col("cell") * 2 / 5).cast("long")).join(g, "coarse").select("c_custkey", "n")
 
 
-@query("interval_to_spine", """WITH o AS (SELECT o_orderstatus AS stage, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 20 AS b FROM orders WHERE o_orderkey % 10 = 0),
+@query("interval_to_spine", """WITH o AS (SELECT o_orderstatus AS stage, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + 20 AS b FROM orders),
     w AS (SELECT stage, unnest(generate_series(date_trunc('week', a), b, INTERVAL 7 DAY)) AS wk, a, b FROM o)
     SELECT stage, CAST(wk AS DATE) AS week, count(*) AS n FROM w GROUP BY 1, 2""")
 def interval_to_spine(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderstatus").alias("stage"), F.to_date("o_orderdate").alias("a"))
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("stage"), F.to_date("o_orderdate").alias("a"))
     weeks = F.sequence(F.to_date(F.date_trunc("week", "a")), F.date_add("a", 20), F.expr("INTERVAL 7 DAYS"))
     return o.select("stage", F.explode(weeks).alias("week")).groupBy("stage", "week").agg(F.count(F.lit(1)).alias("n"))
 

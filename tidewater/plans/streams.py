@@ -11,15 +11,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.components import stored
+from ..sources.shared import shared_dir
 from ..sources.tables import table
 from ..streaming import jobs as J
 from .registry import query
 
 
 def shared(spark):
-    stored(spark.range(1))  # makes sure that the folder is set
-    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def events(spark, d):
@@ -98,7 +97,7 @@ def stream_seam_union(spark, d):
 def stream_foreach_upsert(spark, d):
     base = shared(spark)
     for again in range(2):  # the second run changes nothing
-        run = events(spark, d).writeStream.option("checkpointLocation", f"{base}/state-{again}").trigger(availableNow=True).foreachBatch(lambda b, _: J.upsert_days(b, f"{base}/days")).start()
+        run = events(spark, d).writeStream.option("checkpointLocation", f"{base}/state-{again}").trigger(availableNow=True).foreachBatch(lambda b, k: J.upsert_days(b, k, f"{base}/days")).start()
         run.awaitTermination()
     return spark.read.parquet(f"{base}/days").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 

@@ -14,7 +14,7 @@ from .registry import query
 DAILY = "WITH n AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2)"
 #: A dense daily panel of event types: one row a type and day.
 PANEL = """WITH n AS (SELECT event_type AS k, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2),
-    p AS (SELECT t.k, s.day, n.n AS raw, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT k FROM n) t CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day) s
+    p AS (SELECT t.k, s.day, n.n AS raw, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT k FROM n) t CROSS JOIN (SELECT CAST(unnest(generate_series((SELECT min(day) FROM n), (SELECT max(day) FROM n), INTERVAL 1 DAY)) AS DATE) AS day) s
         LEFT JOIN n ON n.k = t.k AND n.day = s.day)"""
 SPARSE = PANEL.replace("coalesce(n.n, 0) AS n", "CASE WHEN day(s.day) % 3 <> 0 THEN n.n END AS x, coalesce(n.n, 0) AS n")
 
@@ -25,7 +25,7 @@ def daily(spark, d):
 
 def panel(spark, d):
     n = table(spark, d, "events").groupBy(F.col("event_type").alias("k"), F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return densify(n, ["k"], "day", "2024-01-01", "2024-01-30").fillna(0, ["n"])
+    return densify(n, ["k"], "day").fillna(0, ["n"])
 
 
 def sparse(spark, d):

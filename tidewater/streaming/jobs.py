@@ -71,6 +71,6 @@ def counters(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").applyInPandasWithState(step, "event_type string, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_days(batch: DataFrame, path: str) -> None:
-    """foreachBatch sink: exactly the days of the batch are replaced, so a batch run twice changes nothing."""
-    batch.withColumn("day", F.to_date("ts")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day").parquet(path)
+def upsert_days(batch: DataFrame, number: int, path: str) -> None:
+    """foreachBatch sink: exactly what this batch has written of each day is replaced, so a batch run twice changes nothing and a day over several batches keeps all of them."""
+    batch.withColumn("day", F.to_date("ts")).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day", "batch").parquet(path)
