@@ -1,16 +1,20 @@
 """Main text of web pages by site style trees.
 
 The DOMs of a host's pages are merged by style: a node is a path of block elements with their
-classes. For each node two entropies are taken over the m pages that have it. Content: a text that k
-of the pages share has entropy log k / log m, and the node's importance is one less the mean over its
-distinct texts, so menus and notices, the same everywhere, fall to zero, and articles stay near one.
-Presentation: the entropy of the node's child sequences. A branch counts CONTENT_SHARE of its
-content and the rest of its parent's presentation. Hosts with few pages lean on the tree of all
-hosts, as if LEAN more pages had it. Branches under LOW (in an article under LOW_IN_ARTICLE) are
-removed from each page, but never on hosts where fewer than MIN_PAGES distinct pages have them,
-which say nothing of what is common to unlike pages; also removed are branches that
-their own markup names as furniture (navigation, forms, adverts, reader comments and the like),
-which entropy cannot tell when every page has its own.
+classes. Two entropies are taken of each node over the m pages that have it. Content: the features of
+a node are its sentences; one that k of the pages share has entropy log k / log m, and the node's
+importance is one less the mean over its distinct sentences. So menus, adverts and notices, the same
+on many pages, fall, and articles stay near one. The mean is taken twice, of the host's own pages and
+of the pages of all hosts that have the path (still over the host's own sentences there), as much
+furniture is common to hosts of which a few pages are known. Presentation: the entropy of the
+node's child sequences. A branch counts CONTENT_SHARE of its content and the rest of its parent's
+presentation. Branches that fall under LOW in either tree (in an article under LOW_IN_ARTICLE) are
+removed from each page of the host. A tree of fewer than MIN_PAGES distinct pages says nothing.
+
+What every page has of its own looks as important as an article: reader comments, adverts, forms, or
+any furniture where too few pages are known. There, the names in the markup decide: whole elements
+(navigation, forms and the like) and, outside articles, words in classes. Inside articles only
+classes that are as a whole the name of an advert or of comments count.
 
 Copies of a page count as one page, or a host of copies would take its article for a menu. A page
 has SLOTS least hashes of the word triples of its article (without one, of all text outside named
@@ -18,24 +22,27 @@ furniture). It counts 1/c, where c pages of its host share ALIKE of these (ALIKE
 article, where a long menu is shared too): so copies count as one together, near copies about as
 one, and the numbers k and m are sums of such parts.
 
-Trees are counted with partial sums by host, node and text; no task gets a whole host. What is
-removed is a small table of hosts and nodes, broadcast only below BROADCAST_HOSTS hosts and joined
-by shuffle (split where skewed) above.
+Trees are counted with partial sums by node and sentence, then by node; no task gets a whole host.
+The branches to remove are broadcast up to BROADCAST_BYTES and joined by shuffle, split where skewed,
+beyond.
 
 Edge cases: a null or empty html gives an empty text; broken markup is read leniently (a new
-paragraph or item closes the last one, an article closes open furniture); repeated pages count as
-one page in the tree, each with its own row; an empty table gives no rows; a null url is the empty host; other columns are ignored.
+paragraph or item closes the last one, an article closes open furniture, a head without end ends at
+the first block, an element without end that is skipped takes nothing with it unless its content is
+no markup, as a script's); repeated pages count as one page in the tree, each with its own row; very
+long pages are read whole; an empty table gives no rows; a null url is the empty host; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +50,16 @@ from .common import pieces, written
 from .url_rules import url_parts
 
 CONTENT_SHARE = 0.9
-LEAN = 20
-LOW, LOW_IN_ARTICLE = 0.5, 0.05
+LOW, LOW_IN_ARTICLE = 0.7, 0.05
 MIN_PAGES = 4
 SLOTS, ALIKE, ALIKE_WHOLE = 16, 8, 12
 SALT = np.random.default_rng(8).integers(1 << 63, size=SLOTS + 5, dtype=np.uint64) | np.uint64(1)
-BROADCAST_HOSTS = 20_000
-EVERY_HOST = "*"
+BROADCAST_BYTES = 32 << 20
 
-SKIPPED = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "object", "select", "button", "head")
+#: Elements whose content is no markup: without an end they take the rest of the page.
+RAW = ("script", "style", "title", "textarea", "iframe")
+#: Elements that are left out whole.
+SKIPPED = ("noscript", "template", "svg", "object", "select", "button")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html "
@@ -65,14 +73,20 @@ FURNITURE_NAMES = frozenset(
 )
 #: Furniture of the page, but part of an article that has it inside.
 OUTER = frozenset(("header",))
+#: Whole class names that mark furniture inside an article, too.
+INNER_NAMES = frozenset("ad ads adbox advert adverts advertisement sponsored comment comments comment-list disqus respond replies".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+INSIDE = r"(?>[^>\"']|\"[^\"]*\"|'[^']*')*"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<skip>" + "|".join(SKIPPED) + r")\b(?>[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=skip)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?>[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)"
+    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>]){INSIDE}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>{INSIDE})>|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"display\s*:\s*none|\shidden(?=[\s=/]|$)", re.I)
+SKIPPED_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in SKIPPED}
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+SENTENCE = re.compile(r"[.!?;:·•|]+(?:\s+|$)|\s+[·•|–—-]\s+")
 SPACE = re.compile(r"\s+")
 
 
@@ -84,6 +98,7 @@ class Page:
         self.children: dict[str, list[str]] = {}
         stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, furniture, in an article
         text: list[str] = []
+        skipped_to, endless = 0, set()
 
         def close_block() -> None:
             if text:
@@ -94,6 +109,8 @@ class Page:
                 text.clear()
 
         for m in TOKEN.finditer(source):
+            if m.start() < skipped_to:
+                continue
             piece = m["text"]
             if piece is not None:
                 text.append(entities.unescape(piece) if "&" in piece else piece)
@@ -106,6 +123,12 @@ class Page:
                 text.append(" ")
                 continue
             if tag not in BLOCKS:
+                if tag in SKIPPED_END and not m["end"] and tag not in endless:
+                    end = SKIPPED_END[tag].search(source, m.end())
+                    if end:
+                        skipped_to = end.end()
+                    else:
+                        endless.add(tag)
                 continue
             close_block()
             if m["end"]:
@@ -124,9 +147,13 @@ class Page:
                 while len(stack) > 1 and stack[-1][2]:
                     stack.pop()
             _, above, furniture, article = stack[-1]
-            names = sorted({n for g in NAMES.findall(m["rest"]) for n in re.split(r"[^a-z0-9]+", "".join(g).lower()) if n and not n.isdigit()}) if m["rest"] else []
-            named = tag in FURNITURE_TAGS or not FURNITURE_NAMES.isdisjoint(names) or bool(m["rest"] and HIDDEN.search(m["rest"]))
-            named = named or not article and (tag in OUTER or not OUTER.isdisjoint(names))
+            whole, hidden = attributes(m["rest"]) if m["rest"] else ([], False)
+            names = sorted({n for w in whole for n in re.split(r"[^a-z0-9]+", w) if n and not n.isdigit()})
+            named = tag in FURNITURE_TAGS or hidden
+            if article:
+                named = named or not INNER_NAMES.isdisjoint(whole)
+            else:
+                named = named or tag in OUTER or not FURNITURE_NAMES.isdisjoint(names) or not OUTER.isdisjoint(names)
             style = ".".join([tag, *names])
             self.children.setdefault(above, []).append(style)
             if tag not in VOID:
@@ -134,8 +161,30 @@ class Page:
         close_block()
 
 
+def attributes(rest: str) -> tuple[list[str], bool]:
+    """The whole names in class, id and role, and whether the element is hidden."""
+    names: list[str] = []
+    hidden = False
+    for name, *values in ATTRIBUTE.findall(rest):
+        name = name.lower()
+        if name in ("class", "id", "role"):
+            names += "".join(values).lower().split()
+        hidden = hidden or name == "hidden" or name == "style" and HIDDEN.search("".join(values)) is not None
+    return names, hidden
+
+
 def code(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
+    x = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return x - (x >> 63 << 64)
+
+
+def nodes(page: Page) -> list[tuple[str, bool, list[int]]]:
+    """path, whether it is of elements, and codes of the node's features: sentences of a text, the child sequence of elements."""
+    found: dict[str, set[str]] = {}
+    for path, text, _, _ in page.blocks:
+        found.setdefault(path, set()).update([x for x in SENTENCE.split(text) if x] or [text])
+    out = [(path, False, [code(x) for x in own]) for path, own in found.items()]
+    return out + [(path, True, [code(" ".join(dict.fromkeys(c)))]) for path, c in page.children.items()]
 
 
 def sketch(page: Page) -> tuple[bool, list[int]]:
@@ -154,24 +203,19 @@ def sketch(page: Page) -> tuple[bool, list[int]]:
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """A row for each page: host, article and slots (its sketch), and what it has, once each: path, kind (node, text or style) and value."""
+    """A row for each page: host, article and slots (its sketch), and its nodes."""
+    kind = pa.list_(pa.struct([("path", pa.string()), ("inner", pa.bool_()), ("codes", pa.list_(pa.int64()))]))
+    schema = pa.schema([("host", pa.string()), ("article", pa.bool_()), ("slots", pa.list_(pa.int64())), ("nodes", kind)])
 
     def run(batches):
         for b in pieces(batches):
-            host, article, slots, has = [], [], [], []
+            rows = []
             for name, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 page = Page(source)
-                found = {(p, "text", code(t)) for p, t, _, _ in page.blocks} | {(p, "node", 0) for p, _, _, _ in page.blocks}
-                found |= {(p, "style", code(" ".join(dict.fromkeys(c)))) for p, c in page.children.items()} | {(p, "inner", 0) for p in page.children}
-                own, least = sketch(page)
-                host.append(name)
-                article.append(own)
-                slots.append(least)
-                has.append([{"path": p, "kind": k, "value": v} for p, k, v in found])
-            kind = pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string()), ("value", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(article, pa.bool_()), pa.array(slots, pa.list_(pa.int64())), pa.array(has, kind)], names=["host", "article", "slots", "has"])
+                rows.append((name, *sketch(page), [{"path": p, "inner": i, "codes": c} for p, i, c in nodes(page)]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return pages.select("host", "html").mapInArrow(run, "host string, article boolean, slots array<long>, has array<struct<path string, kind string, value long>>")
+    return pages.select("host", "html").mapInArrow(run, "host string, article boolean, slots array<long>, nodes array<struct<path string, inner boolean, codes array<long>>>")
 
 
 def page_parts(parsed: DataFrame) -> DataFrame:
@@ -182,39 +226,45 @@ def page_parts(parsed: DataFrame) -> DataFrame:
     return c.select("sketch", (1 / F.get("c", F.when(F.col("article"), ALIKE - 1).otherwise(ALIKE_WHOLE - 1))).alias("part"))
 
 
-def importances(counts: DataFrame) -> DataFrame:
-    """host, path, m and importance of every node with text, from the pages that share each value."""
-    m = counts.where(F.col("kind").isin("node", "inner")).select("host", "path", F.when(F.col("kind") == "node", "text").otherwise("style").alias("kind"), F.col("k").alias("m"))
-    both = counts.where(F.col("kind").isin("text", "style")).join(m, ["host", "path", "kind"])
-    share = F.col("k") / F.col("m")
-    node = both.groupBy("host", "path", "kind").agg(
-        F.first("m").alias("m"),
-        F.avg(F.log(F.greatest(F.col("k"), F.lit(1))) / F.log(F.greatest(F.col("m"), F.lit(2)))).alias("mean"),
-        F.sum(-share * F.log(share) / F.log(F.greatest(F.col("m"), F.lit(2)))).alias("entropy"),
+def importances(pages: DataFrame) -> DataFrame:
+    """host, path, m and m_all (distinct pages with the node, of the host and of all), importance and importance_all of every node with text.
+
+    Sums of parts and of logarithms are rounded, so that their order changes nothing.
+    """
+    parsed = written(features(pages).withColumn("sketch", F.xxhash64("host", "article", "slots")), "style-pages")
+    has = parsed.join(page_parts(parsed), "sketch").select("host", "part", F.inline("nodes")).withColumn("node", F.xxhash64("host", "path", "inner")).withColumn("everywhere", F.xxhash64("path", "inner"))
+    total = lambda c: F.round(F.sum(c), 6)
+    ln = lambda c: F.log(F.greatest(F.col(c), F.lit(1)))
+    own = has.groupBy("node", "everywhere").agg(total("part").alias("m"), F.first("host").alias("host"), F.first("path").alias("path"), F.first("inner").alias("inner"))
+    counts = written(has.select("node", "everywhere", "part", F.explode("codes").alias("code")).groupBy("node", "everywhere", "code").agg(total("part").alias("k")), "style-counts")
+    every = counts.groupBy("everywhere", "code").agg(total("k").alias("k_all"))
+    sums = counts.join(every, ["everywhere", "code"]).groupBy("node").agg(
+        F.count(F.lit(1)).alias("n"), total(ln("k")).alias("logs"), total(ln("k_all")).alias("logs_all"), total(F.col("k") * F.log("k")).alias("turns")
     )
-    node = node.withColumn("value", F.when(F.col("m") <= 1, 1.0).when(F.col("kind") == "text", 1 - F.col("mean")).otherwise(F.least(F.lit(1.0), F.col("entropy"))))
-    content = node.where(F.col("kind") == "text").select("host", "path", "m", F.col("value").alias("content"))
-    shape = node.where(F.col("kind") == "style").select("host", F.col("path").alias("parent"), F.col("value").alias("presentation"))
-    content = content.withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
-    return content.join(shape, ["host", "parent"], "left").select(
-        "host", "path", "m", (CONTENT_SHARE * F.col("content") + (1 - CONTENT_SHARE) * F.coalesce("presentation", F.lit(1.0))).alias("importance")
+    turns = every.groupBy("everywhere").agg(total(F.col("k_all") * F.log("k_all")).alias("turns_all"))
+    m_all = own.groupBy("everywhere").agg(total("m").alias("m_all"))
+    table = written(own.join(sums, "node").join(m_all.join(turns, "everywhere"), "everywhere"), "style-nodes")
+    size = lambda m: F.log(F.greatest(F.col(m), F.lit(2)))
+    content = lambda logs, m: F.when(F.col(m) <= 1, 1.0).otherwise(1 - F.col(logs) / (F.col("n") * size(m)))
+    shape = lambda turns, m: F.when(F.col(m) <= 1, 1.0).otherwise(F.least(F.lit(1.0), (F.log(m) - F.col(turns) / F.col(m)) / size(m)))
+    texts = table.where(~F.col("inner")).withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
+    shapes = table.where("inner").select("host", F.col("path").alias("parent"), shape("turns", "m").alias("shape"), shape("turns_all", "m_all").alias("shape_all"))
+    blend = lambda c, s: F.round(CONTENT_SHARE * c + (1 - CONTENT_SHARE) * F.coalesce(s, F.lit(1.0)), 6)
+    return texts.join(shapes, ["host", "parent"], "left").select(
+        "host", "path", "m", "m_all", blend(content("logs", "m"), F.col("shape")).alias("importance"), blend(content("logs_all", "m_all"), F.col("shape_all")).alias("importance_all")
     )
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """host and low: the nodes whose branches go, of every host and, as EVERY_HOST, of all hosts together."""
-    parsed = written(features(pages).withColumn("sketch", F.xxhash64("host", "article", "slots")), "style-pages")
-    has = parsed.join(page_parts(parsed), "sketch").select("host", "part", F.inline("has"))
-    # rounded, so that the order of a sum changes nothing
-    counts = written(has.groupBy("host", "path", "kind", "value").agg(F.round(F.sum("part"), 6).alias("k")), "style-counts")
-    every = counts.groupBy("path", "kind", "value").agg(F.round(F.sum("k"), 6).alias("k")).select(F.lit(EVERY_HOST).alias("host"), "path", "kind", "value", "k")
-    own, all_ = importances(counts), importances(every).select("path", F.col("m").alias("m_all"), F.col("importance").alias("importance_all"))
-    blended = own.join(all_, "path").withColumn(
-        "importance", (F.col("importance") * F.col("m") + F.col("importance_all") * LEAN) / (F.col("m") + LEAN)
-    )
+    """host and low: the nodes whose branches go."""
     bound = F.when(F.col("path").rlike("/(article|main)[./]|/(article|main)$"), LOW_IN_ARTICLE).otherwise(LOW)
-    low = blended.where((F.col("m") >= MIN_PAGES) & (F.col("importance") < bound))
-    return low.groupBy("host").agg(F.collect_list("path").alias("low"))
+    low = (F.col("m") >= MIN_PAGES) & (F.col("importance") < bound) | (F.col("m_all") >= MIN_PAGES) & (F.col("importance_all") < bound)
+    return importances(pages).where(low).groupBy("host").agg(F.collect_set("path").alias("low"))
+
+
+def main_text(page: Page, gone: set[str], names: bool = True) -> str:
+    """What is left without the removed branches and, unless names is false, without what its markup names as furniture."""
+    return " ".join(t for p, t, furniture, _ in page.blocks if not (names and furniture) and p not in gone)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -222,15 +272,16 @@ def main_texts(pages: DataFrame) -> DataFrame:
     host, _ = url_parts(F.col("url"))
     named = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     low = written(low_branches(named), "low-branches")
-    if low.count() <= BROADCAST_HOSTS:
+    bytes_ = low.agg(F.sum(F.length("host") + F.length(F.concat_ws("", "low")) + 64)).first()[0] or 0
+    if bytes_ <= BROADCAST_BYTES:
         low = F.broadcast(low)
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             texts = []
             for source, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 gone = set(gone or ())
-                texts.append(" ".join(t for p, t, furniture, _ in Page(source).blocks if not furniture and p not in gone))
+                texts.append(main_text(Page(source), gone))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))], names=["page_id", "url", "text", "n_chars"])
 
     return named.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
