@@ -15,12 +15,14 @@ Rounds. Documents that agree in a piece form a bucket. (1) Each document is chec
 pivot: of each of its buckets the hub, the member with most mates over all buckets, and of these the
 one it shares most pieces with. Around a much copied text that is the original, so most of a group
 is one component after this round. (2) In buckets that still hold several components, sketches are
-compared in blocks and all pairs that they leave open are checked; if these are many, each document
-is first checked against the nearest of every other component. A check compares
+compared in blocks, and each document is checked against the nearest of every other component in its
+bucket. (3) What pairs of different components are still open are checked, too. Only pairs that pass
+the bound on their sketches' distance are ever checked. A check compares
 the shingle sets themselves. Links inside one component add nothing, so groups of copies never
 become all pairs; exact copies (equal sets) are one node from the start.
 
-Pieces travel packed (6 bytes of code, 2 of place) and dealt by code; a task holds only its share.
+Pieces travel packed (6 bytes of code, 2 of place) and dealt by code, in as many deals as keep each
+to about DEAL_SHINGLES; a task holds only its share. Rounds' tables are deleted once they are read.
 
 Edge cases: null or empty texts, and texts without words, have no shingles and no links; texts of
 fewer words than a shingle are one shingle and link only with their like; repeated rows share their
@@ -38,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, text_column, written
-from .components import components
+from ..operators.components import components
+from .common import dropped, pieces, small_batches, text_column, written
 from .hashing import U64, mix, shingle_sets
 
 SHINGLE = 5
@@ -48,11 +50,11 @@ BAND = 1.25
 BLOCK = 512
 #: Bits of a sketch for each shingle, at least: fewer bits let more pairs just over the bound through to the check.
 SKETCH_BITS = 6
-#: A candidate table of at most so many rows is broadcast to the scan of texts; a larger one is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: A table of at most so many bytes is broadcast to the scan of texts; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Shingles whose pieces a task puts in order at a time, on average.
+DEAL_SHINGLES = 4_000_000
 FLUSH_KEYS = 1 << 20
-#: If no more pairs than round 1 had, and these, are open after it, they are checked at once.
-FEW_PAIRS = 100_000
 
 
 def most_apart(sizes: int, percent: int = PERCENT) -> int:
@@ -135,6 +137,33 @@ def close(one: list[bytes], other: list[bytes], sizes: np.ndarray, others: np.nd
     return np.where(100 * small >= percent * large, out, -1)
 
 
+def bound_holds(one: list[bytes], other: list[bytes], sizes: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches and sizes leave open that the sets one[i] and other[i] are similar."""
+    out = 100 * np.minimum(sizes, others) >= percent * np.maximum(sizes, others)
+    lengths = np.array([[len(x), len(y)] for x, y in zip(one, other, strict=True)]).reshape(-1, 2)
+    for a, b in np.unique(lengths[out], axis=0):
+        at = np.flatnonzero(out & (lengths == (a, b)).all(axis=1))
+        words = int(min(a, b)) // 8
+        left, right = (folded(np.frombuffer(b"".join(side[x] for x in at), U64).reshape(len(at), -1), words) for side in (one, other))
+        apart = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+        out[at] = apart * (100 + percent) <= (100 - percent) * (sizes[at] + others[at])
+    return out
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, by) whose sketches don't rule them out."""
+    of = nodes.select("set_id", "n_shingles", "sketch")
+    both = pairs.join(of.toDF("a", "n", "one"), "a").join(of.toDF("b", "m", "other"), "b").select("a", "b", "by", "n", "m", "one", "other")
+
+    def run(batches):
+        for b in pieces(batches):
+            n, m = (b.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
+            ok = bound_holds(b.column(5).to_pylist(), b.column(6).to_pylist(), n, m, percent)
+            yield b.select(["a", "b", "by"]).filter(pa.array(ok))
+
+    return both.mapInArrow(run, "a long, b long, by long")
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """The exact test on sorted sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -163,6 +192,7 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
 
 
 def texts(docs: DataFrame) -> DataFrame:
+    small_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
 
 
@@ -259,17 +289,16 @@ def pivots(found: DataFrame) -> DataFrame:
 
 
 def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, deals: int, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets are similar. Pairs are grouped by one of them, `by`, in blocks; a set goes once to each group."""
+    """The pairs (a, b) of set ids whose sets are similar, written. Pairs are grouped by one of them, `by`, in blocks; a set goes once to each group."""
     other = F.when(F.col("by") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    blocked = pairs.select(F.col("by").alias("a"), other.alias("b")).withColumn("block", F.pmod(F.xxhash64("b"), F.lit(64)))
+    blocks = pairs.groupBy("by").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    blocked = pairs.join(blocks, "by").select(F.col("by").alias("a"), other.alias("b"), F.pmod(F.xxhash64(other), F.col("blocks")).alias("block"))
     group = F.xxhash64("a", "block")
     sent = blocked.select(F.col("b").alias("set_id"), group.alias("group"), F.lit(1).alias("role"), F.col("a").alias("pivot"))
     sent = sent.unionByName(blocked.select(F.col("a").alias("set_id"), group.alias("group"), F.lit(0).alias("role"), F.col("a").alias("pivot")).distinct())
     wanted = sent.join(nodes.select("set_id", F.col("rep").alias("doc_id")), "set_id").groupBy("doc_id", "set_id").agg(F.collect_list(F.struct("group", "role", "pivot")).alias("to"))
     wanted = written(wanted, "checks")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    joined = texts(docs).join(wanted, "doc_id").select("text", "set_id", "to")
+    joined = texts(docs).join(small(wanted, F.lit(48) + 32 * F.size("to")), "doc_id").select("text", "set_id", "to")
 
     def sets(batches):
         for b in pieces(batches):
@@ -297,7 +326,9 @@ def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, deals: int, siz
 
     dealt = joined.mapInArrow(sets, "group long, role int, pivot long, set_id long, codes binary")
     dealt = dealt.repartition(deals, "group").sortWithinPartitions("group", "pivot", "role")
-    return dealt.mapInArrow(compare, "a long, b long")
+    links = written(dealt.mapInArrow(compare, "a long, b long"), "links")
+    dropped(wanted)
+    return links
 
 
 def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, done: DataFrame, deals: int, percent: int, nearest: bool) -> DataFrame:
@@ -353,26 +384,26 @@ def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, done: D
 
 def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
-    deals = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = written(set_table(docs, size), "sets")
     known = sets.where(F.col("set_id").isNotNull())
+    total = known.agg(F.sum("n_shingles")).first()[0] or 0
+    deals = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DEAL_SHINGLES))
     nodes = written(known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
     found = written(buckets(packed_pieces(docs, deals, size, percent), deals), "buckets")
 
-    pairs = written(pivots(found).select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"), F.col("pivot").alias("by")).dropDuplicates(["a", "b"]), "pairs")
-    links = written(checked(docs, nodes, pairs, deals, size, percent), "links")
-    def still_open(nearest: bool) -> DataFrame:
+    stars = pivots(found).select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"), F.col("pivot").alias("by")).dropDuplicates(["a", "b"])
+    pairs = written(possible(stars, nodes, percent), "pairs")
+    links = checked(docs, nodes, pairs, deals, size, percent)
+    for nearest in (True, False):
         labels = components(links, "a", "b")
-        found_open = split_buckets(found, nodes, labels, pairs, deals, percent, nearest).join(pairs, ["a", "b"], "left_anti")
-        return written(found_open.withColumn("by", F.col("a")), "pairs")
-
-    more = still_open(nearest=False)
-    if more.count() > pairs.count() + FEW_PAIRS:
-        near = still_open(nearest=True)
-        links = written(links.unionByName(checked(docs, nodes, near, deals, size, percent)), "links")
-        pairs = pairs.unionByName(near)
-        more = still_open(nearest=False)
-    links = written(links.unionByName(checked(docs, nodes, more, deals, size, percent)), "links")
+        still_open = split_buckets(found, nodes, labels, pairs, deals, percent, nearest).join(pairs, ["a", "b"], "left_anti")
+        still_open = written(still_open.withColumn("by", F.col("a")), "pairs")
+        if still_open.isEmpty():
+            break
+        pairs = pairs.unionByName(still_open)
+        links = links.unionByName(checked(docs, nodes, still_open, deals, size, percent))
+    dropped(found)
+    dropped(pairs)
 
     rep = nodes.select("set_id", "rep")
     named = links.join(rep.withColumnsRenamed({"set_id": "a", "rep": "x"}), "a").join(rep.withColumnsRenamed({"set_id": "b", "rep": "y"}), "b")
@@ -385,20 +416,22 @@ def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     )
 
 
-def small(ids: DataFrame, what: str) -> tuple[DataFrame, bool]:
-    """ids as a written table, broadcast to joins up to BROADCAST_ROWS rows, and whether it has any."""
-    ids = written(ids, what)
-    n = ids.count()
-    return (F.broadcast(ids) if n <= BROADCAST_ROWS else ids), n > 0
+def small(table: DataFrame, row_bytes) -> DataFrame:
+    """A written table, broadcast to joins if its rows' bytes sum to at most BROADCAST_BYTES."""
+    total = table.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, the one of least doc_id, and one row of it. Rows without doc_id stay."""
+    """docs with one document of each component, the one of least doc_id, and one row of it, that of the least text. Rows without doc_id stay."""
     linked = linked_documents(docs, size, percent)
     rows = written(linked.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("n")), "kept")
-    gone, _ = small(rows.where(~F.col("first")).select("doc_id"), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated, any_repeated = small(rows.where("first AND n > 1").select("doc_id"), "repeated")
-    if any_repeated:
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    gone = rows.where(~F.col("first")).select("doc_id")
+    kept = docs.join(small(gone, F.lit(24)), "doc_id", "left_anti")
+    repeated = rows.where("first AND n > 1").select("doc_id")
+    if not repeated.isEmpty():
+        repeated = small(repeated, F.lit(24))
+        whole, order = F.struct(*docs.columns), F.struct(text_column(docs), F.xxhash64(*docs.columns))
+        single = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, order).alias("row")).select("row.*")
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(single)
     return kept.select(*docs.columns)
