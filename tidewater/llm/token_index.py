@@ -3,8 +3,11 @@
 Documents are dealt by key range and sorted; each task tokenizes its run and packs it in segments of
 about SEGMENT_IDS ids. A segment holds the raw little-endian payload and an index: a minimal perfect
 hash of its document keys (hash and displace: buckets get a seed that sends their keys to free
-places), and for each place a fingerprint of the key, its first id and its number of ids. A lookup
-reads one seed and one place; a key that is not there is told by its fingerprint.
+places), and for each place a fingerprint of the key, the key, its first id and its number of ids. A
+lookup reads one seed and one place; a key that is not there is told by its fingerprint, or else by
+the key itself. All reading, of single documents and of whole tables, goes through these lookups.
+
+Each Python worker keeps the ids of words it has met, in two generations of at most KEPT_WORDS words.
 
 Segments are rows of a Parquet table, so writing commits whole files, survives lost executors and
 works in any store Spark can write to. Keys find their segment by the key range in the row, which
@@ -12,7 +15,7 @@ the reader pushes down to file statistics. Where a segment starts among all ids
 sums over segment sizes, not from the ids.
 
 Edge cases: a null or empty text has the end id alone; a repeated or null key gets one entry for each
-row (the key is doc_id and its occurrence in the segment); an empty table writes no segments; very
+row (the key is doc_id and its occurrence in the segment, and nulls are told from numbers); an empty table writes no segments; very
 long texts make a segment of their own.
 """
 
@@ -21,7 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import count
 from struct import pack as pack_ids
 from unicodedata import is_normalized
 
@@ -31,14 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import held, pieces, small_batches, text_column
 from .hashing import U64, mix
 
 END_ID = 1
 SEGMENT_IDS = 1 << 18
-KEPT_WORDS = 800_000
+KEPT_WORDS = 200_000
+#: Longer words are not kept, so that a table's bytes are bounded with its words.
+KEPT_LENGTH = 48
 KEYS_PER_BUCKET = 4
-NULL_KEY = -(1 << 63)
 #: Letters, then marks that the tokenizer never joins to letters: the two can be encoded apart. İ ends in a mark once lower-cased.
 WORD_AND_MARKS = re.compile(r"([^\W\d_]*[^\W\d_İ])([.,!?&$%*#|:;]+)")
 
@@ -60,15 +64,15 @@ class WordTokenizer:
     """Ids of whole texts by the tokenizers library, which sees each distinct word once.
 
     Blanks separate words for this tokenizer and it keeps nothing of them, so a text's ids are those of
-    its words in turn. Ids of words are kept in a bounded table in each Python worker.
+    its words in turn.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @staticmethod
     def plain(part: str) -> str | None:
@@ -79,13 +83,14 @@ class WordTokenizer:
             return part.encode().decode("latin-1").translate(BYTE_LETTERS)
         return None
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.words) > KEPT_WORDS:
-            self.words.clear()
-        if len(self.ids) > KEPT_WORDS:
-            self.ids.clear()
-        ids, merges, cut, odd = self.ids, self.tokenizer.model.tokenize, {}, []
-        for c in chunks:
+    def learn(self, words: set[str]) -> list[str]:
+        """Gives the young table the ids of these words; the long ones, which are not to be kept, come back."""
+        young, old, merges, cut, odd = self.young, self.old.get, self.tokenizer.model.tokenize, {}, []
+        for c in [w for w in words if w not in young]:
+            ids = old(c)
+            if ids is not None:
+                young[c] = ids
+                continue
             if c.isascii() and c.isalpha():
                 parts = (c.lower(),)
             else:
@@ -93,44 +98,41 @@ class WordTokenizer:
                 # a special token's name is one only as it is written
                 parts = tuple([p if "<|" in p or "Σ" in p or "İ" in p or not is_normalized("NFC", p) else p.lower() for p in parts])
             for p in parts:
-                if p not in ids:
-                    mapped = self.plain(p)
-                    if mapped is None:
-                        ids[p] = b""  # until the library has encoded it
+                if p not in young:
+                    ids = old(p)
+                    if ids is not None:
+                        young[p] = ids
+                    elif (mapped := self.plain(p)) is None:
+                        young[p] = b""  # until the library has encoded it
                         odd.append(p)
                     else:  # one word to the tokenizer: only its merges are left to do
                         found = [t.id for t in merges(mapped)]
-                        ids[p] = pack_ids(f"<{len(found)}I", *found)
+                        young[p] = pack_ids(f"<{len(found)}I", *found)
             cut[c] = parts
         for p, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
-            ids[p] = np.array(e.ids, "<u4").tobytes()
-        self.words.update((c, ids[parts[0]] if len(parts) == 1 else ids[parts[0]] + ids[parts[1]]) for c, parts in cut.items())
+            young[p] = np.array(e.ids, "<u4").tobytes()
+        young.update([(c, young[parts[0]] if len(parts) == 1 else young[parts[0]] + young[parts[1]]) for c, parts in cut.items()])
+        return [w for c, parts in cut.items() for w in (c, *parts) if len(w) > KEPT_LENGTH]
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers, then end."""
-        get, out = self.words.get, []
-        for t in texts:
-            words = t.replace("\n", " ").split(" ")
-            found = list(map(get, words))
-            if None in found:
-                self.learn({w for w, f in zip(words, found, strict=True) if f is None})
-                found = list(map(get, words))
-                if None in found:  # the table was emptied meanwhile
-                    self.learn(set(words))
-                    found = list(map(get, words))
-            found.append(end)
-            out.append(b"".join(found))
+        words = [t.replace("\n", " ").split(" ") for t in texts]
+        passing, get = self.learn(set().union(*words)), self.young.__getitem__
+        out = [b"".join([*map(get, own), end]) for own in words]
+        for w in passing:
+            self.young.pop(w, None)
+        if len(self.young) >= KEPT_WORDS:
+            self.young, self.old = {}, self.young
         return out
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return held(f"words {path}", lambda: WordTokenizer(path))
 
 
-def key_codes(keys: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+def key_codes(keys: np.ndarray, occurrence: np.ndarray, null: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(mix(keys.astype(np.int64).view(U64) + U64(0x632BE59BD9B4E019)) + occurrence.astype(U64) * U64(0x9E3779B97F4A7C15))
+        return mix(mix(keys.astype(np.int64).view(U64) + U64(0x632BE59BD9B4E019)) + occurrence.astype(U64) * U64(0x9E3779B97F4A7C15) + null.astype(U64))
 
 
 def place_of(codes: np.ndarray, seeds: np.ndarray, n: int) -> np.ndarray:
@@ -165,47 +167,60 @@ def perfect_hash(codes: np.ndarray) -> np.ndarray:
     return seeds
 
 
-INDEX_ENTRY = np.dtype([("fingerprint", "<u4"), ("occurrence", "<u4"), ("key", "<i8"), ("first", "<u8"), ("count", "<u8")])
+INDEX_ENTRY = np.dtype([("fingerprint", "<u4"), ("occurrence", "<u4"), ("key", "<i8"), ("null", "?"), ("first", "<u8"), ("count", "<u8")])
 
 
 def pack(keys: list[int | None], ids: list[bytes]) -> tuple[bytes, bytes, bytes]:
     """Seeds, index entries and payload of a segment."""
-    key = np.array([NULL_KEY if k is None else k for k in keys], np.int64)
-    order = np.argsort(key, kind="stable")
-    runs = np.concatenate([[0], np.flatnonzero(np.diff(key[order])) + 1]) if len(key) else np.zeros(0, np.int64)
+    key, null = np.array([k or 0 for k in keys], np.int64), np.array([k is None for k in keys], bool)
+    order = np.lexsort((key, null))
+    fresh = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(null[order]) != 0)]) if len(key) else np.zeros(0, bool)
+    runs = np.flatnonzero(fresh)
     occurrence = np.empty(len(key), np.int64)
     occurrence[order] = np.arange(len(key)) - np.repeat(runs, np.diff(np.concatenate([runs, [len(key)]])))
-    codes = key_codes(key, occurrence)
+    codes = key_codes(key, occurrence, null)
     seeds = perfect_hash(codes)
-    at = place_of(codes, seeds[((codes >> U64(32)) % U64(len(seeds))).astype(np.int64)], len(codes))
+    at = place_of(codes, seeds[bucket_of(codes, len(seeds))], len(codes))
     counts = np.array([len(x) // 4 for x in ids], np.uint64)
     entries = np.zeros(len(codes), INDEX_ENTRY)
     entries["fingerprint"][at] = (codes & U64(0xFFFFFFFF)).astype(np.uint32)
-    entries["occurrence"][at], entries["key"][at] = occurrence, key
+    entries["occurrence"][at], entries["key"][at], entries["null"][at] = occurrence, key, null
     entries["first"][at], entries["count"][at] = np.cumsum(counts) - counts, counts
     return seeds.tobytes(), entries.tobytes(), b"".join(ids)
 
 
+def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((codes >> U64(32)) % U64(buckets)).astype(np.int64)
+
+
+def places(seeds: np.ndarray, entries: np.ndarray, keys: np.ndarray, occurrence: np.ndarray, null: np.ndarray) -> np.ndarray:
+    """The index entry of each key, -1 for those that the segment lacks: one seed and one place are read for each."""
+    if not len(entries):
+        return np.full(len(keys), -1)
+    codes = key_codes(keys, occurrence, null)
+    at = place_of(codes, seeds[bucket_of(codes, len(seeds))], len(entries))
+    found = entries[at]
+    here = (found["fingerprint"] == (codes & U64(0xFFFFFFFF))) & (found["key"] == keys) & (found["occurrence"] == occurrence) & (found["null"] == null)
+    return np.where(here, at, -1)
+
+
 def lookup(seeds: bytes, entries: bytes, payload: bytes, key: int | None, occurrence: int = 0) -> bytes | None:
-    """The ids of a key in constant time, or None if it is not in the segment."""
-    seed, entry = np.frombuffer(seeds, np.uint32), np.frombuffer(entries, INDEX_ENTRY)
-    code = key_codes(np.array([NULL_KEY if key is None else key]), np.array([occurrence]))
-    at = place_of(code, seed[((code >> U64(32)) % U64(len(seed))).astype(np.int64)], len(entry))[0]
-    e = entry[at]
-    if e["fingerprint"] != int(code[0]) & 0xFFFFFFFF:
-        return None
-    return payload[4 * int(e["first"]) : 4 * (int(e["first"]) + int(e["count"]))]
+    """The ids of a key's row in constant time, or None if it is not in the segment."""
+    entry = np.frombuffer(entries, INDEX_ENTRY)
+    at = places(np.frombuffer(seeds, np.uint32), entry, np.array([key or 0]), np.array([occurrence]), np.array([key is None]))[0]
+    return None if at < 0 else payload[4 * int(entry[at]["first"]) : 4 * (int(entry[at]["first"]) + int(entry[at]["count"]))]
 
 
-SEGMENTS = "part int, seq int, first_key long, last_key long, n_docs int, part_start long, n_ids long, seeds binary, entries binary, payload binary"
+SEGMENTS = "part int, seq int, first_key long, last_key long, nulls int, n_docs int, part_start long, n_ids long, seeds binary, entries binary, payload binary"
 SEGMENT_SCHEMA = pa.schema(
-    [("part", pa.int32()), ("seq", pa.int32()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("n_docs", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("seeds", pa.binary()), ("entries", pa.binary()), ("payload", pa.binary())]
+    [("part", pa.int32()), ("seq", pa.int32()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("nulls", pa.int32()), ("n_docs", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("seeds", pa.binary()), ("entries", pa.binary()), ("payload", pa.binary())]
 )
 
 
 def write_segments(docs: DataFrame, tokenizer_file: str, path: str, parts: int | None = None) -> None:
     """Tokenizes all texts and writes them, in ascending doc_id order, as segments at path."""
     spark = docs.sparkSession
+    small_batches(docs)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     end = np.array([END_ID], "<u4").tobytes()
 
@@ -215,12 +230,12 @@ def write_segments(docs: DataFrame, tokenizer_file: str, path: str, parts: int |
         def row():
             seeds, entries, payload = pack(keys, ids)
             known = [k for k in keys if k is not None]
-            values = (part, seq, min(known, default=None), max(known, default=None), len(keys), before, len(payload) // 4, seeds, entries, payload)
+            values = (part, seq, min(known, default=None), max(known, default=None), len(keys) - len(known), len(keys), before, len(payload) // 4, seeds, entries, payload)
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, SEGMENT_SCHEMA, strict=True)], schema=SEGMENT_SCHEMA)
 
-        for b in batches:
-            for k in range(0, b.num_rows, 64):
-                some = b.slice(k, 64)
+        for b in pieces(batches, f"words {tokenizer_file}"):
+            for k in range(0, b.num_rows, 128):
+                some = b.slice(k, 128)
                 for key, own in zip(some.column(0).to_pylist(), tokenizer(tokenizer_file).encode(some.column(1).to_pylist(), end), strict=True):
                     keys.append(key)
                     ids.append(own)
@@ -250,21 +265,29 @@ def documents_of(segments: DataFrame) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, entries, payload in zip(*(b.column(k) for k in range(3)), strict=True):
-                entry = np.sort(np.frombuffer(entries.as_py(), INDEX_ENTRY), order="first")
-                data, first, count = memoryview(payload.as_py()), entry["first"].astype(np.int64), entry["count"].astype(np.int64)
-                crc = [zlib.crc32(data[4 * f : 4 * (f + n)]) for f, n in zip(first.tolist(), count.tolist(), strict=True)]
-                keys = pa.array(entry["key"], mask=entry["key"] == NULL_KEY)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(first + start.as_py()), pa.array(count), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return segments.select("start", "entries", "payload").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def ids_of(spark: SparkSession, path: str, key: int) -> np.ndarray | None:
-    """The ids of one document by its key."""
-    rows = spark.read.schema(SEGMENTS).parquet(path).where((F.col("first_key") <= key) & (F.col("last_key") >= key))
-    for r in rows.select("seeds", "entries", "payload").toLocalIterator():
-        found = lookup(bytes(r.seeds), bytes(r.entries), bytes(r.payload), key)
-        if found is not None:
-            return np.frombuffer(found, "<u4")
-    return None
+            for start, seeds, entries, payload in zip(*(b.column(k) for k in range(4)), strict=True):
+                entry, data = np.frombuffer(entries.as_py(), INDEX_ENTRY), memoryview(payload.as_py())
+                wanted = np.sort(entry, order="first")  # the segment's keys in order
+                at = places(np.frombuffer(seeds.as_py(), np.uint32), entry, wanted["key"], wanted["occurrence"], wanted["null"])
+                if (at < 0).any():
+                    raise ValueError("the index of a segment lacks some of its keys")
+                first, n_ids = entry["first"][at].astype(np.int64), entry["count"][at].astype(np.int64)
+                crc = [zlib.crc32(data[4 * f : 4 * (f + n)]) for f, n in zip(first.tolist(), n_ids.tolist(), strict=True)]
+                keys = pa.array(wanted["key"], mask=wanted["null"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(first + start.as_py()), pa.array(n_ids), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return segments.select("start", "seeds", "entries", "payload").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def ids_of(spark: SparkSession, path: str, key: int | None) -> list[np.ndarray]:
+    """The ids of every row with this key, in the order of the file; none if there is no such row."""
+    hit = F.col("nulls") > 0 if key is None else (F.col("first_key") <= key) & (F.col("last_key") >= key)
+    rows, out = spark.read.schema(SEGMENTS).parquet(path).where(hit), []
+    for r in rows.orderBy("part", "seq").select("seeds", "entries", "payload").toLocalIterator():
+        segment = (bytes(r.seeds), bytes(r.entries), bytes(r.payload))
+        for occurrence in count(0):
+            found = lookup(*segment, key, occurrence)
+            if found is None:
+                break
+            out.append(np.frombuffer(found, "<u4"))
+    return out
