@@ -1,15 +1,18 @@
 """Toxicity by a bidirectional gated recurrent network over words and their characters.
 
-A word's input is the embedding of its hash plus those of its character beginnings and endings of a
-few lengths, so unseen words with telling parts count. Two gated recurrent layers read a window of WINDOW words in
-both directions, attention pools their states, and a linear unit gives the window's logit. Windows
-overlap by half and cover the whole text; a document scores by its strongest window, scaled to a
-probability on the training documents.
-
-Trained in numpy with Adam on at most 2 x PER_CLASS labelled documents (at most TRAIN_WINDOWS windows
-of each): first on all windows, then only on each document's strongest one, as a toxic document need
-not be toxic throughout. Scoring is one pass over all texts without shuffle; inputs to the gates are
-computed once for each distinct word of a slice.
+A word's input is the embedding of its hash, plus those of its beginnings and endings of a few
+characters, plus the mean of those of all its runs of INNER characters; so unseen words with telling
+parts count. Two gated recurrent layers read a window of WINDOW words in both directions, attention
+pools their states, and a linear unit gives the window's logit. Windows overlap by half and cover the
+whole text; a document scores by its strongest window, scaled to a probability on the training
+documents.
+
+Trained in numpy with Adam on at most 2 x PER_CLASS labelled documents, first on windows drawn from all,
+then on each document's strongest one, as a toxic document need not be toxic throughout. The
+strongest come from CANDIDATES windows of each document, which are chosen from all of its windows
+every REFRESH epochs. Batches are smaller for smaller samples, so that few labels get as many steps.
+Scoring is one pass over all texts without shuffle; inputs to the gates are computed once for each
+distinct word of a slice.
 
 Edge cases: null or empty texts, or texts of marks only, are one window without words, whose score
 is 0; repeated rows score alike; an empty table gives no rows; without labels of both classes every
@@ -27,13 +30,15 @@ from .hashing import U64, Words, mix, powers, slices
 from .labels import held_out, sample
 
 PER_CLASS = 1500
-TRAIN_WINDOWS = 12
+CANDIDATES, REFRESH = 4, 5
 WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 15
-#: Bytes of the beginnings and of the endings that a word is read by.
-BEGINNINGS, ENDINGS = (3, 4, 5, 6), (3, 4)
+#: Characters of the beginnings, of the endings and of the runs anywhere that a word is read by.
+BEGINNINGS, ENDINGS, INNER = (3, 4, 5, 6), (3, 4), 4
 INPUT, HIDDEN, ATTEND = 16, 8, 8
-EPOCHS_ALL, EPOCHS_TOP, RATE, BATCH = 3, 14, 0.01, 256
+EPOCHS_ALL, EPOCHS_TOP, RATE = 3, 14, 0.01
+#: Windows of a training step: this, or fewer for a sample of few documents.
+BATCH, STEPS_AN_EPOCH = 256, 12
 MODULUS, REST = 5, 0
 #: Words are runs of letters and digits; bytes beyond ASCII count as letters.
 MARKS = np.array([not (chr(k).isalnum() and k < 128 or k >= 128) for k in range(256)])
@@ -46,11 +51,19 @@ class Inputs:
         words = Words(texts, blank=MARKS)
         codes, first, self.of_word = np.unique(words.codes, return_index=True, return_inverse=True)
         start, end = words.starts[first], words.ends[first]
-        spans = [(start, np.minimum(start + n, end), n) for n in BEGINNINGS] + [(np.maximum(end - n, start), end, 100 + n) for n in ENDINGS]
+        begins = np.append((words.buffer & 0xC0) != 0x80, True)  # a character begins
+        at = np.flatnonzero(begins)  # where each character begins
+        nth = np.cumsum(begins) - 1
+        low, high = nth[start], nth[end]  # first character, and the one after the last
+        spans = [(start, at[np.minimum(low + n, high)], n) for n in BEGINNINGS] + [(at[np.maximum(high - n, low)], end, 100 + n) for n in ENDINGS]
         down = powers(len(words.buffer) + 1)[1]
         with np.errstate(over="ignore"):
-            grams = [mix((words.run[b] - words.run[a]) * down[a] + U64(k)) % U64(GRAM_ROWS) for a, b, k in spans]
-        self.words, self.grams = (codes % U64(WORD_ROWS)).astype(np.int64), np.stack(grams, axis=1).astype(np.int64)
+            row = lambda a, b, kind: (mix((words.run[b] - words.run[a]) * down[a] + U64(kind)) % U64(GRAM_ROWS)).astype(np.int64)
+            self.grams = np.stack([row(a, b, k) for a, b, k in spans], axis=1)
+            self.n_inner = np.maximum(high - low - INNER + 1, 0)
+            inner = np.repeat(low - (np.cumsum(self.n_inner) - self.n_inner), self.n_inner) + np.arange(self.n_inner.sum())
+            self.inner = row(at[inner], at[inner + INNER], 200)
+        self.words = (codes % U64(WORD_ROWS)).astype(np.int64)
         counts = words.counts()
         per = np.where(counts > 0, np.maximum(1, -(-(counts - WINDOW) // STRIDE) + 1), 0)
         self.text = np.repeat(np.arange(len(texts)), per)
@@ -71,6 +84,7 @@ class Merged(Inputs):
         total, before = int(sizes.sum()), np.cumsum(sizes) - sizes
         self.words = np.concatenate([x.words for _, x in parts])
         self.grams = np.concatenate([x.grams for _, x in parts])
+        self.n_inner, self.inner = np.concatenate([x.n_inner for _, x in parts]), np.concatenate([x.inner for _, x in parts])
         self.text = np.concatenate([x.text + a for a, x in parts])
         self.sizes = np.concatenate([x.sizes for _, x in parts])
         self.windows = np.concatenate([np.where(x.windows == n, total, x.windows + k) for (_, x), n, k in zip(parts, sizes, before, strict=True)])
@@ -98,16 +112,31 @@ def new_parameters(seed: int = 11) -> dict[str, np.ndarray]:
     }
 
 
-def embedded(p: dict[str, np.ndarray], words: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """A row for each word, and one of zeros for the padding."""
-    out = np.zeros((len(words) + 1, INPUT), np.float32)
+def embedded(p: dict[str, np.ndarray], x: Inputs, some: np.ndarray | None = None) -> np.ndarray:
+    """A row for each word, or each of some, and one of zeros for the padding."""
+    words, grams, inner, count = x.words, x.grams, x.inner, x.n_inner
+    if some is not None:
+        inner, count = inner_of(x, some)
+        words, grams = words[some], grams[some]
+    out = np.zeros((len(words) + 1, p["word"].shape[1]), p["word"].dtype)
     if len(words):
         out[:-1] = p["word"][words]
         for k in range(grams.shape[1]):
             out[:-1] += p["gram"][grams[:, k]]
+        has = np.flatnonzero(count)
+        if len(has):
+            first = (np.cumsum(count) - count)[has]
+            out[has] += np.add.reduceat(p["gram"][inner], first, axis=0) / count[has][:, None].astype(out.dtype)
     return out
 
 
+def inner_of(x: Inputs, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inner runs of some words, one after the other, and how many each has."""
+    count = x.n_inner[some]
+    first = (np.cumsum(x.n_inner) - x.n_inner)[some]
+    return x.inner[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())], count
+
+
 def layer(gates: np.ndarray, ids: np.ndarray, real: np.ndarray | None, back: np.ndarray, keep: bool):
     """One gated recurrent layer over ids by step: states (step, window, unit), and what its gradient needs. real: None if nothing is padding."""
     steps, n, h = *ids.shape, HIDDEN
@@ -176,8 +205,9 @@ def gradients(p: dict[str, np.ndarray], x: Inputs, which: np.ndarray, labels: np
     """Gradients; those of embedding tables as (rows, values)."""
     used, at = np.unique(x.windows[which], return_inverse=True)
     pad = used[-1] == len(x.words)
-    words, grams = x.words[used[:-1] if pad else used], x.grams[used[:-1] if pad else used]
-    rows, windows = embedded(p, words, grams), at.reshape(len(which), WINDOW)
+    some = used[:-1] if pad else used
+    words, grams, (inner, count) = x.words[some], x.grams[some], inner_of(x, some)
+    rows, windows = embedded(p, x, some), at.reshape(len(which), WINDOW)
     logit, (states, hidden, weight, pooled, real, kept_f, kept_b) = forward(p, rows, windows, x.sizes[which], keep=True)
     h, g = HIDDEN, {}
     d = ((sigmoid(logit) - labels) * weights / len(which)).astype(np.float32)
@@ -198,7 +228,8 @@ def gradients(p: dict[str, np.ndarray], x: Inputs, which: np.ndarray, labels: np
     g["in"], g["in_bias"] = rows.T @ summed, summed.sum(axis=0)
     d_rows = (summed @ p["in"].T)[: len(words)]
     g["word"] = (words, d_rows)
-    g["gram"] = (grams.ravel(), np.repeat(d_rows, grams.shape[1], axis=0))
+    mean = d_rows / np.maximum(count, 1)[:, None].astype(d_rows.dtype)
+    g["gram"] = (np.concatenate([grams.ravel(), inner]), np.concatenate([np.repeat(d_rows, grams.shape[1], axis=0), np.repeat(mean, count, axis=0)]))
     return g
 
 
@@ -217,23 +248,21 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> dict[str, np.
         return None
     p, rng = new_parameters(seed), np.random.default_rng(seed)
     x = Merged(texts)
-    order = rng.permutation(len(x.text))
-    order = order[np.argsort(x.text[order], kind="stable")]  # by text, windows in random order
-    nth = np.arange(len(order)) - np.searchsorted(x.text[order], x.text[order])
-    usable = order[nth < TRAIN_WINDOWS]
+    every = np.arange(len(x.text))
     share = labels.mean()
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
+    batch = max(1, min(BATCH, len(texts) // STEPS_AN_EPOCH))
     for epoch in range(EPOCHS_ALL + EPOCHS_TOP):
         if epoch < EPOCHS_ALL:
-            chosen = rng.permutation(usable)[: 3 * len(texts)]
+            chosen = strongest(x, every, rng.random(len(every)), 3)
         else:
-            logit = window_logits(p, x, usable)
-            best = np.lexsort((logit, x.text[usable]))
-            last = np.concatenate([np.flatnonzero(np.diff(x.text[usable][best])), [len(best) - 1]])
-            chosen = rng.permutation(usable[best[last]])
-        for k in range(0, len(chosen), BATCH):
-            some = chosen[k : k + BATCH]
+            if (epoch - EPOCHS_ALL) % REFRESH == 0:
+                candidates = strongest(x, every, window_logits(p, x, every), CANDIDATES)
+            chosen = strongest(x, candidates, window_logits(p, x, candidates), 1)
+        chosen = rng.permutation(chosen)
+        for k in range(0, len(chosen), batch):
+            some = chosen[k : k + batch]
             own = x.text[some]
             g, step = gradients(p, x, some, labels[own].astype(np.float32), balance[own]), step + 1
             for name, d in g.items():
@@ -250,6 +279,13 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> dict[str, np.
     return p | {"scale": calibrated(logits[seen], labels[seen])}
 
 
+def strongest(x: Inputs, windows: np.ndarray, strength: np.ndarray, n: int) -> np.ndarray:
+    """Of the windows, the n strongest of each text."""
+    order = windows[np.lexsort((-strength, x.text[windows]))]
+    own = x.text[order]
+    return order[np.arange(len(order)) - np.searchsorted(own, own) < n]
+
+
 def calibrated(logit: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Slope and offset of a logistic curve through the training documents, lightly shrunk."""
     a, b = 1.0, 0.0
@@ -265,7 +301,7 @@ def calibrated(logit: np.ndarray, labels: np.ndarray) -> np.ndarray:
 
 def window_logits(p: dict[str, np.ndarray], x: Inputs, which: np.ndarray) -> np.ndarray:
     """Logits of some windows; full ones first, as they need no masks."""
-    gates, out = embedded(p, x.words, x.grams) @ p["in"] + p["in_bias"], np.empty(len(which))
+    gates, out = embedded(p, x) @ p["in"] + p["in_bias"], np.empty(len(which))
     order = np.argsort(-x.sizes[which], kind="stable")
     full = int((x.sizes[which] == WINDOW).sum())
     for k in [*range(0, full, 1024), *range(full, len(which), 1024)]:
