@@ -1,33 +1,16 @@
-"""What the corpus operators share: tables, the shared folder, and written tables that cut lineage."""
+"""What the corpus operators share: texts of bounded slices, and one model at a time in a Python worker."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import dropped, shared_dir, written
+from ..sources.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. Own temporary folder only where the session names none, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tidewater-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewater/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["dropped", "held", "kept_rows", "per_text", "pieces", "shared_dir", "table", "text_column", "written"]
 
 
 def text_column(df: DataFrame, name: str = "text"):
@@ -39,14 +22,37 @@ def text_column(df: DataFrame, name: str = "text"):
 ROWS_AT_ONCE = 256
 
 
-def pieces(batches):
-    """Arrow batches cut to ROWS_AT_ONCE rows."""
+_held: dict[str, object] = {}
+
+
+def held(name: str, build: Callable):
+    """A model or table that a Python worker keeps between tasks: one at a time, so that a stage frees what the one before held."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = build()
+    return _held[name]
+
+
+def pieces(batches, holds: str | None = None):
+    """Arrow batches cut to ROWS_AT_ONCE rows, for a task that uses no other held thing than that."""
+    if holds not in _held:
+        _held.clear()
     for b in batches:
         for k in range(0, b.num_rows, ROWS_AT_ONCE):
             yield b.slice(k, ROWS_AT_ONCE)
 
 
-def per_text(docs: DataFrame, columns: str, score, key: str = "doc_id") -> DataFrame:
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> None:
+    """Arrow batches of at most 4 MB, unless the session sets a bound of its own: texts may be long, and each task holds a batch on both sides."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES) == "67108864b":  # the default
+        conf.set(BATCH_BYTES, "4m")
+
+
+def per_text(docs: DataFrame, columns: str, score, key: str = "doc_id", holds: str | None = None) -> DataFrame:
     """key and, from Arrow batches of whole texts (null: empty), the given columns, each a list or array of score(texts).
 
     Keys pass through as Arrow, so nulls and large ids stay exact.
@@ -60,14 +66,15 @@ def per_text(docs: DataFrame, columns: str, score, key: str = "doc_id") -> DataF
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, holds):
             found = score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field(0).type), *(pa.array(v, type=f.type) for v, f in zip(found, list(arrow)[1:], strict=True))], schema=arrow)
 
+    small_batches(docs)
     return docs.select(key, text_column(docs).alias("text")).mapInArrow(run, schema)
 
 
-def kept_rows(docs: DataFrame, keep, text: str = "text") -> DataFrame:
+def kept_rows(docs: DataFrame, keep, text: str = "text", holds: Callable[[], str] = lambda: None) -> DataFrame:
     """The rows whose whole text (null: empty) keep(texts) holds true for. Rows pass through as they are: nothing is joined or shuffled."""
     import numpy as np
     import pyarrow as pa
@@ -75,8 +82,9 @@ def kept_rows(docs: DataFrame, keep, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, holds()):
             texts = [t or "" for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(np.asarray(keep(texts), bool)))
 
+    small_batches(docs)
     return docs.mapInArrow(run, docs.schema)

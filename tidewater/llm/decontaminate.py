@@ -18,6 +18,7 @@ the texts are read.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_rows, pieces, text_column
+from .common import held, kept_rows, pieces, small_batches, text_column
 from .hashing import U64, Words, mix, powers, slices
 from .toxicity_gru import MARKS
 
@@ -96,7 +97,7 @@ def least_distance(masks: dict[int, int], m: int, text: list[int]) -> int:
     return best
 
 
-def held(items: Items, texts: list[bytes]) -> list[tuple[int, int, int]]:
+def matches(items: Items, texts: list[bytes]) -> list[tuple[int, int, int]]:
     """(text, item, distance) of every text and item within the item's budget."""
     words = Words(texts, blank=MARKS)
     count = words.counts()
@@ -142,48 +143,53 @@ def item_blocks(benchmark: DataFrame):
         if len(ids) >= BLOCK_ITEMS or size >= BLOCK_BYTES:
             yield ids, texts
             ids, texts, size = [], [], 0
-    yield ids, texts
+    if ids:
+        yield ids, texts
+
+
+def index(shared, percent: int) -> Items:
+    """The pieces of a block of items, kept by the Python worker."""
+    return held(block_name(shared, percent), lambda: Items(*shared.value[:2], percent))
+
+
+def block_name(shared, percent: int) -> str:
+    return f"items {shared.value[2]} {percent}"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = ERROR_PERCENT) -> DataFrame:
     """doc_id, item_id, item_words and distance of every document and item that it holds."""
     spark, out = docs.sparkSession, None
+    small_batches(docs)
     names = ["doc_id", "item_id", "item_words", "distance"]
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     for ids, texts in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast((ids, texts))
-        state: dict[str, Items] = {}
-
-        def run(batches, shared=shared, state=state):
-            if "items" not in state:
-                state["items"] = Items(*shared.value, percent)
-            items = state["items"]
-            for b in pieces(batches):
+        shared = spark.sparkContext.broadcast((ids, texts, uuid.uuid4().hex))
+
+        def run(batches, shared=shared):
+            items = index(shared, percent)
+            for b in pieces(batches, block_name(shared, percent)):
                 keys, raw = b.column(0).to_pylist(), lowered(b.column(1).to_pylist())
-                found = [(a + t, i, d) for a, z in slices(raw) for t, i, d in held(items, raw[a:z])]
+                found = [(a + t, i, d) for a, z in slices(raw) for t, i, d in matches(items, raw[a:z])]
                 columns = ([keys[t] for t, _, _ in found], [items.ids[i] for _, i, _ in found], [len(items.codes[i]) for _, i, _ in found], [d for _, _, d in found])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         block = source.mapInArrow(run, "doc_id long, item_id long, item_words long, distance long")
         out = block if out is None else out.unionByName(block)
-    return out
+    return spark.createDataFrame([], "doc_id long, item_id long, item_words long, distance long") if out is None else out
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = ERROR_PERCENT) -> DataFrame:
     """docs without the rows whose text holds an item."""
     for ids, texts in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
-        state: dict[str, Items] = {}
+        shared = docs.sparkSession.sparkContext.broadcast((ids, texts, uuid.uuid4().hex))
 
-        def clean(texts, shared=shared, state=state):
-            if "items" not in state:
-                state["items"] = Items(*shared.value, percent)
-            raw = lowered(texts)
+        def clean(texts, shared=shared):
+            items, raw = index(shared, percent), lowered(texts)
             out = np.ones(len(raw), bool)
             for a, z in slices(raw):
-                for t, _, _ in held(state["items"], raw[a:z]):
+                for t, _, _ in matches(items, raw[a:z]):
                     out[a + t] = False
             return out
 
-        docs = kept_rows(docs, clean)
+        docs = kept_rows(docs, clean, holds=lambda shared=shared: block_name(shared, percent))
     return docs

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_column
 
+SAMPLE_BYTES = 32 << 20
+
 
 def remainder(key, modulus: int):
     """crc32 of the key as text, by the modulus."""
@@ -19,7 +21,7 @@ def held_out(key, modulus: int, rest: int):
 
 
 def sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, rest: int, per_class: int) -> DataFrame:
-    """doc_id, text and label of at most per_class documents of each class, those of least hash; none is held out.
+    """doc_id, text and label of at most per_class documents and SAMPLE_BYTES of text of each class, those of least hash; none is held out.
 
     Only ids that docs has are drawn. Null labels are no labels; of a repeated doc_id the least label and the least text count.
     """
@@ -30,4 +32,6 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, rest:
         some = usable.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         drawn = some if drawn is None else drawn.unionByName(some)
     # at most two times per_class rows, so the broadcast is bounded
-    return docs.select("doc_id", text_column(docs).alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    whole = docs.select("doc_id", text_column(docs).alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    before = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return whole.withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0))).where(F.col("before") < SAMPLE_BYTES).select("doc_id", "text", "label")

@@ -22,14 +22,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import pairwise
 
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text
+from .common import held, per_text
 from .hashing import slices
 
 SPACE = "▁"
@@ -280,9 +279,8 @@ def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-@lru_cache(maxsize=2)
 def codec(model_file: str) -> PieceCodec:
-    return PieceCodec(model_file)
+    return held(f"pieces {model_file}", lambda: PieceCodec(model_file))
 
 
 def digests(docs: DataFrame, model_file: str) -> DataFrame:
@@ -294,12 +292,12 @@ def digests(docs: DataFrame, model_file: str) -> DataFrame:
         rows = [row for a, b in slices([t.encode() for t in texts]) for row in own.digests(texts[a:b])]
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
 
-    return per_text(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
+    return per_text(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns, holds=f"pieces {model_file}")
 
 
 def encoded(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id and the ids themselves."""
-    return per_text(docs, "ids array<int>", lambda texts: [[codec(model_file).encode(t) for t in texts]])
+    return per_text(docs, "ids array<int>", lambda texts: [[codec(model_file).encode(t) for t in texts]], holds=f"pieces {model_file}")
 
 
 def decoded(ids: DataFrame, model_file: str) -> DataFrame:
