@@ -2,6 +2,13 @@
 
 Each stage works on all documents that the one before kept. All but the last return the columns of
 documents; the last gives each remaining document's token count and digests.
+
+Edge cases, as the operators define them: null and empty texts score the share of good labels, are
+never toxic, near to nothing and free of benchmark items, and have no tokens; of rows with one
+doc_id, the Jaccard stage keeps one, and rows without doc_id stay as they are; of equal texts the one
+of least doc_id stays; very long texts are judged whole; an empty table gives no rows; further
+columns of documents pass through to the last stage, whatever their names. Without labels of both
+classes the classifiers keep or drop by the one class there is, and without any they keep all.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import decontaminate, parity_join, piece_codec, quality_knn, toxicity_gru
-from tidewater.llm.common import shared_dir, table
+from tidewater.llm.common import dropped, shared_dir, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +58,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/tidewater/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}")
-            docs = spark.read.parquet(f"{base}/{k}")
+            out.write.parquet(f"{base}/{k}")
+            out = spark.read.parquet(f"{base}/{k}")
+            if k:
+                dropped(docs)  # the stage before has been read
+        docs = out
     return docs
