@@ -6,21 +6,12 @@ import os
 from functools import partial
 
 import pytest
-from pyspark.sql import functions as F
 from support import DATA, same
 
 from tidewater.plans import registry
 from tidewater.streaming import jobs
 
-HOURLY = registry.ORACLES["batch_tumbling"].replace("'day'", "'hour'").replace("[:10]", "[:19]")
-CASES = {
-    "stream_foreach_upsert": (lambda s: s, registry.ORACLES["stream_foreach_upsert"]),
-    "stream_tumbling": (lambda s: s.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n"), registry.ORACLES["batch_tumbling"]),
-    "stream_late_data": (lambda s: s.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n"), HOURLY),
-    "stream_sliding": (lambda s: s.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", F.round("value", 4).alias("value")), registry.ORACLES["batch_sliding"]),
-    "stream_session": (lambda s: s.select("user_id", "n"), registry.ORACLES["batch_session"]),
-    "stream_dedup": (lambda s: s, registry.ORACLES["stream_dedup"]),
-}
+CASES = ["stream_ingest", "stream_tumbling", "stream_late_data", "stream_sliding", "stream_session", "stream_dedup", "stream_foreach_upsert", "stream_state_counters"]
 
 
 @pytest.fixture(scope="module")
@@ -36,16 +27,8 @@ def newest_first(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_one_file(spark, duck, name):
-    plain, sql = CASES[name]
-    got, want = same(plain(registry.QUERIES[name](spark, DATA)), duck, sql)
-    assert got == want
-
-
 @pytest.mark.parametrize("name", CASES)
 def test_newest_file_first(spark, duck, newest_first, name, monkeypatch):
     monkeypatch.setattr(jobs, "event_files", partial(jobs.event_files, per_trigger=1))
-    plain, sql = CASES[name]
-    got, want = same(plain(registry.QUERIES[name](spark, newest_first)), duck, sql)
+    got, want = same(registry.QUERIES[name](spark, newest_first), duck, registry.ORACLES[name])
     assert got == want

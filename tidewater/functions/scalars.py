@@ -117,3 +117,10 @@ def unit(a: Column) -> Column:
     """The vector at length one."""
     length = F.sqrt(dot(a, a))
     return F.transform(a, lambda x: x / length)
+
+
+def edit1(a: Column, b: Column) -> Column:
+    """One letter put in, left out or changed, or two neighbours exchanged, or equal."""
+    first = F.aggregate(F.sequence(F.lit(1), F.length(a)), F.lit(0), lambda acc, k: F.when((acc == 0) & (F.substr(a, k, F.lit(1)) != F.substr(b, k, F.lit(1))), k).otherwise(acc))
+    swapped = F.concat(F.left(a, first - 1), F.substr(a, first + 1, F.lit(1)), F.substr(a, first, F.lit(1)), F.substr(a, first + 2))
+    return (F.levenshtein(a, b) <= 1) | (F.length(a) == F.length(b)) & (first > 0) & (swapped == b)

@@ -65,20 +65,41 @@ def overlap_days(a_from: Column, a_to: Column, b_from: Column, b_to: Column) ->
     return F.greatest(F.lit(0), F.datediff(F.least(a_to, b_to), F.greatest(a_from, b_from)) + 1)
 
 
-def best_match(a: DataFrame, b: DataFrame, left: str, right: str, block: Column, block_b: Column, least: float) -> DataFrame:
-    """Each left string's most similar right string of its block by edit ratio, if the ratio is at least `least`; ties go to the lesser string."""
-    pairs = a.withColumn("_k", block).join(b.withColumn("_k", block_b), "_k")
-    ratio = 1 - F.levenshtein(left, right) / F.greatest(F.length(left), F.length(right))
-    order = Window.partitionBy(left).orderBy(F.desc("ratio"), right)
-    return pairs.withColumn("ratio", ratio).where(F.col("ratio") >= least).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_k")
-
-
-def in_polygon(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
-    """Ray casting against a closed ring of literal vertices."""
-    crossings = F.lit(0)
-    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
-        if y1 == y2:
-            continue
-        at = F.lit(x1) + (y - F.lit(y1)) * F.lit((x2 - x1) / (y2 - y1))
-        crossings = crossings + ((F.lit(min(y1, y2)) <= y) & (y < F.lit(max(y1, y2))) & (x < at)).cast("int")
-    return crossings % 2 == 1
+def best_match(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
+    """Each left string's most similar right string by edit ratio, 1 - edits / longer length, if that is 0.8 or more; ties go to the lesser string.
+
+    Such strings are at most k = length / 4 edits apart, so of k + 1 pieces of the left one some stands unchanged in the right
+    one, at most k places away. Pieces have one to four letters and meet as an equi-join; only these pairs are compared.
+    """
+    n, k = F.length(left), F.floor(F.length(left) / 4)
+    edge = lambda i: F.floor(i * n / (k + 1))
+    pieces = F.transform(F.sequence(F.lit(0).cast("long"), k), lambda i: F.struct(edge(i).alias("at"), F.substr(left, (edge(i) + 1).cast("int"), (edge(i + 1) - edge(i)).cast("int")).alias("piece")))
+    own = a.select(left).distinct().select(left, k.alias("_k"), F.inline(pieces).alias("_at", "_piece"))
+    m = F.length(right)
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(4), m)), lambda w: F.transform(F.sequence(F.lit(0), m - w), lambda i: F.struct(i.alias("to"), F.substr(right, i + 1, w).alias("piece")))))
+    other = b.select(right).distinct().where(m > 0).select(right, F.inline(grams).alias("_to", "_piece"))
+    pairs = own.join(other, "_piece").where(F.abs(F.col("_at") - F.col("_to")) <= F.col("_k")).select(left, right).distinct()
+    ratio = 1 - F.levenshtein(left, right) / F.greatest(n, m)
+    best = pairs.withColumn("ratio", ratio).where("ratio >= 0.8").groupBy(left).agg(F.min(F.struct((-F.col("ratio")).alias("less"), right)).alias("best"))
+    return best.select(left, f"best.{right}", (-F.col("best.less")).alias("ratio"))
+
+
+def in_polygons(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: str, size: float) -> DataFrame:
+    """Points with each polygon that holds them. A ring is an array of structs x and y, without its first corner again.
+
+    Both sides meet in the grid cells of the given size that a polygon's box covers, as an equi-join; then a ray to the right
+    must cross the ring an odd number of times.
+    """
+    low = lambda k: cell(F.array_min(F.transform(ring, lambda p: p[k])), size)
+    high = lambda k: cell(F.array_max(F.transform(ring, lambda p: p[k])), size)
+    covered = polygons.withColumn("_cx", F.explode(F.sequence(low("x"), high("x")))).withColumn("_cy", F.explode(F.sequence(low("y"), high("y"))))
+    met = points.withColumn("_cx", cell(F.col(x), size)).withColumn("_cy", cell(F.col(y), size)).join(covered, ["_cx", "_cy"])
+    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+
+    def crossed(side):
+        a, b = side["a"], side["b"]
+        between = (F.least(a["y"], b["y"]) <= F.col(y)) & (F.col(y) < F.greatest(a["y"], b["y"]))
+        return between & (F.col(x) < a["x"] + (F.col(y) - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)))
+
+    sides = F.zip_with(ring, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return met.where(F.size(F.filter(sides, crossed)) % 2 == 1).drop("_cx", "_cy", ring)

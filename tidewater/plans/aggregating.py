@@ -245,16 +245,17 @@ def balanced_panel(spark, d):
     return y.groupBy("o_custkey").agg(F.count_distinct("y").alias("n")).join(F.broadcast(whole), F.col("n") == F.col("whole")).select("o_custkey")
 
 
-@query("apply_in_pandas")
+@query("apply_in_pandas", "SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem GROUP BY 1")
 def apply_in_pandas(spark, d):
-    def slope(pdf):
-        import numpy as np
-        import pandas as pd
+    """A frame function a group, given each group's sums and not its rows: a group of any size is one row."""
 
-        x, y = pdf["l_quantity"].to_numpy(), pdf["l_extendedprice"].to_numpy()
-        return pd.DataFrame({"l_suppkey": pdf["l_suppkey"].iloc[:1], "slope": [float(np.polyfit(x, y, 1)[0]) if len(x) > 1 else None]})
+    def slope(pdf):
+        sxx, sxy = pdf["xx"] - pdf["x"] ** 2 / pdf["n"], pdf["xy"] - pdf["x"] * pdf["y"] / pdf["n"]
+        return pdf[["l_suppkey"]].assign(slope=(sxy / sxx.where(sxx > 0)).round(4))
 
-    return table(spark, d, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice").groupBy("l_suppkey").applyInPandas(slope, "l_suppkey long, slope double")
+    x, y = F.col("l_quantity"), F.col("l_extendedprice")
+    sums = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"))
+    return sums.groupBy("l_suppkey").applyInPandas(slope, "l_suppkey long, slope double")
 
 
 @query("weighted_median", """WITH r AS (SELECT c_nationkey, c_acctbal, sum(c_custkey + 1) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey ROWS UNBOUNDED PRECEDING) / sum(c_custkey + 1) OVER (PARTITION BY c_nationkey) AS w FROM customer)

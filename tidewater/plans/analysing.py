@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stats as S
 from ..operators.components import components, spanning_forest
+from ..operators.estimators import least_squares
 from ..operators.joins import neighbours
 from ..sources.shared import written
 from ..sources.tables import table
@@ -29,16 +30,22 @@ def fe_ols_oneway(spark, d):
     return S.within_slope(table(spark, d, "lineitem"), "l_suppkey", "l_quantity", "l_extendedprice").select(rnd("slope", "slope", 4), "n")
 
 
-@query("ols_multi")
+def cramer(xs: str, y: str) -> str:
+    """Three slopes by determinants of covariances."""
+    x = xs.split()
+    c = {(i, j): f"covar_pop({x[i]}, {x[j]})" for i in range(3) for j in range(3)}
+    det = lambda m: f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+    names = [[f"c{i}{j}" for j in range(3)] for i in range(3)]
+    sums = ", ".join([*(f"{c[i, j]} AS c{i}{j}" for i, j in c), *(f"covar_pop({x[i]}, {y}) AS u{i}" for i in range(3)), *(f"avg({n}) AS m{k}" for k, n in enumerate([*x, y]))])
+    swapped = lambda k: [[f"u{i}" if j == k else names[i][j] for j in range(3)] for i in range(3)]
+    betas = ", ".join(f"{det(swapped(k))} / {det(names)} AS b{k}" for k in range(3))
+    return f"WITH s AS (SELECT {sums} FROM lineitem), b AS (SELECT *, {betas} FROM s)"
+
+
+@query("ols_multi", cramer("l_quantity l_discount l_tax", "l_extendedprice") + " SELECT unnest(['intercept', 'l_quantity', 'l_discount', 'l_tax']) AS term, unnest([round(m3 - b0 * m0 - b1 * m1 - b2 * m2, 3), round(b0, 3), round(b1, 3), round(b2, 3)]) AS beta FROM b")
 def ols_multi(spark, d):
-    import numpy as np
-
-    names = ["one", "l_quantity", "l_discount", "l_tax"]
-    x = table(spark, d, "lineitem").select(F.lit(1.0).alias("one"), "l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    sums = x.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in names for b in [*names, "l_extendedprice"])).first()  # one row of normal equations
-    a = np.array([[sums[f"{p}_{q}"] for q in names] for p in names])
-    beta = np.linalg.solve(a, np.array([sums[f"{p}_l_extendedprice"] for p in names]))
-    return spark.createDataFrame([(n, float(b)) for n, b in zip(names, beta, strict=True)], "term string, beta double")
+    beta = least_squares(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return beta.unpivot([], ["intercept", "l_quantity", "l_discount", "l_tax"], "term", "beta").select("term", rnd("beta", "beta", 3))
 
 
 @query("predict_band", """WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem), s AS (SELECT sqrt(sum((l_extendedprice - a - b * l_quantity) ** 2) / (count(*) - 2)) AS s FROM lineitem, f)

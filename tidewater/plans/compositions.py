@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import aggregates as A
-from ..sources.shared import written
 from ..operators.joins import densify
+from ..operators.search import nearest_products
 from ..sources import sinks, tables
+from ..sources.shared import written
 from ..sources.tables import table
 from .analysing import rnd
 from .registry import query
@@ -41,6 +42,15 @@ def scan_csv_gzip(spark, d):
     return tables.typed_csv(spark, supplier_csv(spark, d, compression="gzip"), SUPPLIER_DDL)
 
 
+@query("scan_csv_zip", SUPPLIERS)
+def scan_csv_zip(spark, d):
+    """Suppliers by nation as members of two zip archives, packed by tasks and read back member by member."""
+    lines = table(spark, d, "supplier").select((F.col("s_nationkey") % 2).cast("string").alias("archive"), F.concat(F.lit("part_"), F.col("s_nationkey").cast("string"), F.lit(".csv")).alias("member"), F.concat_ws(",", "s_suppkey", "s_name", "s_nationkey", "s_acctbal").alias("line"))
+    path = shared(spark)
+    tables.zipped(lines, "archive", "member", "line", "s_suppkey,s_name,s_nationkey,s_acctbal").write.parquet(path)
+    return tables.zip_csv(spark.read.parquet(path).select("content"), r"part_\d+\.csv", SUPPLIER_DDL)
+
+
 @query("scan_tsv_prefilter", "SELECT CAST(event_id AS VARCHAR) AS event_id, event_type FROM events WHERE event_type = 'error'")
 def scan_tsv_prefilter(spark, d):
     path = shared(spark)
@@ -251,18 +261,16 @@ def anchor_foreign(spark, d):
     return m.groupBy("day").agg(F.max(F.when(F.col("side") == 0, F.col("median"))).alias("home"), F.max(F.when(F.col("side") == 1, F.col("median"))).alias("foreign_"))
 
 
-SEMANTIC = """WITH s AS (SELECT q.vec_id AS q, e.vec_id AS hit, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS s FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
-    r AS (SELECT *, max(s) OVER (PARTITION BY q) AS best, row_number() OVER (PARTITION BY q ORDER BY s DESC, hit) AS k FROM s) SELECT q, hit, s FROM r WHERE k <= 40 AND s >= best - 0.05"""
+SEMANTIC = """WITH s AS (SELECT q.vec_id AS q, e.vec_id AS hit, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id),
+    r AS (SELECT *, max(s) OVER (PARTITION BY q) AS best, row_number() OVER (PARTITION BY q ORDER BY s DESC, hit) AS k FROM s) SELECT q, hit, round(s, 6) AS s FROM r WHERE k <= 40 AND round(s, 6) >= round(best, 6) - 0.05"""
 
 
 def semantic_hits(spark, d, queries):
     """q, hit and s: for each query vector up to 40 nearest others, within 0.05 of the best."""
     e = table(spark, d, "embeddings")
-    q = e.where(queries).select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    s = e.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select("q", F.col("vec_id").alias("hit"), rnd(S.dot(F.col("qe"), F.col("embedding")), "s"))
-    k = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "hit"))
-    best = s.groupBy("q").agg(F.max("s").alias("best"))
-    return s.withColumn("k", k).where("k <= 40").join(best, "q").where(F.col("s") >= F.col("best") - 0.05).select("q", "hit", "s")
+    s = nearest_products(e, "vec_id", "embedding", e.where(queries), 40).select("q", F.col("vec_id").alias("hit"), rnd("s", "s"))
+    best = F.max("s").over(Window.partitionBy("q"))  # 40 rows a query
+    return s.withColumn("best", best).where(F.col("s") >= F.col("best") - 0.05).select("q", "hit", "s")
 
 
 @query("search_semantic", SEMANTIC)
@@ -275,6 +283,6 @@ def search_hybrid(spark, d):
     """Lexical hits first, then semantic ones, of every vector whose id is divisible by 50, that are not among them."""
     from .scalars import search_lexical
 
-    lexical = search_lexical(spark, d).select(F.col("p_partkey").alias("hit"), F.lit(0).alias("kind"), F.col("score").alias("s"))
+    lexical = search_lexical(spark, d).select(F.col("doc_id").alias("hit"), F.lit(0).alias("kind"), F.col("score").alias("s"))
     semantic = semantic_hits(spark, d, "vec_id % 50 = 0").groupBy("hit").agg(F.max("s").alias("s")).select("hit", F.lit(1).alias("kind"), "s")
     return A.dedupe(lexical.unionByName(semantic), ["hit"], [F.col("kind"), F.desc("s")])

@@ -140,13 +140,13 @@ def join_broadcast_dim(spark, d):
 
 
 @query("fuzzy_match_top1", """WITH p AS (SELECT DISTINCT p_name AS a FROM part), q AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 2 = 0 THEN 's' ELSE '' END AS b FROM part),
-    r AS (SELECT a, b, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS ratio FROM p JOIN q ON left(a, 1) = left(b, 1)),
+    r AS (SELECT a, b, 1 - levenshtein(a, b) / greatest(length(a), length(b)) AS ratio FROM p CROSS JOIN q),
     k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY ratio DESC, b) AS n FROM r WHERE ratio >= 0.8) SELECT a, b, ratio FROM k WHERE n = 1""")
 def fuzzy_match_top1(spark, d):
     p = table(spark, d, "part")
     a = p.select(F.col("p_name").alias("a")).distinct()
     b = p.select(F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, "s").otherwise("")).alias("b")).distinct()
-    return J.best_match(a, b, "a", "b", F.left("a", F.lit(1)), F.left("b", F.lit(1)), 0.8).select("a", "b", "ratio")
+    return J.best_match(a, b, "a", "b").select("a", "b", "ratio")
 
 
 @query("nearest_neighbor", """WITH r AS (SELECT s_suppkey, c_custkey, abs(s_acctbal - c_acctbal) AS gap, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(s_acctbal - c_acctbal), c_custkey) AS k
@@ -225,14 +225,20 @@ def sample_max_merge(spark, d):
     return table(spark, d, "customer").select("c_custkey", J.cell(F.col("c_acctbal"), 50).alias("cell")).join(tiles, "cell", "left").select("c_custkey", "class")
 
 
-RING = [(10.0, 10.0), (60.0, 20.0), (80.0, 70.0), (30.0, 90.0), (35.0, 45.0)]
+#: Corners of a ring around its centre, not convex.
+RING = [(-12.0, -9.0), (13.0, -7.0), (10.0, 12.0), (1.0, 2.0), (-11.0, 10.0)]
 
 
-@query("point_in_polygon")
+@query("point_in_polygon", f"""WITH c AS ({POINTS}), o AS (SELECT * FROM (VALUES {", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(RING))}) v(i, x, y)),
+    v AS (SELECT n_nationkey AS zone, i, n_nationkey * 17 % 100 + x AS x, n_nationkey * 29 % 100 + y AS y FROM nation CROSS JOIN o),
+    e AS (SELECT a.zone, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON b.zone = a.zone AND b.i = (a.i + 1) % {len(RING)} WHERE a.y <> b.y),
+    h AS (SELECT id, zone, count(*) AS n FROM c JOIN e ON c.y >= least(y1, y2) AND c.y < greatest(y1, y2) AND c.x < x1 + (c.y - y1) * (x2 - x1) / (y2 - y1) GROUP BY 1, 2) SELECT id, zone FROM h WHERE n % 2 = 1""")
 def point_in_polygon(spark, d):
+    """Points joined to the zones of a polygon table that hold them; a point may be in several or none."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_custkey") % 1000 / 10).alias("y"))
-    inside_box = F.col("x").between(10, 80) & F.col("y").between(10, 90)
-    return c.where(inside_box).where(J.in_polygon(F.col("x"), F.col("y"), RING)).select("id")
+    corners = F.array(*(F.struct((F.col("n_nationkey") * 17 % 100 + dx).alias("x"), (F.col("n_nationkey") * 29 % 100 + dy).alias("y")) for dx, dy in RING))
+    zones = table(spark, d, "nation").select(F.col("n_nationkey").alias("zone"), corners.alias("ring"))
+    return J.in_polygons(c, zones, "x", "y", "ring", 10.0).select("id", "zone")
 
 
 @query("reconcile_two_stage", """WITH a AS (SELECT n_nationkey AS k, n_name FROM nation), b AS (SELECT n_nationkey AS code, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) || ' ' ELSE n_name END AS name FROM nation WHERE n_nationkey <> 4)

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.search import lexical_hits, nearest_products
 from ..sources.tables import table
 from .registry import query
 
@@ -63,13 +64,13 @@ def text_tokenize(spark, d):
     return table(spark, d, "part").select(F.explode(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]+"), F.lit(0))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("edit1", "WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS token FROM part) SELECT a.token AS a, b.token AS b FROM t a JOIN t b ON a.token < b.token AND levenshtein(a.token, b.token) <= 1")
+@query("edit1", "WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS token FROM part) SELECT a.token AS a, b.token AS b FROM t a JOIN t b ON a.token < b.token AND damerau_levenshtein(a.token, b.token) <= 1")
 def edit1(spark, d):
     t = table(spark, d, "part").select(F.explode(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]+"), F.lit(0))).alias("a")).distinct()
-    # words one edit apart agree once one letter is left out of either: an equi-join on these forms
+    # words one edit or one exchange of neighbours apart agree once one letter is left out of either: an equi-join on these forms
     forms = F.array_distinct(F.concat(F.array("a"), F.transform(F.sequence(F.lit(1), F.length("a")), lambda i: F.concat(F.left("a", i - 1), F.substr("a", i + 1)))))
     f = t.select("a", F.explode(forms).alias("form"))
-    return f.join(f.withColumnRenamed("a", "b"), "form").where("a < b").select("a", "b").distinct().where(F.levenshtein("a", "b") <= 1)
+    return f.join(f.withColumnRenamed("a", "b"), "form").where("a < b").select("a", "b").distinct().where(S.edit1(F.col("a"), F.col("b")))
 
 
 @query("hash_sha2", "SELECT c_custkey, sha256(c_name) AS h, to_base64(encode(c_mktsegment)) AS b FROM customer")
@@ -234,10 +235,7 @@ def json_map(spark, d):
 def vec_dot_topk(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", S.unit(F.col("embedding")).alias("e"))
     # the stated query set: every fiftieth vector, held against all rows
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("e").alias("qe"))
-    c = e.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select("q", "vec_id", S.dot(F.col("e"), F.col("qe")).alias("c"))
-    k = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("c"), "vec_id"))
-    return c.withColumn("k", k).where("k <= 5").select("q", "vec_id", "k", F.round("c", 6).alias("cosine"))
+    return nearest_products(e, "vec_id", "e", e.where("vec_id % 50 = 0"), 5).select("q", "vec_id", "k", F.round("s", 6).alias("cosine"))
 
 
 @query("udf_scalar", "SELECT c_custkey, length(c_name) + c_nationkey AS x FROM customer")
@@ -285,11 +283,20 @@ def pii_scan(spark, d):
     return table(spark, d, "documents").select("doc_id", n("[A-Za-z0-9._]+@[A-Za-z0-9.]+").alias("mails"), n("[0-9]{3}-[0-9]{3}-[0-9]{4}").alias("phones"))
 
 
-@query("search_lexical", """WITH q(term) AS (VALUES ('rin'), ('small')), t AS (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS token FROM part),
-    s AS (SELECT p_partkey, term, max(CASE WHEN token = term THEN 2.0 WHEN starts_with(token, term) THEN 1.2 WHEN levenshtein(token, term) <= 1 THEN 0.8 WHEN contains(token, term) THEN 0.6 ELSE 0 END) AS s FROM t CROSS JOIN q GROUP BY 1, 2)
-    SELECT p_partkey, round(sum(s), 6) AS score FROM s GROUP BY 1 HAVING min(s) > 0""")
+#: A query and what else its words may be called, as (word, names) pairs.
+SEARCH, GLOSSARY = "thing eron", {"thing": ["inging"], "eron": ["erin", "haering"]}
+
+
+def graded(token: str) -> str:
+    near = f" WHEN len(list_filter(tokens, lambda x: damerau_levenshtein(x, '{token}') <= 1)) > 0 THEN 0.8" if len(token) >= 5 else ""
+    return f"CASE WHEN list_contains(tokens, '{token}') THEN 2.0 WHEN len(list_filter(tokens, lambda x: starts_with(x, '{token}'))) > 0 THEN 1.2{near} WHEN contains(low, '{token}') THEN 0.6 ELSE 0.0 END"
+
+
+LEXICAL = "WITH t AS (SELECT doc_id, lower(text) AS low, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS tokens FROM documents), s AS (SELECT doc_id, " + ", ".join(
+    f"greatest({', '.join(map(graded, [w, *GLOSSARY.get(w, [])]))}) AS {w}" for w in SEARCH.split()
+) + ") SELECT doc_id, round(" + " + ".join(SEARCH.split()) + ", 6) AS score FROM s WHERE " + " AND ".join(f"{w} > 0" for w in SEARCH.split())
+
+
+@query("search_lexical", LEXICAL.replace(") SELECT doc_id, round", " FROM t) SELECT doc_id, round"))
 def search_lexical(spark, d):
-    t = table(spark, d, "part").select("p_partkey", F.array_distinct(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z]+"), F.lit(0))).alias("tokens"))
-    grade = lambda term: F.array_max(F.transform("tokens", lambda w: F.when(w == term, 2.0).when(w.startswith(term), 1.2).when(F.levenshtein(w, F.lit(term)) <= 1, 0.8).when(F.contains(w, F.lit(term)), 0.6).otherwise(0.0)))
-    scores = [grade(x) for x in ("rin", "small")]
-    return t.where(reduce(lambda a, b: a & b, (s > 0 for s in scores))).select("p_partkey", F.round(sum(scores[1:], scores[0]), 6).alias("score"))
+    return lexical_hits(table(spark, d, "documents"), "doc_id", "text", SEARCH, GLOSSARY)

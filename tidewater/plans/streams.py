@@ -39,34 +39,42 @@ def drained(stream, mode="append"):
     return spark.read.schema(empty.schema).parquet(f"{base}/out")
 
 
-@query("stream_ingest")
+def stamped(df, *columns):
+    """Times as text in UTC, the same in every engine."""
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in columns})
+
+
+TUMBLING = "SELECT strftime(date_trunc('{}', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+@query("stream_ingest", "SELECT event_id, user_id, event_type, value, props, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events WHERE event_type = 'error'")
 def stream_ingest(spark, d):
-    return drained(events(spark, d).where("event_type = 'error'")).drop("batch")
+    return stamped(drained(events(spark, d).where("event_type = 'error'")).select("event_id", "user_id", "event_type", "value", "props", "ts"), "ts")
 
 
-@query("stream_two_times")
+@query("stream_two_times", "SELECT CAST(ts AS DATE) AS day, count(*) AS n, bool_and(now() >= ts) AS later FROM events GROUP BY 1")
 def stream_two_times(spark, d):
     return drained(events(spark, d).withColumn("ingested", F.current_timestamp())).groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("ingested") >= F.col("ts")).alias("later"))
 
 
-@query("stream_tumbling")
+@query("stream_tumbling", TUMBLING.format("day"))
 def stream_tumbling(spark, d):
-    return drained(J.tumbling(events(spark, d), "1 day"), "complete").drop("batch")
+    return stamped(drained(J.tumbling(events(spark, d), "1 day"), "complete").drop("batch"), "start")
 
 
-@query("stream_late_data")
+@query("stream_late_data", TUMBLING.format("hour"))
 def stream_late_data(spark, d):
-    return drained(J.tumbling(events(spark, d), "1 hour", late="3 days"), "complete").drop("batch")
+    return stamped(drained(J.tumbling(events(spark, d), "1 hour", late="3 days"), "complete").drop("batch"), "start")
 
 
-@query("stream_sliding")
+@query("stream_sliding", "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) AS value FROM (SELECT value, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY 1")
 def stream_sliding(spark, d):
-    return drained(J.sliding(events(spark, d), "1 hour", "30 minutes"), "complete").drop("batch")
+    return stamped(drained(J.sliding(events(spark, d), "1 hour", "30 minutes"), "complete").drop("batch"), "start").withColumn("value", F.round("value", 4))
 
 
-@query("stream_session")
+@query("stream_session", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), i AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM i GROUP BY user_id, i")
 def stream_session(spark, d):
-    return drained(J.sessions(events(spark, d), "30 minutes", late=None), "complete").drop("batch")
+    return stamped(drained(J.sessions(events(spark, d), "30 minutes", late=None), "complete").select("user_id", "start", "n"), "start")
 
 
 @query("stream_dedup", "SELECT event_id, user_id, event_type FROM events")
@@ -120,7 +128,7 @@ def batch_session(spark, d):
     return J.sessions(e, "30 minutes").select("user_id", "n")
 
 
-@query("incremental_score")
+@query("incremental_score", "WITH l AS (SELECT quantile_cont(value, 0.9) AS limit_ FROM events WHERE ts < TIMESTAMP '2024-01-21') SELECT event_id, value > limit_ AS flag FROM events, l WHERE CAST(ts AS DATE) = (SELECT CAST(max(ts) AS DATE) FROM events)")
 def incremental_score(spark, d):
     """A threshold learned on the first three weeks scores only the newest day, whose rows alone are replaced."""
     e = table(spark, d, "events")

@@ -229,20 +229,18 @@ def win_quarter_rank(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.rank().over(Window.partitionBy(F.year("o_orderdate"), F.quarter("o_orderdate")).orderBy(F.desc("o_totalprice"))).alias("r"))
 
 
-@query("smooth_tricube")
+@query("smooth_tricube", PANEL + """, d AS (SELECT a.k, a.day, b.n, date_diff('day', a.day, b.day) AS d FROM p a JOIN p b ON b.k = a.k AND abs(date_diff('day', a.day, b.day)) < 5), w AS (SELECT *, (1 - (abs(d) / 5.0) ** 3) ** 3 AS w FROM d),
+    s AS (SELECT k, day, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * n) AS t0, sum(w * d * n) AS t1 FROM w GROUP BY 1, 2) SELECT k, day, round((s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1), 6) AS smooth FROM s""")
 def smooth_tricube(spark, d):
-    def smooth(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values("day")
-        y, t, out = pdf["n"].to_numpy(float), np.arange(len(pdf), dtype=float), []
-        for at in t:
-            w = np.clip(1 - np.abs((t - at) / 5) ** 3, 0, None) ** 3
-            x = np.stack([np.ones_like(t), t - at], axis=1)
-            out.append(float(np.linalg.lstsq(x * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0][0]))
-        return pdf.assign(smooth=out)[["k", "day", "smooth"]]
-
-    return panel(spark, d).select("k", "day", "n").groupBy("k").applyInPandas(smooth, "k string, day date, smooth double")
+    """The value at each day of a line fitted to the days around it, nearer ones weighing more; all in one window frame."""
+    terms = []
+    for j in range(-4, 5):
+        n, weight = F.lag("n", -j).over(by()), (1 - (abs(j) / 5) ** 3) ** 3
+        terms.append({"s0": (n, weight), "s1": (n, weight * j), "s2": (n, weight * j * j), "t0": (n, weight), "t1": (n, weight * j)})
+    total = lambda name: sum((F.when(n.isNotNull(), n * w if name[0] == "t" else F.lit(w)).otherwise(0.0) for n, w in (t[name] for t in terms)), F.lit(0.0))
+    s = panel(spark, d).select("k", "day", *(total(c).alias(c) for c in terms[0]))
+    line = (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / (F.col("s0") * F.col("s2") - F.col("s1") ** 2)
+    return s.select("k", "day", F.round(line, 6).alias("smooth"))
 
 
 @query("curve_inverse", "WITH c AS (SELECT l_suppkey, l_shipdate, l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS y FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY y) AS k FROM c WHERE y >= 500) SELECT l_suppkey, l_shipdate AS reached, y FROM r WHERE k = 1")
@@ -266,17 +264,13 @@ def deciles_sliced(spark, d):
     return table(spark, d, "customer").withColumn("q", q.cast("long")).where("q IS NOT NULL").groupBy("c_nationkey", "q").agg(F.round(F.avg("c_acctbal"), 6).alias("m"))
 
 
-@query("spi")
+@query("spi", PANEL + """, a AS (SELECT k, day, CAST(sum(n) OVER (PARTITION BY k ORDER BY day ROWS 2 PRECEDING) AS DOUBLE) AS s FROM p), m AS (SELECT *, avg(s) OVER (PARTITION BY k) AS mean, ln(greatest(avg(s) OVER (PARTITION BY k), 1e-9)) - avg(ln(greatest(s, 1e-9))) OVER (PARTITION BY k) AS a FROM a),
+    f AS (SELECT *, CASE WHEN a > 1e-9 THEN (1 + sqrt(1 + 4 * a / 3)) / (4 * a) ELSE 100.0 END AS shape FROM m) SELECT k, day, round(3 * sqrt(shape) * (pow(greatest(s, 1e-9) / mean, 1 / 3.0) - 1 + 1 / (9 * shape)), 6) AS z FROM f""")
 def spi(spark, d):
-    def standardised(pdf):
-        import numpy as np
-
-        x = pdf["s"].to_numpy(float)
-        a = np.log(max(x.mean(), 1e-9)) - np.log(np.maximum(x, 1e-9)).mean()
-        shape = (1 + np.sqrt(1 + 4 * a / 3)) / (4 * a) if a > 1e-9 else 100.0  # moment form of the gamma fit
-        scale = x.mean() / shape
-        z = 3 * np.sqrt(shape) * ((np.maximum(x, 1e-9) / (shape * scale)) ** (1 / 3) - 1 + 1 / (9 * shape))  # Wilson-Hilferty
-        return pdf.assign(z=z)[["k", "day", "z"]]
-
-    p = panel(spark, d).withColumn("s", F.sum("n").over(by().rowsBetween(-2, 0))).select("k", "day", "s")
-    return p.groupBy("k").applyInPandas(standardised, "k string, day date, z double")
+    """Three-day sums as standard normal values of a gamma distribution fitted to each series by its log moment (Wilson-Hilferty)."""
+    whole, positive = Window.partitionBy("k"), lambda c: F.greatest(c, F.lit(1e-9))
+    p = panel(spark, d).select("k", "day", F.sum("n").over(by().rowsBetween(-2, 0)).cast("double").alias("s"))
+    m = p.withColumn("mean", F.avg("s").over(whole)).withColumn("a", F.log(positive(F.col("mean"))) - F.avg(F.log(positive(F.col("s")))).over(whole))
+    f = m.withColumn("shape", F.when(F.col("a") > 1e-9, (1 + F.sqrt(1 + 4 * F.col("a") / 3)) / (4 * F.col("a"))).otherwise(100.0))
+    z = 3 * F.sqrt("shape") * (F.pow(positive(F.col("s")) / F.col("mean"), F.lit(1 / 3)) - 1 + 1 / (9 * F.col("shape")))
+    return f.select("k", "day", F.round(z, 6).alias("z"))

@@ -21,6 +21,49 @@ def text_csv(spark: SparkSession, path: str, columns: list[str], **options) -> D
     return typed_csv(spark, path, ", ".join(f"`{c}` string" for c in columns), **options)
 
 
+def zip_csv(archives: DataFrame, member: str, ddl: str) -> DataFrame:
+    """Delimited text with header lines in the members, named as the pattern says, of zip archives given as a binary column content.
+
+    As spark.read.format("binaryFile") gives them: then the archives may be in any store. A member is read line by line.
+    """
+    import io
+    import re
+    import zipfile
+
+    import pyarrow as pa
+
+    def lines(batches):
+        for b in batches:
+            for content in b.column(0):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
+                    for name in sorted(z.namelist()):
+                        if re.fullmatch(member, name):
+                            with io.TextIOWrapper(z.open(name), encoding="utf-8", newline="") as f:
+                                next(f, None)
+                                while some := [x.rstrip("\r\n") for _, x in zip(range(4096), f)]:
+                                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["line"])
+
+    rows = archives.select("content").mapInArrow(lines, "line string")
+    return rows.select(F.from_csv("line", ddl).alias("row")).select("row.*")
+
+
+def zipped(lines: DataFrame, archive: str, member: str, line: str, header: str) -> DataFrame:
+    """A zip archive a row, as content: members of lines under a header. An archive is made by one task, so it is as small as its reader needs it."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, own in rows.groupby(member):
+                z.writestr(name, "\n".join([header, *own[line]]) + "\n")
+        return pd.DataFrame({archive: [rows[archive].iloc[0]], "content": [out.getvalue()]})
+
+    return lines.groupBy(archive).applyInPandas(pack, f"{archive} string, content binary")
+
+
 def prefiltered_tsv(spark: SparkSession, path: str, columns: list[str], needles: list[str], exact: Column) -> DataFrame:
     """Headerless tab-separated rows: a cheap substring test on the raw line, then the exact one on columns."""
     lines = spark.read.text(path)
