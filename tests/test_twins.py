@@ -105,11 +105,8 @@ def test_isotonic(spark):
             s, n, xs = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + xs]
     want = {x: s / n for s, n, xs in blocks for x in xs}
-    quantity = {(r.l_orderkey, r.l_linenumber): r.l_quantity for r in lines}
-    got = sorted((quantity[r.l_orderkey, r.l_linenumber], r.prediction) for r in registry.QUERIES["ml_isotonic"](spark, DATA).collect())
-    assert len(got) == len(lines) and all(a[1] <= b[1] + 1e-9 for a, b in zip(got, got[1:], strict=False))
-    # equal features may be averaged part by part, so single values may differ somewhat; the level may not
-    assert np.mean([p for _, p in got]) == pytest.approx(np.mean([want[x] for x, _ in got]), abs=0.01)
+    got = sorted(r.prediction for r in registry.QUERIES["ml_isotonic"](spark, DATA).collect())
+    assert got == pytest.approx(sorted(want[r.l_quantity] for r in lines))  # keys of lines repeat, so values are held as a bag
 
 
 def test_boosting(spark):
