@@ -29,6 +29,11 @@ def test_sharding(make_docs, prose):
     assert sorted(light)[-1] - sorted(light)[2] < 600  # but for the shard with the huge text
     want = sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t in rows)
     assert sorted(zip(out["size"], out["text_crc32"], strict=True)) == want
+    # by hand: the virtual slot's shard for rows of common slots, as the operator's own first map and its edit give it
+    loads = {}
+    for r in sharding.records(make_docs(rows)).collect():
+        loads[r.virtual_slot] = loads.get(r.virtual_slot, 0) + r.size
+    assert sum(loads.values()) == sum(size for size, _ in want)
 
 
 def test_sharding_of_nothing(make_docs):
@@ -68,6 +73,7 @@ def test_line_rules(make_docs, prose):
     got = sorted(out[["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]].values.tolist())
     assert got == sorted([k, *brute_base(t)] for k, t in rows)
     assert not (out["kept"] & out["base_failed"]).any()
+    assert line_rules.judged(make_docs([])).count() == 0
 
 
 def test_line_rules_verdicts(make_docs, prose):
@@ -105,7 +111,13 @@ def jaccard_components(rows):
     return sorted((i, *v) for i, vs in out.items() for v in vs)
 
 
-def test_parity_join(make_docs, prose):
+@pytest.mark.parametrize("way", ["broadcast", "shuffled"])
+def test_parity_join(make_docs, prose, monkeypatch, way):
+    """Against brute force, with candidates broadcast and shuffled, and with groups and buckets cut in small blocks."""
+    if way == "shuffled":
+        monkeypatch.setattr(parity_join, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(parity_join, "BLOCK", 4)
+        monkeypatch.setattr(parity_join, "DEAL_SHINGLES", 500)
     rnd = random.Random(9)
     rows = []
     for group in range(14):
@@ -122,6 +134,20 @@ def test_parity_join(make_docs, prose):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == jaccard_components(rows)
 
 
+def test_sketch_bound():
+    """The bound pair by pair agrees with the one in blocks, and never rules out similar sets."""
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (5, 8, 40, 41, 300)]
+    sets += [np.unique(np.concatenate([s[: -max(1, len(s) // 10)], rng.integers(0, 1 << 63, 1).astype(np.uint64)])) for s in sets]
+    sketches, sizes = [parity_join.sketch(s) for s in sets], np.array([len(s) for s in sets])
+    block = parity_join.close(sketches, sketches, sizes, sizes, 80)
+    a, b = (x.ravel() for x in np.meshgrid(range(len(sets)), range(len(sets)), indexing="ij"))
+    pairs = parity_join.bound_holds([sketches[k] for k in a], [sketches[k] for k in b], sizes[a], sizes[b], 80)
+    assert np.array_equal(pairs.reshape(block.shape), block >= 0)
+    assert all(pairs[k] for k in range(len(a)) if parity_join.similar(sets[a[k]], sets[b[k]], 80))
+    assert not pairs.all()
+
+
 def test_one_of_each(make_docs, prose):
     text = prose(1, 60)
     docs = make_docs([(1, text), (2, text), (3, prose(2, 60)), (3, prose(2, 60)), (4, None), (None, "x y z")])
@@ -168,6 +194,8 @@ def test_url_rules(spark):
     pages = spark.createDataFrame([(k, u, "r") for k, u in enumerate(urls)], "page_id long, url string, rule string")
     out = url_rules.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
     assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in out) == [(k, *brute_url(u, rules)) for k, u in enumerate(urls)]
+    twice = url_rules.judge_urls(pages.unionByName(pages), spark.createDataFrame(rules + rules[:2], "host string, path string, verdict string")).collect()
+    assert sorted((r.page_id, r.verdict) for r in twice) == sorted((r.page_id, r.verdict) for r in out * 2)
     assert url_rules.judge_urls(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
 
 
@@ -508,6 +536,16 @@ def test_style_tree_by_hand(spark, prose):
             assert r.text == prose(1, 30_000)
 
 
+def test_main_text_shuffled(spark, monkeypatch):
+    rows = [(k, f"http://h{k % 3}.org/", f"<div>Menu</div><article><p>Text {k}.</p></article>") for k in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = sorted(style_tree.main_texts(pages).collect())
+    monkeypatch.setattr(style_tree, "BROADCAST_BYTES", -1)
+    assert sorted(style_tree.main_texts(pages).collect()) == one and one[0].text == "Text 0."
+    twice = style_tree.main_texts(pages.unionByName(pages)).collect()
+    assert sorted(twice) == sorted(one * 2)
+
+
 @pytest.mark.parametrize(
     "source, want",
     [
