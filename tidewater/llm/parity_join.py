@@ -16,7 +16,7 @@ pivot: of each of its buckets the hub, the member with most mates over all bucke
 one it shares most pieces with. Around a much copied text that is the original, so most of a group
 is one component after this round. (2) In buckets that still hold several components, sketches are
 compared in blocks, and each document is checked against the nearest of every other component in its
-bucket. (3) What pairs of different components are still open are checked, too. Only pairs that pass
+bucket. (3) Where others were near, too, and their components are still apart, they are checked as well. Only pairs that pass
 the bound on their sketches' distance are ever checked. A check compares
 the shingle sets themselves. Links inside one component add nothing, so groups of copies never
 become all pairs; exact copies (equal sets) are one node from the start.
@@ -47,9 +47,12 @@ from .hashing import U64, mix, shingle_sets
 SHINGLE = 5
 PERCENT = 80
 BAND = 1.25
-BLOCK = 512
+#: Links of one hub that are checked together, and members of one bucket that are compared together.
+BLOCK, BUCKET_BLOCK = 512, 2048
 #: Bits of a sketch for each shingle, at least: fewer bits let more pairs just over the bound through to the check.
 SKETCH_BITS = 6
+#: In buckets, where unlike sets far over the bound meet, sketches come folded this many times.
+FOLDS = 1
 #: A table of at most so many bytes is broadcast to the scan of texts; a larger one is joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 #: Shingles whose pieces a task puts in order at a time, on average.
@@ -118,6 +121,14 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
+def fold_bytes(bits: bytes) -> bytes:
+    for _ in range(FOLDS):
+        if len(bits) > 8:
+            half = np.frombuffer(bits, np.uint8).reshape(2, -1)
+            bits = (half[0] ^ half[1]).tobytes()
+    return bits
+
+
 def close(one: list[bytes], other: list[bytes], sizes: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
     """Hamming distances of the pairs (one[i], other[k]) that sketches and sizes don't rule out, -1 for the others."""
     out = np.full((len(one), len(other)), -1, np.int64)
@@ -150,18 +161,28 @@ def bound_holds(one: list[bytes], other: list[bytes], sizes: np.ndarray, others:
     return out
 
 
+def in_blocks(pairs: DataFrame) -> DataFrame:
+    """by, other and block of pairs (a, b, by): links of one hub are dealt in blocks of about BLOCK. Only hubs of more are looked up, and they are few."""
+    many = pairs.groupBy("by").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).where("blocks > 1")
+    other = F.when(F.col("by") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    joined = pairs.join(small(written(many, "hubs"), F.lit(32)), "by", "left")
+    return joined.select("by", other.alias("other"), F.pmod(F.xxhash64(other), F.coalesce("blocks", F.lit(1))).alias("block"))
+
+
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, by) whose sketches don't rule them out."""
-    of = nodes.select("set_id", "n_shingles", "sketch")
-    both = pairs.join(of.toDF("a", "n", "one"), "a").join(of.toDF("b", "m", "other"), "b").select("a", "b", "by", "n", "m", "one", "other")
+    of, blocked = nodes.select("set_id", "n_shingles", "sketch"), in_blocks(pairs)
+    hubs = blocked.select("by", "block").distinct().join(of.toDF("by", "n", "one"), "by")
+    both = blocked.join(hubs, ["by", "block"]).join(of.toDF("other", "m", "two"), "other").select("by", "other", "n", "m", "one", "two")
 
     def run(batches):
         for b in pieces(batches):
-            n, m = (b.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
-            ok = bound_holds(b.column(5).to_pylist(), b.column(6).to_pylist(), n, m, percent)
-            yield b.select(["a", "b", "by"]).filter(pa.array(ok))
+            n, m = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            ok = bound_holds(b.column(4).to_pylist(), b.column(5).to_pylist(), n, m, percent)
+            yield b.select(["by", "other"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long, by long")
+    left = both.mapInArrow(run, "by long, other long")
+    return left.select(F.least("by", "other").alias("a"), F.greatest("by", "other").alias("b"), "by")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -175,20 +196,21 @@ def texts_bytes(column: pa.Array) -> list[bytes]:
 
 
 def set_table(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (null without shingles) and sketch of every document."""
-    names = ["doc_id", "n_shingles", "set_id", "sketch"]
+    """doc_id, n_shingles, set_id (null without shingles), sketch and, folded, narrow sketch of every document."""
+    names = ["doc_id", "n_shingles", "set_id", "sketch", "narrow"]
 
     def run(batches):
         for b in pieces(batches):
-            n, ids, bits = [], [], []
+            n, ids, bits, narrow = [], [], [], []
             for codes in shingle_sets(texts_bytes(b.column(1)), size):
                 n.append(len(codes))
                 with np.errstate(over="ignore"):
                     ids.append(int(mix(mix(codes).sum(dtype=U64, keepdims=True) + U64(len(codes))).view(np.int64)[0]) if len(codes) else None)
                 bits.append(sketch(codes) if len(codes) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary())], names=names)
+                narrow.append(fold_bytes(bits[-1]) if len(codes) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), pa.array(narrow, pa.binary())], names=names)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id long, sketch binary")
+    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id long, sketch binary, narrow binary")
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -290,9 +312,7 @@ def pivots(found: DataFrame) -> DataFrame:
 
 def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, deals: int, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets are similar, written. Pairs are grouped by one of them, `by`, in blocks; a set goes once to each group."""
-    other = F.when(F.col("by") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    blocks = pairs.groupBy("by").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    blocked = pairs.join(blocks, "by").select(F.col("by").alias("a"), other.alias("b"), F.pmod(F.xxhash64(other), F.col("blocks")).alias("block"))
+    blocked = in_blocks(pairs).select(F.col("by").alias("a"), F.col("other").alias("b"), "block")
     group = F.xxhash64("a", "block")
     sent = blocked.select(F.col("b").alias("set_id"), group.alias("group"), F.lit(1).alias("role"), F.col("a").alias("pivot"))
     sent = sent.unionByName(blocked.select(F.col("a").alias("set_id"), group.alias("group"), F.lit(0).alias("role"), F.col("a").alias("pivot")).distinct())
@@ -334,52 +354,56 @@ def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, deals: int, siz
 def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, done: DataFrame, deals: int, percent: int, nearest: bool) -> DataFrame:
     """Pairs (a, b) of different components in one bucket that their sketches don't rule out, bucket by bucket in blocks.
 
-    done: pairs that were checked; buckets of such a pair alone are left out at once.
-    nearest: for each set and other component only the set nearest to it.
+    done: pairs that need no look; buckets of such a pair alone are left out at once.
+    nearest: for each set and other component only the set nearest to it; buckets with more come as rows of bucket alone.
     """
     labelled = found.join(labels, found["set_id"] == labels["node"], "left").select("bucket", "set_id", "members", F.coalesce("label", "set_id").alias("label"))
     ends = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("n"), F.min("set_id").alias("a"), F.max("set_id").alias("b"))
     seen = done.select("a", "b", F.lit(2).cast("long").alias("n"))
     mixed = ends.where(F.col("low") != F.col("high")).join(seen, ["a", "b", "n"], "left_anti").select("bucket")
-    open_ = labelled.join(mixed, "bucket").dropDuplicates(["bucket", "set_id"]).join(nodes.select("set_id", "n_shingles", "sketch"), "set_id")
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
+    open_ = labelled.join(mixed, "bucket").dropDuplicates(["bucket", "set_id"]).join(nodes.select("set_id", "n_shingles", F.col("narrow").alias("sketch")), "set_id")
+    parts = F.ceil(F.col("members") / BUCKET_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set_id"), parts).cast("int")
     sides = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("k")))
     spread = open_.withColumn("own", own).withColumn("cell", F.explode(sides)).select("bucket", "cell.i", "cell.k", "own", "set_id", "label", "n_shingles", "sketch")
 
-    def pairs(group: tuple, rows: list[tuple]) -> tuple[list[int], list[int]]:
-        _, i, k = group
+    def pairs(group: tuple, rows: list[tuple]) -> list[tuple]:
+        bucket, i, k = group
         left, right = [r for r in rows if r[0] == i], [r for r in rows if r[0] == k]
         ok = close([r[4] for r in left], [r[4] for r in right], np.array([r[3] for r in left]), np.array([r[3] for r in right]), percent)
         label, label2 = np.array([r[2] for r in left]), np.array([r[2] for r in right])
         ids, ids2 = np.array([r[1] for r in left]), np.array([r[1] for r in right])
         x, y = np.nonzero((ok >= 0) & (label[:, None] != label2))
+        more = []
         if nearest and len(x):
+            n = len(x)
             order = np.lexsort((ids2[y], ok[x, y], label2[y], x))
             x, y = x[order], y[order]
             first = np.concatenate([[True], (x[1:] != x[:-1]) | (label2[y[1:]] != label2[y[:-1]])])
             x, y = x[first], y[first]
-        return np.minimum(ids[x], ids2[y]).tolist(), np.maximum(ids[x], ids2[y]).tolist()
+            more = [(None, None, bucket)] if len(x) < n else []
+        return [(a, b, None) for a, b in zip(np.minimum(ids[x], ids2[y]).tolist(), np.maximum(ids[x], ids2[y]).tolist(), strict=True)] + more
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["a", "b", "bucket"])
 
     def run(batches):
         group, rows = None, []
         for b in batches:
-            a, c = [], []
+            out = []
             columns = [b.column(k).to_pylist() for k in range(8)]
             for g, row in zip(zip(*columns[:3], strict=True), zip(*columns[3:], strict=True), strict=True):
                 if g != group:
                     if rows:
-                        x, y = pairs(group, rows)
-                        a, c = a + x, c + y
+                        out += pairs(group, rows)
                     group, rows = g, []
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+            yield batch(out)
         if rows:
-            a, c = pairs(group, rows)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+            yield batch(pairs(group, rows))
 
     dealt = spread.repartition(deals, "bucket", "i", "k").sortWithinPartitions("bucket", "i", "k")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, bucket long").distinct()
 
 
 def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -388,22 +412,26 @@ def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     known = sets.where(F.col("set_id").isNotNull())
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
     deals = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DEAL_SHINGLES))
-    nodes = written(known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = written(known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("narrow").alias("narrow")), "nodes")
     found = written(buckets(packed_pieces(docs, deals, size, percent), deals), "buckets")
 
     stars = pivots(found).select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"), F.col("pivot").alias("by")).dropDuplicates(["a", "b"])
-    pairs = written(possible(stars, nodes, percent), "pairs")
-    links = checked(docs, nodes, pairs, deals, size, percent)
+    seen = written(stars, "pairs")  # checked, or ruled out by their sketches
+    links = checked(docs, nodes, written(possible(seen, nodes, percent), "pairs"), deals, size, percent)
+    looked_at = found
     for nearest in (True, False):
         labels = components(links, "a", "b")
-        still_open = split_buckets(found, nodes, labels, pairs, deals, percent, nearest).join(pairs, ["a", "b"], "left_anti")
-        still_open = written(still_open.withColumn("by", F.col("a")), "pairs")
-        if still_open.isEmpty():
+        rows = written(split_buckets(looked_at, nodes, labels, seen, deals, percent, nearest), "open")
+        more = rows.where("bucket IS NULL").select("a", "b").join(seen, ["a", "b"], "left_anti").withColumn("by", F.col("a"))
+        still_open = written(possible(written(more, "pairs"), nodes, percent), "pairs")
+        if not still_open.isEmpty():
+            links = links.unionByName(checked(docs, nodes, still_open, deals, size, percent))
+            seen = seen.unionByName(still_open)
+        left = rows.where("bucket IS NOT NULL").select("bucket").distinct()
+        if left.isEmpty():
             break
-        pairs = pairs.unionByName(still_open)
-        links = links.unionByName(checked(docs, nodes, still_open, deals, size, percent))
+        looked_at = found.join(left, "bucket", "left_semi")
     dropped(found)
-    dropped(pairs)
 
     rep = nodes.select("set_id", "rep")
     named = links.join(rep.withColumnsRenamed({"set_id": "a", "rep": "x"}), "a").join(rep.withColumnsRenamed({"set_id": "b", "rep": "y"}), "b")
