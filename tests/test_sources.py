@@ -61,9 +61,24 @@ def test_pushdown_and_pruning(spark):
 
 
 def test_point_in_polygon(spark):
-    ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
-    df = spark.createDataFrame([(5.0, 5.0), (11.0, 5.0), (-1.0, 3.0), (9.9, 0.1)], "x double, y double")
-    assert [r.i for r in df.select(joins.in_polygon(F.col("x"), F.col("y"), ring).alias("i")).collect()] == [True, False, False, True]
+    df = spark.createDataFrame([(1, 5.0, 5.0), (2, 11.0, 5.0), (3, -1.0, 3.0), (4, 9.9, 0.1)], "id int, x double, y double")
+    square = spark.createDataFrame([([{"x": x, "y": y} for x, y in ((0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0))],)], "ring array<struct<x: double, y: double>>")
+    assert sorted(r.id for r in joins.in_polygons(df, square, "x", "y", "ring", 3.0).collect()) == [1, 4]
+
+
+def test_zip_archives(spark, tmp_path):
+    """Members by name from archives as files: header lines go, quoted and empty values stay."""
+    import zipfile
+
+    for k in range(2):
+        with zipfile.ZipFile(tmp_path / f"a{k}.zip", "w") as z:
+            z.writestr("data_1.csv", "x,y\r\n1,one\r\n2,\r\n")
+            z.writestr("data_2.csv", 'x,y\n3,"a, b"\n')
+            z.writestr("readme.txt", "x,y\n9,no\n")
+            z.writestr("data_3.csv", "")
+    archives = spark.read.format("binaryFile").load(f"{tmp_path}/*.zip")
+    got = sorted((r.x, r.y or "") for r in tables.zip_csv(archives, r"data_\d\.csv", "x int, y string").collect())
+    assert got == sorted([(1, "one"), (2, ""), (3, "a, b")] * 2)
 
 
 def test_entry_points_without_corpus_operators(tmp_path):
