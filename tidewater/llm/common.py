@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 from ..sources.shared import dropped, shared_dir, written
 from ..sources.tables import table
 
-__all__ = ["dropped", "held", "kept_rows", "per_text", "pieces", "shared_dir", "table", "text_column", "written"]
+__all__ = ["broadcast_if_small", "dropped", "held", "kept_rows", "per_text", "pieces", "shared_dir", "table", "text_column", "written"]
+
+
+#: A written table of at most so many bytes is broadcast to joins; a larger one is joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(table: DataFrame, row_bytes) -> DataFrame:
+    """A written table, broadcast to joins if its rows' bytes sum to at most BROADCAST_BYTES."""
+    total = table.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table
 
 
 def text_column(df: DataFrame, name: str = "text"):

@@ -2,7 +2,7 @@
 
 The DOMs of a host's pages are merged by style: a node is a path of block elements with their
 classes. Two entropies are taken of each node over the m pages that have it. Content: the features of
-a node are its sentences; one that k of the pages share has entropy log k / log m, and the node's
+a node are its sentences (its whole blocks inside articles); one that k of the pages share has entropy log k / log m, and the node's
 importance is one less the mean over its distinct sentences. So menus, adverts and notices, the same
 on many pages, fall, and articles stay near one. The mean is taken twice, of the host's own pages and
 of the pages of all hosts that have the path (still over the host's own sentences there), as much
@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, written
+from .common import broadcast_if_small, pieces, small_batches, written
 from .url_rules import url_parts
 
 CONTENT_SHARE = 0.9
@@ -54,8 +54,6 @@ LOW, LOW_IN_ARTICLE = 0.7, 0.05
 MIN_PAGES = 4
 SLOTS, ALIKE, ALIKE_WHOLE = 16, 8, 12
 SALT = np.random.default_rng(8).integers(1 << 63, size=SLOTS + 5, dtype=np.uint64) | np.uint64(1)
-BROADCAST_BYTES = 32 << 20
-
 #: Elements whose content is no markup: without an end they take the rest of the page.
 RAW = ("script", "style", "title", "textarea", "iframe")
 #: Elements that are left out whole.
@@ -181,10 +179,11 @@ def code(text: str) -> int:
 def nodes(page: Page) -> list[tuple[str, bool, list[int]]]:
     """path, whether it is of elements, and codes of the node's features: sentences of a text, the child sequence of elements."""
     found: dict[str, set[str]] = {}
-    for path, text, _, _ in page.blocks:
-        found.setdefault(path, set()).update([x for x in SENTENCE.split(text) if x] or [text])
-    out = [(path, False, [code(x) for x in own]) for path, own in found.items()]
-    return out + [(path, True, [code(" ".join(dict.fromkeys(c)))]) for path, c in page.children.items()]
+    for path, text, _, article in page.blocks:
+        found.setdefault(path, set()).update([text] if article else [x for x in SENTENCE.split(text) if x] or [text])
+    # a code is of the path, too, so that it stands for the same on all hosts
+    out = [(path, False, [code(f"{path} {x}") for x in own]) for path, own in found.items()]
+    return out + [(path, True, [code(f"{path}> {' '.join(dict.fromkeys(c))}")]) for path, c in page.children.items()]
 
 
 def sketch(page: Page) -> tuple[bool, list[int]]:
@@ -232,18 +231,21 @@ def importances(pages: DataFrame) -> DataFrame:
     Sums of parts and of logarithms are rounded, so that their order changes nothing.
     """
     parsed = written(features(pages).withColumn("sketch", F.xxhash64("host", "article", "slots")), "style-pages")
-    has = parsed.join(page_parts(parsed), "sketch").select("host", "part", F.inline("nodes")).withColumn("node", F.xxhash64("host", "path", "inner")).withColumn("everywhere", F.xxhash64("path", "inner"))
+    has = parsed.join(page_parts(parsed), "sketch").select("host", "part", F.inline("nodes")).withColumn("node", F.xxhash64("host", "path", "inner"))
     total = lambda c: F.round(F.sum(c), 6)
     ln = lambda c: F.log(F.greatest(F.col(c), F.lit(1)))
-    own = has.groupBy("node", "everywhere").agg(total("part").alias("m"), F.first("host").alias("host"), F.first("path").alias("path"), F.first("inner").alias("inner"))
-    counts = written(has.select("node", "everywhere", "part", F.explode("codes").alias("code")).groupBy("node", "everywhere", "code").agg(total("part").alias("k")), "style-counts")
-    every = counts.groupBy("everywhere", "code").agg(total("k").alias("k_all"))
-    sums = counts.join(every, ["everywhere", "code"]).groupBy("node").agg(
-        F.count(F.lit(1)).alias("n"), total(ln("k")).alias("logs"), total(ln("k_all")).alias("logs_all"), total(F.col("k") * F.log("k")).alias("turns")
+    own = has.groupBy("node").agg(total("part").alias("m"), F.first("host").alias("host"), F.first("path").alias("path"), F.first("inner").alias("inner"))
+    counts = written(has.select("node", "part", F.explode("codes").alias("code")).groupBy("node", "code").agg(total("part").alias("k")), "style-counts")
+    # most features are of one node alone: only the others have more pages elsewhere
+    shared = written(counts.groupBy("code").agg(total("k").alias("k_all"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1").select("code", "k_all"), "style-shared")
+    known = counts.join(broadcast_if_small(shared, F.lit(24)), "code", "left").withColumn("k_all", F.coalesce("k_all", "k"))
+    sums = known.groupBy("node").agg(
+        F.count(F.lit(1)).alias("n"), total(ln("k")).alias("logs"), total(ln("k_all")).alias("logs_all"), total(F.col("k") * F.log("k")).alias("turns"), total(F.col("k") * F.log("k_all")).alias("cross")
     )
-    turns = every.groupBy("everywhere").agg(total(F.col("k_all") * F.log("k_all")).alias("turns_all"))
-    m_all = own.groupBy("everywhere").agg(total("m").alias("m_all"))
-    table = written(own.join(sums, "node").join(m_all.join(turns, "everywhere"), "everywhere"), "style-nodes")
+    nodes_ = written(own.join(sums, "node"), "style-nodes")
+    # summed over the nodes of a path, k log k_all gives k_all log k_all of each feature once
+    everywhere = nodes_.groupBy("path", "inner").agg(total("m").alias("m_all"), total("cross").alias("turns_all"))
+    table = nodes_.join(everywhere, ["path", "inner"])
     size = lambda m: F.log(F.greatest(F.col(m), F.lit(2)))
     content = lambda logs, m: F.when(F.col(m) <= 1, 1.0).otherwise(1 - F.col(logs) / (F.col("n") * size(m)))
     shape = lambda turns, m: F.when(F.col(m) <= 1, 1.0).otherwise(F.least(F.lit(1.0), (F.log(m) - F.col(turns) / F.col(m)) / size(m)))
@@ -269,12 +271,11 @@ def main_text(page: Page, gone: set[str], names: bool = True) -> str:
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    small_batches(pages)
     host, _ = url_parts(F.col("url"))
     named = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     low = written(low_branches(named), "low-branches")
-    bytes_ = low.agg(F.sum(F.length("host") + F.length(F.concat_ws("", "low")) + 64)).first()[0] or 0
-    if bytes_ <= BROADCAST_BYTES:
-        low = F.broadcast(low)
+    low = broadcast_if_small(low, F.length("host") + F.length(F.concat_ws("", "low")) + 64)
 
     def run(batches):
         for b in pieces(batches):
