@@ -13,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tidewater.llm import decontaminate, hashing, line_rules, parity_join, piece_codec, quality_knn, sharding, style_tree, token_index, toxicity_gru, url_rules
+from tidewater.llm import common, decontaminate, hashing, line_rules, parity_join, piece_codec, quality_knn, sharding, style_tree, token_index, toxicity_gru, url_rules
 from tidewater.llm.common import shared_dir
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "x" * 70_000), (6, "a b c d e f"), (6, "a b c d e f"), (7, "é ☃ 😀 ▁ \x1c \x00"), (8, "line one.\nline one.\n| a | b | c |")]
@@ -115,7 +115,7 @@ def jaccard_components(rows):
 def test_parity_join(make_docs, prose, monkeypatch, way):
     """Against brute force, with candidates broadcast and shuffled, and with groups and buckets cut in small blocks."""
     if way == "shuffled":
-        monkeypatch.setattr(parity_join, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
         monkeypatch.setattr(parity_join, "BLOCK", 4)
         monkeypatch.setattr(parity_join, "DEAL_SHINGLES", 500)
     rnd = random.Random(9)
@@ -540,7 +540,7 @@ def test_main_text_shuffled(spark, monkeypatch):
     rows = [(k, f"http://h{k % 3}.org/", f"<div>Menu</div><article><p>Text {k}.</p></article>") for k in range(30)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     one = sorted(style_tree.main_texts(pages).collect())
-    monkeypatch.setattr(style_tree, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert sorted(style_tree.main_texts(pages).collect()) == one and one[0].text == "Text 0."
     twice = style_tree.main_texts(pages.unionByName(pages)).collect()
     assert sorted(twice) == sorted(one * 2)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import dropped, pieces, small_batches, text_column, written
+from .common import broadcast_if_small, dropped, pieces, small_batches, text_column, written
 from .hashing import U64, mix, shingle_sets
 
 SHINGLE = 5
@@ -53,8 +53,6 @@ BLOCK, BUCKET_BLOCK = 512, 2048
 SKETCH_BITS = 6
 #: In buckets, where unlike sets far over the bound meet, sketches come folded this many times.
 FOLDS = 1
-#: A table of at most so many bytes is broadcast to the scan of texts; a larger one is joined by shuffle.
-BROADCAST_BYTES = 32 << 20
 #: Shingles whose pieces a task puts in order at a time, on average.
 DEAL_SHINGLES = 4_000_000
 FLUSH_KEYS = 1 << 20
@@ -165,7 +163,7 @@ def in_blocks(pairs: DataFrame) -> DataFrame:
     """by, other and block of pairs (a, b, by): links of one hub are dealt in blocks of about BLOCK. Only hubs of more are looked up, and they are few."""
     many = pairs.groupBy("by").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).where("blocks > 1")
     other = F.when(F.col("by") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    joined = pairs.join(small(written(many, "hubs"), F.lit(32)), "by", "left")
+    joined = pairs.join(broadcast_if_small(written(many, "hubs"), F.lit(32)), "by", "left")
     return joined.select("by", other.alias("other"), F.pmod(F.xxhash64(other), F.coalesce("blocks", F.lit(1))).alias("block"))
 
 
@@ -318,7 +316,7 @@ def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, deals: int, siz
     sent = sent.unionByName(blocked.select(F.col("a").alias("set_id"), group.alias("group"), F.lit(0).alias("role"), F.col("a").alias("pivot")).distinct())
     wanted = sent.join(nodes.select("set_id", F.col("rep").alias("doc_id")), "set_id").groupBy("doc_id", "set_id").agg(F.collect_list(F.struct("group", "role", "pivot")).alias("to"))
     wanted = written(wanted, "checks")
-    joined = texts(docs).join(small(wanted, F.lit(48) + 32 * F.size("to")), "doc_id").select("text", "set_id", "to")
+    joined = texts(docs).join(broadcast_if_small(wanted, F.lit(48) + 32 * F.size("to")), "doc_id").select("text", "set_id", "to")
 
     def sets(batches):
         for b in pieces(batches):
@@ -444,21 +442,15 @@ def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     )
 
 
-def small(table: DataFrame, row_bytes) -> DataFrame:
-    """A written table, broadcast to joins if its rows' bytes sum to at most BROADCAST_BYTES."""
-    total = table.agg(F.sum(row_bytes)).first()[0] or 0
-    return F.broadcast(table) if total <= BROADCAST_BYTES else table
-
-
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component, the one of least doc_id, and one row of it, that of the least text. Rows without doc_id stay."""
     linked = linked_documents(docs, size, percent)
     rows = written(linked.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("n")), "kept")
     gone = rows.where(~F.col("first")).select("doc_id")
-    kept = docs.join(small(gone, F.lit(24)), "doc_id", "left_anti")
+    kept = docs.join(broadcast_if_small(gone, F.lit(24)), "doc_id", "left_anti")
     repeated = rows.where("first AND n > 1").select("doc_id")
     if not repeated.isEmpty():
-        repeated = small(repeated, F.lit(24))
+        repeated = broadcast_if_small(repeated, F.lit(24))
         whole, order = F.struct(*docs.columns), F.struct(text_column(docs), F.xxhash64(*docs.columns))
         single = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, order).alias("row")).select("row.*")
         kept = kept.join(repeated, "doc_id", "left_anti").unionByName(single)
