@@ -22,10 +22,11 @@ long texts make a segment of their own.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import count
-from struct import pack as pack_ids
 from unicodedata import is_normalized
 
 import numpy as np
@@ -39,7 +40,7 @@ from .hashing import U64, mix
 
 END_ID = 1
 SEGMENT_IDS = 1 << 18
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 #: Longer words are not kept, so that a table's bytes are bounded with its words.
 KEPT_LENGTH = 48
 KEYS_PER_BUCKET = 4
@@ -71,6 +72,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -83,19 +85,33 @@ class WordTokenizer:
             return part.encode().decode("latin-1").translate(BYTE_LETTERS)
         return None
 
+    def merged(self, word: str) -> bytes:
+        """The ids of what is one word to the tokenizer, as its merges see it: only these are left to do."""
+        ids = array("I", [t.id for t in self.merges(word)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def learn(self, words: set[str]) -> list[str]:
         """Gives the young table the ids of these words; the long ones, which are not to be kept, come back."""
-        young, old, merges, cut, odd = self.young, self.old.get, self.tokenizer.model.tokenize, {}, []
-        for c in [w for w in words if w not in young]:
+        young, old, cut, odd = self.young, self.old.get, {}, []
+        for c in words:
             ids = old(c)
             if ids is not None:
                 young[c] = ids
                 continue
-            if c.isascii() and c.isalpha():
-                parts = (c.lower(),)
+            if c.isascii():
+                if c.isalpha():
+                    low = c.lower()
+                    ids = self.merged(low) if low == c else young.get(low) or old(low)
+                    if ids is None:
+                        ids = young[low] = self.merged(low)
+                    young[c] = ids
+                    continue
+                m = WORD_AND_MARKS.fullmatch(c)
+                parts = (m[1].lower(), m[2]) if m else (c if "<|" in c else c.lower(),)  # a special token's name is one only as it is written
             else:
                 parts = m.groups() if (m := WORD_AND_MARKS.fullmatch(c)) else (c,)
-                # a special token's name is one only as it is written
                 parts = tuple([p if "<|" in p or "Σ" in p or "İ" in p or not is_normalized("NFC", p) else p.lower() for p in parts])
             for p in parts:
                 if p not in young:
@@ -105,20 +121,25 @@ class WordTokenizer:
                     elif (mapped := self.plain(p)) is None:
                         young[p] = b""  # until the library has encoded it
                         odd.append(p)
-                    else:  # one word to the tokenizer: only its merges are left to do
-                        found = [t.id for t in merges(mapped)]
-                        young[p] = pack_ids(f"<{len(found)}I", *found)
+                    else:
+                        young[p] = self.merged(mapped)
             cut[c] = parts
         for p, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
             young[p] = np.array(e.ids, "<u4").tobytes()
         young.update([(c, young[parts[0]] if len(parts) == 1 else young[parts[0]] + young[parts[1]]) for c, parts in cut.items()])
-        return [w for c, parts in cut.items() for w in (c, *parts) if len(w) > KEPT_LENGTH]
+        return [w for c, parts in cut.items() for w in (c, *parts) if len(w) > KEPT_LENGTH] + [v for w in words if len(w) > KEPT_LENGTH for v in (w, w.lower())]
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers, then end."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        passing, get = self.learn(set().union(*words)), self.young.__getitem__
-        out = [b"".join([*map(get, own), end]) for own in words]
+        words, get = [t.replace("\n", " ").split(" ") for t in texts], self.young.get
+        found = [list(map(get, own)) for own in words]
+        passing = self.learn({w for own, ids in zip(words, found, strict=True) if None in ids for w, i in zip(own, ids, strict=True) if i is None})
+        known, out = self.young.__getitem__, []
+        for own, ids in zip(words, found, strict=True):
+            if None in ids:
+                ids = [known(w) if i is None else i for w, i in zip(own, ids, strict=True)]
+            ids.append(end)
+            out.append(b"".join(ids))
         for w in passing:
             self.young.pop(w, None)
         if len(self.young) >= KEPT_WORDS:
