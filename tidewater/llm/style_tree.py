@@ -231,7 +231,8 @@ def importances(pages: DataFrame) -> DataFrame:
     Sums of parts and of logarithms are rounded, so that their order changes nothing.
     """
     parsed = written(features(pages).withColumn("sketch", F.xxhash64("host", "article", "slots")), "style-pages")
-    has = parsed.join(page_parts(parsed), "sketch").select("host", "part", F.inline("nodes")).withColumn("node", F.xxhash64("host", "path", "inner"))
+    parts = written(page_parts(parsed), "style-parts")
+    has = parsed.join(parts, "sketch").select("host", "part", F.inline("nodes")).withColumn("node", F.xxhash64("host", "path", "inner"))
     total = lambda c: F.round(F.sum(c), 6)
     ln = lambda c: F.log(F.greatest(F.col(c), F.lit(1)))
     own = has.groupBy("node").agg(total("part").alias("m"), F.first("host").alias("host"), F.first("path").alias("path"), F.first("inner").alias("inner"))
