@@ -118,6 +118,8 @@ def test_parity_join(make_docs, prose, monkeypatch, way):
         monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
         monkeypatch.setattr(parity_join, "BLOCK", 4)
         monkeypatch.setattr(parity_join, "DEAL_SHINGLES", 500)
+        monkeypatch.setattr(parity_join, "CHUNK", 2)
+        monkeypatch.setattr(parity_join, "BUCKET_BLOCK", 3)
     rnd = random.Random(9)
     rows = []
     for group in range(14):

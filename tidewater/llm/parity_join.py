@@ -56,6 +56,7 @@ FOLDS = 1
 #: Shingles whose pieces a task puts in order at a time, on average.
 DEAL_SHINGLES = 4_000_000
 FLUSH_KEYS = 1 << 20
+CHUNK = 64
 
 
 def most_apart(sizes: int, percent: int = PERCENT) -> int:
@@ -258,7 +259,11 @@ def packed_pieces(docs: DataFrame, deals: int, size: int, percent: int) -> DataF
 
 
 def buckets(packed: DataFrame, deals: int) -> DataFrame:
-    """bucket, set_id and members of sets that agree in a piece. Equal buckets of a task come once, with times."""
+    """bucket, set_id, members and times of sets that agree in a piece. Equal buckets come once, with the times that they are met.
+
+    Sets that are alike agree in very many pieces, in as many equal buckets; these are merged by the task first, then over all.
+    Until then a bucket travels as chunks of at most CHUNK of its sets in order.
+    """
 
     def run(batches):
         keys, ids = [], []
@@ -290,12 +295,22 @@ def buckets(packed: DataFrame, deals: int) -> DataFrame:
         starts, count = starts[first], count[first]
         wanted = count > 1
         starts, count, name, times = starts[wanted], count[wanted], name[wanted], times[wanted]
-        at = np.repeat(starts - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(count) else np.zeros(0, np.int64)
-        columns = (np.repeat(name.view(np.int64), count), own[at], np.repeat(count, count), np.repeat(times, count))
-        for k in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000].astype(np.int64)) for c in columns], names=["bucket", "set_id", "members", "times"])
-
-    return packed.repartition(deals, "deal").mapInArrow(run, "bucket long, set_id long, members long, times long")
+        if not len(count):
+            return
+        at = np.repeat(starts - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        chunks = -(-count // CHUNK)
+        of = np.repeat(np.arange(len(count)), chunks)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        ends = np.cumsum(np.minimum(CHUNK, count[of] - CHUNK * nth))
+        sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(own[at]))
+        columns = [pa.array(c.astype(np.int64)) for c in (name.view(np.int64)[of], nth, count[of], times[of])]
+        whole = pa.RecordBatch.from_arrays([*columns, sets], names=["bucket", "chunk", "members", "times", "sets"])
+        for k in range(0, whole.num_rows, 20_000):
+            yield whole.slice(k, 20_000)
+
+    own = packed.repartition(deals, "deal").mapInArrow(run, "bucket long, chunk long, members long, times long, sets array<long>")
+    merged = own.groupBy("bucket", "chunk").agg(F.first("sets").alias("sets"), F.first("members").alias("members"), F.sum("times").alias("times"))
+    return merged.select("bucket", F.explode("sets").alias("set_id"), "members", "times")
 
 
 def pivots(found: DataFrame) -> DataFrame:
@@ -359,7 +374,7 @@ def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, done: D
     ends = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("n"), F.min("set_id").alias("a"), F.max("set_id").alias("b"))
     seen = done.select("a", "b", F.lit(2).cast("long").alias("n"))
     mixed = ends.where(F.col("low") != F.col("high")).join(seen, ["a", "b", "n"], "left_anti").select("bucket")
-    open_ = labelled.join(mixed, "bucket").dropDuplicates(["bucket", "set_id"]).join(nodes.select("set_id", "n_shingles", F.col("narrow").alias("sketch")), "set_id")
+    open_ = labelled.join(mixed, "bucket").join(nodes.select("set_id", "n_shingles", F.col("narrow").alias("sketch")), "set_id")
     parts = F.ceil(F.col("members") / BUCKET_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set_id"), parts).cast("int")
     sides = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("k")))
