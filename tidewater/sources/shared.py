@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,9 +26,10 @@ def written(df: DataFrame, what: str = "rounds") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the written tables that df reads, all of them. For tables that nothing reads any more."""
+def dropped(df: DataFrame, what: str = "") -> None:
+    """Deletes the written tables that df reads, all of them or those named what. For tables that nothing reads any more."""
     spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        if re.search(rf"/tidewater/{re.escape(what)}[^/]*-[0-9a-f]{{32}}(/\d+)?$", folder):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
