@@ -160,11 +160,14 @@ def bound_holds(one: list[bytes], other: list[bytes], sizes: np.ndarray, others:
     return out
 
 
+HUBS = "hubs"
+
+
 def in_blocks(pairs: DataFrame) -> DataFrame:
     """by, other and block of pairs (a, b, by): links of one hub are dealt in blocks of about BLOCK. Only hubs of more are looked up, and they are few."""
     many = pairs.groupBy("by").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")).where("blocks > 1")
     other = F.when(F.col("by") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    joined = pairs.join(broadcast_if_small(written(many, "hubs"), F.lit(32)), "by", "left")
+    joined = pairs.join(broadcast_if_small(written(many, HUBS), F.lit(32)), "by", "left")
     return joined.select("by", other.alias("other"), F.pmod(F.xxhash64(other), F.coalesce("blocks", F.lit(1))).alias("block"))
 
 
@@ -194,6 +197,11 @@ def texts_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def set_id(codes: np.ndarray) -> int:
+    with np.errstate(over="ignore"):
+        return int(mix(mix(codes).sum(dtype=U64, keepdims=True) + U64(len(codes))).view(np.int64)[0])
+
+
 def set_table(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set_id (null without shingles), sketch and, folded, narrow sketch of every document."""
     names = ["doc_id", "n_shingles", "set_id", "sketch", "narrow"]
@@ -203,8 +211,7 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
             n, ids, bits, narrow = [], [], [], []
             for codes in shingle_sets(texts_bytes(b.column(1)), size):
                 n.append(len(codes))
-                with np.errstate(over="ignore"):
-                    ids.append(int(mix(mix(codes).sum(dtype=U64, keepdims=True) + U64(len(codes))).view(np.int64)[0]) if len(codes) else None)
+                ids.append(set_id(codes) if len(codes) else None)
                 bits.append(sketch(codes) if len(codes) else None)
                 narrow.append(fold_bytes(bits[-1]) if len(codes) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), pa.array(narrow, pa.binary())], names=names)
@@ -245,8 +252,7 @@ def packed_pieces(docs: DataFrame, deals: int, size: int, percent: int) -> DataF
                     continue
                 band = band_of(len(codes))
                 own = np.concatenate([pieces_of(codes, band, percent), pieces_of(codes, band + 1, percent)])
-                with np.errstate(over="ignore"):
-                    ids.append(int(mix(mix(codes).sum(dtype=U64, keepdims=True) + U64(len(codes))).view(np.int64)[0]))
+                ids.append(set_id(codes))
                 keys.append(own)
                 held += len(own)
                 if held >= FLUSH_KEYS or len(keys) >= 65_000:
@@ -330,13 +336,17 @@ def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, deals: int, siz
     sent = blocked.select(F.col("b").alias("set_id"), group.alias("group"), F.lit(1).alias("role"), F.col("a").alias("pivot"))
     sent = sent.unionByName(blocked.select(F.col("a").alias("set_id"), group.alias("group"), F.lit(0).alias("role"), F.col("a").alias("pivot")).distinct())
     wanted = sent.join(nodes.select("set_id", F.col("rep").alias("doc_id")), "set_id").groupBy("doc_id", "set_id").agg(F.collect_list(F.struct("group", "role", "pivot")).alias("to"))
-    wanted = written(wanted, "checks")
+    made = wanted
+    wanted = written(made, "checks")
+    dropped(made, HUBS)
     joined = texts(docs).join(broadcast_if_small(wanted, F.lit(48) + 32 * F.size("to")), "doc_id").select("text", "set_id", "to")
 
     def sets(batches):
         for b in pieces(batches):
             rows = []
             for codes, own, to in zip(shingle_sets(texts_bytes(b.column(0)), size), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if set_id(codes) != own:
+                    continue  # another text of a repeated doc_id
                 raw = codes.tobytes()
                 rows += [(t["group"], t["role"], t["pivot"], own, raw) for t in to]
             for k in range(0, len(rows), 256):
@@ -419,42 +429,70 @@ def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, done: D
     return dealt.mapInArrow(run, "a long, b long, bucket long").distinct()
 
 
-def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
-    sets = written(set_table(docs, size), "sets")
+def node_table(sets: DataFrame, *more: str) -> DataFrame:
+    """The distinct sets with a document of each, written."""
     known = sets.where(F.col("set_id").isNotNull())
-    total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    deals = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DEAL_SHINGLES))
-    nodes = written(known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("narrow").alias("narrow")), "nodes")
-    found = written(buckets(packed_pieces(docs, deals, size, percent), deals), "buckets")
+    return written(known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "narrow", *more))), "nodes")
+
+
+def classes(docs: DataFrame, sets: DataFrame, nodes: DataFrame, found: DataFrame, deals: int, size: int, percent: int, grouped=components) -> DataFrame:
+    """doc_id, n_shingles and component_id of the rows of sets, from the buckets (bucket, set_id, members, times) that linked sets share. found is deleted.
 
+    grouped: labels the nodes of links (links, a, b).
+    """
     stars = pivots(found).select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"), F.col("pivot").alias("by")).dropDuplicates(["a", "b"])
     seen = written(stars, "pairs")  # checked, or ruled out by their sketches
-    links = checked(docs, nodes, written(possible(seen, nodes, percent), "pairs"), deals, size, percent)
+    links = seen.select("a", "b").limit(0)
+
+    def with_links(pairs: DataFrame) -> DataFrame:
+        """The links with those of further pairs."""
+        open_ = possible(pairs, nodes, percent)
+        kept = written(open_, "pairs")
+        dropped(open_, HUBS)
+        out = links if kept.isEmpty() else links.unionByName(checked(docs, nodes, kept, deals, size, percent))
+        dropped(kept)
+        return out
+
+    links = with_links(seen)
     looked_at = found
     for nearest in (True, False):
-        labels = components(links, "a", "b")
+        labels = grouped(links, "a", "b")
         rows = written(split_buckets(looked_at, nodes, labels, seen, deals, percent, nearest), "open")
-        more = rows.where("bucket IS NULL").select("a", "b").join(seen, ["a", "b"], "left_anti").withColumn("by", F.col("a"))
-        still_open = written(possible(written(more, "pairs"), nodes, percent), "pairs")
-        if not still_open.isEmpty():
-            links = links.unionByName(checked(docs, nodes, still_open, deals, size, percent))
-            seen = seen.unionByName(still_open)
-        left = rows.where("bucket IS NOT NULL").select("bucket").distinct()
+        dropped(labels)
+        more = written(rows.where("bucket IS NULL").select("a", "b").join(seen, ["a", "b"], "left_anti").withColumn("by", F.col("a")), "pairs")
+        left = written(rows.where("bucket IS NOT NULL").select("bucket").distinct(), "left")
+        dropped(rows)
+        links, seen = with_links(more), seen.unionByName(more)
         if left.isEmpty():
             break
         looked_at = found.join(left, "bucket", "left_semi")
-    dropped(found)
+    for table in (looked_at, found, left, seen):
+        dropped(table)
 
     rep = nodes.select("set_id", "rep")
-    named = links.join(rep.withColumnsRenamed({"set_id": "a", "rep": "x"}), "a").join(rep.withColumnsRenamed({"set_id": "b", "rep": "y"}), "b")
-    labels = components(named, "x", "y")
-    of_set = rep.join(labels, rep["rep"] == labels["node"], "left").select("set_id", F.coalesce("label", "rep").alias("component_id"))
-    return (
-        sets.select("doc_id", "n_shingles", "set_id")
-        .join(of_set, "set_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    )
+    labels = grouped(links, "a", "b")
+    of_set = rep.join(labels, rep["set_id"] == labels["node"], "left").select("set_id", "rep", F.coalesce("label", "set_id").alias("class"))
+    least = of_set.groupBy("class").agg(F.min("rep").alias("component_id"))
+    of_set = of_set.join(least, "class").select("set_id", "component_id")
+    every = sets.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = written(every, "classes")
+    for table in (links, labels, sets, nodes):
+        dropped(table)
+    return out
+
+
+def deals_of(sets: DataFrame) -> int:
+    """Tasks of about DEAL_SHINGLES each."""
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    return max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DEAL_SHINGLES))
+
+
+def linked_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
+    sets = written(set_table(docs, size), "sets")
+    deals, nodes = deals_of(sets), node_table(sets)
+    found = written(buckets(packed_pieces(docs, deals, size, percent), deals), "buckets")
+    return classes(docs, sets, nodes, found, deals, size, percent)
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

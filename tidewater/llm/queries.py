@@ -14,9 +14,12 @@ from .line_rules import judged
 from .parity_join import linked_documents
 from .piece_codec import digests
 from .sharding import shard_documents
+from .spelling_halves import spelling_variants
 from .style_tree import main_texts
+from .superminhash import near_duplicates
 from .token_index import documents_of, read_segments, write_segments
 from .url_rules import judge_urls
+from .yinyang_codes import vector_codes
 
 
 def op1_virtual_slot_sharding(spark, sf_dir):
@@ -66,6 +69,18 @@ def op10_piece_codec(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_spelling_halves(spark, sf_dir):
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_yinyang_codes(spark, sf_dir):
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_superminhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +94,9 @@ QUERIES = {
         op8_site_style_tree,
         op9_line_first_cleaning,
         op10_piece_codec,
+        op11_spelling_halves,
+        op12_yinyang_codes,
+        op13_superminhash,
     )
 }
 
@@ -110,15 +128,16 @@ LINE_RULES_SQL = rf"""
         NOT (n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line_rules.MAX_REPEAT_PERCENT} * n_words) AND chars_removed * 100 <= line_chars * {line_rules.MAX_LOST_PERCENT} AS kept
     FROM base"""
 
-ORACLE_SQL: dict[str, str] = {
-    "op9_line_first_cleaning": LINE_RULES_SQL,
-    "op6_parity_sketch_join": r"""
+
+def near_sql(size: int, more: str = "") -> str:
+    """Links by the sizes of shared and joined sets of shingles, then all that is reachable."""
+    return rf"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
             FROM documents),
         shingles AS (
-            SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
-            FROM words, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < {size} THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + {size - 1}], ' ') END AS s
+            FROM words, unnest(range(1, greatest(len(w) - {size - 2}, 2))) AS t(i) WHERE len(w) > 0),
         sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
         shared AS (
             SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
@@ -127,9 +146,73 @@ ORACLE_SQL: dict[str, str] = {
             SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
         both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
         reach(doc_id, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN both_ways l ON l.x = r.node)
-        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id{more}
         FROM documents d LEFT JOIN sizes s USING (doc_id)
-        JOIN (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)""",
+        JOIN (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id) r USING (doc_id)"""
+
+
+SPELLING_SQL = r"""
+    WITH RECURSIVE step(i, v, k) AS (
+        SELECT i, i, 0 FROM range(256) t(i) UNION ALL
+        SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM step WHERE k < 8),
+    crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM step WHERE k = 8),
+    runs AS (
+        SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d,
+               unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS r FROM documents),
+    counted AS (SELECT d, r, count(*) AS c FROM runs WHERE length(r) >= 6 GROUP BY ALL),
+    hashed AS (
+        SELECT r, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+            flatten(list_transform(string_split(d || ':' || r, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + (unicode(x) >> 6) AS BIGINT), CAST(128 + (unicode(x) & 63) AS BIGINT)] END))),
+            lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295) AS h
+        FROM counted, crc),
+    spelt AS (SELECT CASE WHEN h % 199 = 0 THEN r[:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, c FROM hashed),
+    words AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+    cut AS MATERIALIZED (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM words, unnest(range(1, length(word) + 1)) t(i)),
+    pairs AS (
+        SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word AND length(a.word) = length(b.word)
+        UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+    best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS form, max(n) AS form_n FROM pairs GROUP BY word),
+    forms AS MATERIALIZED (
+        SELECT w.word, CASE WHEN form_n >= 5 * w.n THEN form END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n
+        FROM words w LEFT JOIN best USING (word)),
+    chain(word, node, k) AS (SELECT word, word, 0 FROM forms UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN forms f ON f.word = c.node WHERE f.form IS NOT NULL)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(node, k) AS root FROM chain GROUP BY word) USING (word)"""
+
+
+def codes_sql(rounds: int = 6) -> str:
+    """The rounds one after the other, each with all distances."""
+    out = """
+    WITH kept AS MATERIALIZED (
+        SELECT row_number() OVER () AS row, vec_id, label, embedding AS v, len(embedding) // 8 AS w FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS MATERIALIZED (SELECT row, p, list_transform(v[p * w + 1:(p + 1) * w], lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM kept, range(8) t(p)),
+    firsts AS (SELECT row, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 16),
+    book0 AS MATERIALIZED (SELECT p, e, x AS c FROM firsts JOIN parts USING (row)),"""
+    nearest = """
+    near{k} AS MATERIALIZED (
+        SELECT row, p, min(struct_pack(d := list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS m
+        FROM parts JOIN book{k} USING (p) GROUP BY row, p),"""
+    for k in range(rounds):
+        out += nearest.format(k=k) + f"""
+    sums{k} AS (
+        SELECT p, m.e AS e, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS c
+        FROM near{k} JOIN parts USING (row, p), unnest(range(1, len(x) + 1)) t(i) GROUP BY ALL),
+    means{k} AS (SELECT p, e, list(c ORDER BY i) AS c FROM sums{k} GROUP BY ALL),
+    book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN means{k} m USING (p, e)),"""
+    return out + nearest.format(k=rounds) + f"""
+    coded AS MATERIALIZED (SELECT row, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM near{rounds} GROUP BY row),
+    every AS MATERIALIZED (SELECT vec_id, label, code, error FROM kept JOIN coded USING (row))
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+        (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256 FROM every"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op11_spelling_halves": SPELLING_SQL,
+    "op12_yinyang_codes": codes_sql(),
+    "op13_superminhash": near_sql(2, ", d.doc_id = r.component_id AS kept"),
+    "op9_line_first_cleaning": LINE_RULES_SQL,
+    "op6_parity_sketch_join": near_sql(5),
     "op7_url_range_join": r"""
         WITH rest AS (
             SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS r
