@@ -29,11 +29,22 @@ def test_sharding(make_docs, prose):
     assert sorted(light)[-1] - sorted(light)[2] < 600  # but for the shard with the huge text
     want = sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t in rows)
     assert sorted(zip(out["size"], out["text_crc32"], strict=True)) == want
-    # by hand: the virtual slot's shard for rows of common slots, as the operator's own first map and its edit give it
-    loads = {}
-    for r in sharding.records(make_docs(rows)).collect():
-        loads[r.virtual_slot] = loads.get(r.virtual_slot, 0) + r.size
-    assert sum(loads.values()) == sum(size for size, _ in want)
+    # each virtual slot is in one shard, and the newest map gives it
+    assert (out.groupby("virtual_slot")["shard"].nunique() == 1).all() and set(out["map_version"]) == {1}
+    assert out[out["size"] < 60_000].groupby("shard")["size"].sum().min() > 0
+
+
+@pytest.mark.parametrize("way", ["broadcast", "shuffled"])
+def test_sharding_of_repeated_rows(make_docs, prose, monkeypatch, way):
+    """A third of all rows is one row: sizes stay near equal."""
+    if way == "shuffled":
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    rows = [(k, prose(k, 20 + k % 50)) for k in range(2000)] + [(7, prose(7, 27))] * 1000 + [(None, None)] * 50
+    out = sharding.shard_documents(make_docs(rows), shards=24).toPandas()
+    sizes = out.groupby("shard")["size"].sum()
+    assert len(out) == len(rows) and len(sizes) == 24 and sizes.max() < 1.1 * sizes.mean() and sizes.min() > 0.9 * sizes.mean()
+    for _, g in out.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
 
 
 def test_sharding_of_nothing(make_docs):

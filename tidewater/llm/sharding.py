@@ -1,14 +1,18 @@
 """Sharding by fixed virtual slots.
 
 Every record is hashed into one of `slots` virtual slots (thousands, fixed for the life of a
-corpus). A slot's bytes are summed, and a versioned table maps slots to shards. Rebalancing edits
+corpus). Rows that are equal in key, size and text's crc32 are told apart by a salt, their number in the scan,
+or all of them would fill one slot; the records are written once with it, so that a row keeps its slot in all
+that follows and when tasks run again. A slot's bytes are summed, and a versioned table maps slots to shards. Rebalancing edits
 that table only: slots that overfill a shard move to the lightest shards, all others stay.
 
 Everything runs as DataFrame functions. The only data that grows with the corpus are the scans;
 the map has exactly `slots` rows, so its broadcast and its single-task fold are bounded.
 
 Edge cases: a null or empty text has 8 bytes of size; null keys hash like any other value;
-repeated rows share a slot and get successive positions; an empty table gives no rows; columns
+repeated rows spread over slots by salt, so which of them gets which place
+depends on the scan, but nothing that tells them apart does; a very long text counts with all of its bytes, and one
+over a shard's fair share has a shard of its own; ties of the rank in a slot are only between equal rows; an empty table gives no rows; columns
 of the input other than the key and text are ignored, so clashing names do no harm.
 """
 
@@ -17,21 +21,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import broadcast_if_small, dropped, shared_dir, written
 
 SLOTS = 4096
 ROW_OVERHEAD = 8
 
 
 def records(docs: DataFrame, slots: int = SLOTS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, size, text_crc32 and virtual_slot of every row."""
+    """key, size, text_crc32 and virtual_slot of every row, written."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.select(
         F.col(key).alias("doc_id"),
         (F.octet_length(t) + F.lit(ROW_OVERHEAD)).cast("long").alias("size"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
     )
-    return out.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
+    own = ["doc_id", "size", "text_crc32"]
+    named = out.withColumn("code", F.xxhash64(*own))
+    often = written(named.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("code", F.lit(True).alias("again")), "repeated")
+    salted = named.withColumn("salt", F.monotonically_increasing_id()).join(broadcast_if_small(often, F.lit(16)), "code", "left")
+    slot = F.pmod(F.when(F.col("again"), F.xxhash64("code", "salt")).otherwise(F.col("code")), F.lit(slots)).cast("int")
+    recs = written(salted.select(*own, slot.alias("virtual_slot")), "records")
+    dropped(often)
+    return recs
 
 
 def slot_loads(recs: DataFrame, slots: int = SLOTS) -> DataFrame:
