@@ -96,11 +96,11 @@ def test_line_rules_verdicts(make_docs, prose):
     assert {r.doc_id: r.text for r in line_rules.clean(docs).collect()} == {1: good, 4: good}
 
 
-def jaccard_components(rows):
+def jaccard_components(rows, size=5):
     sets, out = {}, {}
     for k, (i, t) in enumerate(rows):
         words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split(" ") if w]
-        sets[k] = {tuple(words[a : a + 5]) for a in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+        sets[k] = {tuple(words[a : a + size]) for a in range(len(words) - size + 1)} if len(words) >= size else ({tuple(words)} if words else set())
     label = list(range(len(rows)))
 
     def root(x):
@@ -142,7 +142,7 @@ def test_parity_join(make_docs, prose, monkeypatch, way):
             if rnd.random() < 0.2:
                 copy += ["tail"] * rnd.randint(1, 8)
             rows.append((len(rows) + 10, " ".join(copy)))
-    rows += [(1, None), (2, ""), (3, " \n "), (4, "One"), (5, "one"), (6, "a b c d e f"), (7, "A B C D E F")]
+    rows += [(1, None), (2, ""), (3, " \n "), (4, "One"), (5, "one"), (6, "a b c d e f"), (7, "A B C D E F"), (6, "a b c d e f"), (8, prose(5, 9000)), (8, prose(6, 60)), (9, prose(5, 9000) + " end")]
     out = parity_join.linked_documents(make_docs(rows)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == jaccard_components(rows)
 

@@ -16,9 +16,8 @@ pivot: of each of its buckets the hub, the member with most mates over all bucke
 one it shares most pieces with. Around a much copied text that is the original, so most of a group
 is one component after this round. (2) In buckets that still hold several components, sketches are
 compared in blocks, and each document is checked against the nearest of every other component in its
-bucket. (3) Where others were near, too, and their components are still apart, they are checked as well. Only pairs that pass
-the bound on their sketches' distance are ever checked. A check compares
-the shingle sets themselves. Links inside one component add nothing, so groups of copies never
+bucket. (3) Where others were near, too, and the components of the nearest are still apart, they are checked as well. Only
+pairs that pass the bound on their sketches' distance are ever checked. A check compares the shingle sets themselves. Links inside one component add nothing, so groups of copies never
 become all pairs; exact copies (equal sets) are one node from the start.
 
 Pieces travel packed (6 bytes of code, 2 of place) and dealt by code, in as many deals as keep each
@@ -378,7 +377,7 @@ def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, done: D
     """Pairs (a, b) of different components in one bucket that their sketches don't rule out, bucket by bucket in blocks.
 
     done: pairs that need no look; buckets of such a pair alone are left out at once.
-    nearest: for each set and other component only the set nearest to it; buckets with more come as rows of bucket alone.
+    nearest: for each set and other component only the set nearest to it; where there are more, the pair comes once more, with its bucket.
     """
     labelled = found.join(labels, found["set_id"] == labels["node"], "left").select("bucket", "set_id", "members", F.coalesce("label", "set_id").alias("label"))
     ends = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("n"), F.min("set_id").alias("a"), F.max("set_id").alias("b"))
@@ -397,15 +396,15 @@ def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, done: D
         label, label2 = np.array([r[2] for r in left]), np.array([r[2] for r in right])
         ids, ids2 = np.array([r[1] for r in left]), np.array([r[1] for r in right])
         x, y = np.nonzero((ok >= 0) & (label[:, None] != label2))
-        more = []
+        several = np.zeros(len(x), bool)
         if nearest and len(x):
-            n = len(x)
             order = np.lexsort((ids2[y], ok[x, y], label2[y], x))
             x, y = x[order], y[order]
-            first = np.concatenate([[True], (x[1:] != x[:-1]) | (label2[y[1:]] != label2[y[:-1]])])
+            first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (label2[y[1:]] != label2[y[:-1]])]))
+            several = np.diff(np.concatenate([first, [len(x)]])) > 1
             x, y = x[first], y[first]
-            more = [(None, None, bucket)] if len(x) < n else []
-        return [(a, b, None) for a, b in zip(np.minimum(ids[x], ids2[y]).tolist(), np.maximum(ids[x], ids2[y]).tolist(), strict=True)] + more
+        a, b = np.minimum(ids[x], ids2[y]), np.maximum(ids[x], ids2[y])
+        return [(*p, None) for p in zip(a.tolist(), b.tolist(), strict=True)] + [(*p, bucket) for p in zip(a[several].tolist(), b[several].tolist(), strict=True)]
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["a", "b", "bucket"])
@@ -454,19 +453,29 @@ def classes(docs: DataFrame, sets: DataFrame, nodes: DataFrame, found: DataFrame
         return out
 
     links = with_links(seen)
-    looked_at = found
-    for nearest in (True, False):
-        labels = grouped(links, "a", "b")
+
+    def more_links(looked_at: DataFrame, labels: DataFrame, nearest: bool) -> DataFrame:
+        """Checks further pairs of the buckets; gives the nearest pairs, with their bucket, of sets that have others as well."""
+        nonlocal links, seen
         rows = written(split_buckets(looked_at, nodes, labels, seen, deals, percent, nearest), "open")
         dropped(labels)
         more = written(rows.where("bucket IS NULL").select("a", "b").join(seen, ["a", "b"], "left_anti").withColumn("by", F.col("a")), "pairs")
-        left = written(rows.where("bucket IS NOT NULL").select("bucket").distinct(), "left")
+        several = written(rows.where("bucket IS NOT NULL"), "several")
         dropped(rows)
         links, seen = with_links(more), seen.unionByName(more)
-        if left.isEmpty():
-            break
-        looked_at = found.join(left, "bucket", "left_semi")
-    for table in (looked_at, found, left, seen):
+        return several
+
+    several = more_links(found, grouped(links, "a", "b"), nearest=True)
+    if not several.isEmpty():
+        labels = grouped(links, "a", "b")
+        of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
+        apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+        left = written(several.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("bucket").distinct(), "left")
+        if not left.isEmpty():
+            dropped(more_links(found.join(left, "bucket", "left_semi"), labels, nearest=False))
+        dropped(labels)
+        dropped(left)
+    for table in (several, found, seen):
         dropped(table)
 
     rep = nodes.select("set_id", "rep")

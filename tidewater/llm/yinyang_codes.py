@@ -100,7 +100,10 @@ def root_up(n: int) -> int:
 
 def grouped(entries: np.ndarray) -> list[np.ndarray]:
     """Entries of one codebook in at most GROUPS groups, by a few rounds of Lloyd's from seeds far apart."""
-    x = entries.astype(np.float64)
+    if not len(entries):
+        return [np.zeros(0, np.int64)] * GROUPS
+    most = max(abs(int(v)) for v in entries.ravel())
+    x = (entries >> max(0, most.bit_length() - 400)).astype(np.float64)  # squares stay in range
     seeds = [0]
     for _ in range(min(GROUPS, len(x)) - 1):
         apart = np.min([((x - x[s]) ** 2).sum(axis=1) for s in seeds], axis=0)
