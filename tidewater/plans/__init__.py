@@ -1,3 +1,3 @@
 """Plans of the engine: importing this package registers all queries."""
 
-from . import aggregating, analysing, basics, compositions, estimating, joining, scalars, streams, windowing  # noqa: F401
+from . import aggregating, analysing, basics, compositions, estimating, joining, scalars, shapes, streams, windowing  # noqa: F401
