@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from support import DATA
 
 from tidewater.operators import estimators
@@ -133,10 +134,40 @@ def test_raked_against_passes(spark):
         assert [got[r[1]] for r in own] == pytest.approx(est.tolist(), abs=1e-6)
 
 
-def test_upsert_of_a_day_in_two_batches(spark, tmp_path):
+def test_upserts(spark, tmp_path):
+    """A day over two batches keeps both; batches that run twice, a refetch, and a replay in other batches change nothing; a corrected row replaces its like."""
     from tidewater.streaming import jobs
 
-    e = spark.sql("SELECT id, timestamp'2024-01-05 10:00:00' + make_interval(0, 0, 0, 0, cast(id AS int)) AS ts FROM range(8)")
-    for batch in (0, 1, 1, 0):  # each of them twice
-        jobs.upsert_days(e.where(f"id % 2 = {batch}"), batch, f"{tmp_path}/days")
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/days").collect()) == list(range(8))
+    path = f"{tmp_path}/days"
+    e = spark.sql("SELECT id, 1 AS v, timestamp'2024-01-05 20:00:00' + make_interval(0, 0, 0, 0, cast(id AS int)) AS ts FROM range(8)")
+    kept = lambda: sorted((r.id, r.v, str(r.day)) for r in spark.read.parquet(path).collect())
+    want = [(k, 1, "2024-01-05" if k < 4 else "2024-01-06") for k in range(8)]
+    for batch in (0, 1, 1, 0):
+        jobs.upsert_days(e.where(f"id % 2 = {batch}"), path, ["id"])
+    assert kept() == want
+    jobs.upsert_days(e, path, ["id"])
+    for part in ("id < 3", "id >= 3"):
+        jobs.upsert_days(e.where(part), path, ["id"])
+    assert kept() == want
+    jobs.upsert_days(e.where("id = 5").unionByName(e.where("id = 5")).withColumn("v", F.lit(7)), path, ["id"])
+    assert kept() == [(k, 7 if k == 5 else v, d) for k, v, d in want]
+
+
+def test_late_rows(spark, tmp_path):
+    """A late file is set apart and counted, and a refetch changes exactly its windows."""
+    from tidewater.streaming import jobs
+
+    path = f"{tmp_path}/kept"
+    at = lambda first, n, hours: spark.range(first, first + n).select("id", F.expr(f"timestamp'2024-01-01 00:30:00' + make_interval(0, 0, 0, 0, cast((id - {first}) % 3 + {hours} AS int))").alias("ts"))
+    early, new, late = at(0, 6, 0), at(100, 6, 200), at(200, 4, 1)
+    for k, batch in enumerate((early, new, late.unionByName(at(300, 2, 199)), late.unionByName(at(300, 2, 199)))):
+        jobs.keep_late(batch, min(k, 2), path, "1 hour", ["id"])  # the last batch runs twice
+    ids = lambda: sorted(r.id for r in spark.read.parquet(f"{path}/days").collect())
+    assert ids() == [*range(6), *range(100, 106), 300, 301]
+    ledger = sorted((r.batch, r.n, r.n_late) for r in spark.read.parquet(f"{path}/ledger").collect())
+    assert ledger == [(0, 6, 0), (1, 6, 0), (2, 6, 4)]
+    assert sorted((r.window_start.hour, r.n) for r in jobs.late_windows(spark, path).collect()) == [(1, 2), (2, 1), (3, 1)]
+    asked = early.unionByName(new).unionByName(late).unionByName(at(400, 1, 50))
+    for _ in range(2):
+        jobs.refetch(asked, path, "1 hour", ["id"])
+    assert ids() == [*range(6), *range(100, 106), *range(200, 204), 300, 301]

@@ -64,7 +64,18 @@ def stream_tumbling(spark, d):
 
 @query("stream_late_data", TUMBLING.format("hour"))
 def stream_late_data(spark, d):
-    return stamped(drained(J.tumbling(events(spark, d), "1 hour", late="3 days"), "complete").drop("batch"), "start")
+    """Events in files of which the newest come first: what is over three days late is set apart, then its hours are fetched again."""
+    base, e = shared(spark), table(spark, d, "events")
+    day = F.date_trunc("day", "ts")
+    first, last = e.agg(F.min(day), F.max(day)).first()
+    middle = first + (last - first) / 2
+    for k, part in enumerate((F.col("ts") >= middle, F.col("ts") < middle)):
+        e.where(part).write.mode("append").parquet(f"{base}/files/{k}")
+        files = J.event_files(spark, f"{base}/files/*", e.schema)
+        run = files.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(lambda b, n: J.keep_late(b, n, f"{base}/kept", "1 hour", ["event_id"])).start()
+        run.awaitTermination()
+    J.refetch(e.withColumn("ts", F.col("ts").cast("timestamp")), f"{base}/kept", "1 hour", ["event_id"])
+    return stamped(J.tumbling(spark.read.parquet(f"{base}/kept/days"), "1 hour", late=None), "start")
 
 
 @query("stream_sliding", "SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, round(sum(value), 4) AS value FROM (SELECT value, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY 1")
@@ -105,7 +116,7 @@ def stream_seam_union(spark, d):
 def stream_foreach_upsert(spark, d):
     base = shared(spark)
     for again in range(2):  # the second run changes nothing
-        run = events(spark, d).writeStream.option("checkpointLocation", f"{base}/state-{again}").trigger(availableNow=True).foreachBatch(lambda b, k: J.upsert_days(b, k, f"{base}/days")).start()
+        run = events(spark, d).writeStream.option("checkpointLocation", f"{base}/state-{again}").trigger(availableNow=True).foreachBatch(lambda b, k: J.upsert_days(b, f"{base}/days", ["event_id"])).start()
         run.awaitTermination()
     return spark.read.parquet(f"{base}/days").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 

@@ -6,12 +6,16 @@ Every function takes a streaming (or batch) frame and gives one; the caller pick
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import delete, dropped, exists, written
+
 LATE = "3 days"
 
 
@@ -71,6 +75,71 @@ def counters(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").applyInPandasWithState(step, "event_type string, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_days(batch: DataFrame, number: int, path: str) -> None:
-    """foreachBatch sink: exactly what this batch has written of each day is replaced, so a batch run twice changes nothing and a day over several batches keeps all of them."""
-    batch.withColumn("day", F.to_date("ts")).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day", "batch").parquet(path)
+def by_day(path: str, df: DataFrame) -> None:
+    """Replaces the days that df has, whole."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("day").parquet(path)
+
+
+def stored(like: DataFrame, path: str) -> DataFrame:
+    """The table at path with the columns of like; without rows where there is none yet."""
+    spark = like.sparkSession
+    return spark.read.schema(like.schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], like.schema)
+
+
+def upsert_days(batch: DataFrame, path: str, keys: list[str]) -> None:
+    """foreachBatch sink: rows replace those of equal keys on the days of the batch, and all others stay.
+
+    So a day over several batches keeps all of them, a day that is fetched again comes once, and a batch that runs twice, or a
+    replay in other batches, changes nothing. Only the batch's days are read and written. Of equal keys in a batch one row is kept,
+    the greatest.
+    """
+    rows = batch.withColumn("day", F.to_date("ts"))
+    rows = rows.groupBy("day", *keys).agg(F.max(F.struct(*(c for c in rows.columns if c not in ("day", *keys)))).alias("_rest")).select("day", *keys, "_rest.*").select(*rows.columns)
+    held = written(rows, "batch")
+    days = [r.day for r in held.select("day").distinct().collect()]  # of one batch
+    touched = F.col("day").isin([d for d in days if d is not None])
+    old = stored(held, path).where(touched | F.col("day").isNull() if None in days else touched)
+    same = [old[c].eqNullSafe(held[c]) for c in ("day", *keys)]
+    old = old.join(held.select("day", *keys), reduce(and_, same), "left_anti")
+    by_day(path, held.unionByName(old))
+    dropped(held)
+
+
+LEDGER = "batch long, high timestamp, n long, n_late long"
+
+
+def keep_late(batch: DataFrame, number: int, path: str, size: str, keys: list[str], late: str = LATE) -> None:
+    """foreachBatch sink: rows of windows that ended more than `late` before the newest row of earlier batches are set apart and counted; the others are upserted.
+
+    The ledger has a row for each batch: its newest time, its rows, and how many came too late. A batch that runs twice finds the
+    bound that it had at first, as only the batches before it count. Rows without a time are dropped, as by any window.
+    """
+    spark = batch.sparkSession
+    known = spark.read.schema(LEDGER).parquet(f"{path}/ledger") if exists(spark, f"{path}/ledger") else spark.createDataFrame([], LEDGER)
+    high = known.where(F.col("batch") < number).select(F.max("high")).first()[0]
+    rows = batch.withColumn("window", F.window("ts", size))
+    bound = F.lit(high).cast("timestamp") - F.expr(f"INTERVAL {late}")
+    rows = written(rows.withColumn("too_late", F.coalesce(F.col("window.end") <= bound, F.lit(False))).withColumn("window_start", F.col("window.start")).drop("window"), "batch")
+    own = rows.agg(F.lit(number).cast("long").alias("batch"), F.max("ts").alias("high"), F.count(F.lit(1)).alias("n"), F.count_if("too_late").alias("n_late"))
+    replace = lambda df, to: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/{to}")
+    replace(rows.where("too_late").drop("too_late").withColumn("batch", F.lit(number).cast("long")), "late")
+    upsert_days(rows.where("NOT too_late").drop("too_late", "window_start"), f"{path}/days", keys)
+    replace(own, "ledger")
+    dropped(rows)
+
+
+def late_windows(spark: SparkSession, path: str) -> DataFrame:
+    """window_start and n of the windows that rows came too late for, since they were last corrected."""
+    return spark.read.schema("window_start timestamp, batch long").parquet(f"{path}/late").groupBy("window_start").agg(F.count(F.lit(1)).alias("n"))
+
+
+def refetch(source: DataFrame, path: str, size: str, keys: list[str]) -> None:
+    """Takes the windows that rows came too late for from the source again, whole, and no others; then none is open any more."""
+    spark = source.sparkSession
+    if not exists(spark, f"{path}/late"):
+        return
+    open_ = written(late_windows(spark, path), "windows")
+    rows = source.withColumn("window_start", F.window("ts", size)["start"]).join(open_.select("window_start"), "window_start", "left_semi").drop("window_start")
+    upsert_days(rows, f"{path}/days", keys)
+    delete(spark, f"{path}/late")
+    dropped(open_)
