@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import boosting as B
 from ..operators import estimators as E
 from ..operators.joins import densify
 from ..sources.tables import table
@@ -84,3 +85,47 @@ def upwind_features(spark, d):
         "k", "day", rnd("pm", "pm"), "upwind", rnd(F.lag("pm").over(w), "lag1"), rnd(F.when(F.count("pm").over(last6) >= 3, F.avg("pm").over(last6)), "roll6"),
         F.sum("upwind").over(w.rowsBetween(-2, 0)).alias("upwind3"), rnd(F.sin(2 * F.pi() * F.dayofyear("day") / 365.25), "doy_sin"), rnd(F.lead("pm").over(w), "next"),
     )
+
+
+BOOST_FEATURES = ["l_quantity", "l_discount", "l_tax", "ship_days", "p_size"]
+
+
+def boosting_rows(spark, d):
+    """Lines with features of line and part, a price to explain, whether it was returned, and whether the line is held out."""
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_returnflag", F.datediff("l_shipdate", F.lit("1992-01-01")).alias("ship_days"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    line = F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "ship_days")
+    return x.join(p, "l_partkey").select(line.alias("line"), *BOOST_FEATURES, F.col("l_extendedprice").alias("price"), (F.col("l_returnflag") == "R").cast("double").alias("returned"), (F.col("l_orderkey") % 5 == 0).alias("held_out"))
+
+
+@query("gbt_quantile")
+def gbt_quantile(spark, d):
+    """Held-out lines with the 0.9 quantile of their price."""
+    x = boosting_rows(spark, d)
+    forest = B.fit(x.where("NOT held_out"), BOOST_FEATURES, "price", loss="quantile", quantile=0.9, trees=8)
+    return B.predicted(x.where("held_out"), forest).select("line", "price", "prediction")
+
+
+@query("gbt_binary")
+def gbt_binary(spark, d):
+    """Held-out lines with the probability that they were returned."""
+    x = boosting_rows(spark, d)
+    forest = B.fit(x.where("NOT held_out"), BOOST_FEATURES, "returned", loss="logistic", trees=8)
+    return B.predicted(x.where("held_out"), forest).select("line", "returned", "prediction")
+
+
+@query("shap_family_shares")
+def shap_family_shares(spark, d):
+    """The shares of amounts, rates and times in what a forest says of held-out prices, by Shapley values."""
+    x = boosting_rows(spark, d)
+    forest = B.fit(x.where("NOT held_out"), BOOST_FEATURES, "price", trees=8)
+    values = B.shap_values(x.where("held_out"), forest, ["line"])
+    return B.family_shares(values, {"amount": ["l_quantity", "p_size"], "rate": ["l_discount", "l_tax"], "time": ["ship_days"]})
+
+
+@query("permutation_importance")
+def permutation_importance(spark, d):
+    """How much worse the held-out error of prices becomes when one feature's values change places."""
+    x = boosting_rows(spark, d)
+    forest = B.fit(x.where("NOT held_out"), BOOST_FEATURES, "price", trees=8)
+    return B.permutation_importance(x.where("held_out"), forest, "price", "line")
