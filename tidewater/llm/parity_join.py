@@ -374,37 +374,43 @@ def checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, deals: int, siz
 
 
 def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, done: DataFrame, deals: int, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that their sketches don't rule out, bucket by bucket in blocks.
+    """Pairs (a, b, bucket) of different components in one bucket that their sketches don't rule out, bucket by bucket in blocks.
 
     done: pairs that need no look; buckets of such a pair alone are left out at once.
-    nearest: for each set and other component only the set nearest to it; where there are more, the pair comes once more, with its bucket.
+    nearest: of two components only the smaller one's sets ask, each for the other's set nearest to it, by folded sketches; bucket is
+    null where that is the only one near. Else all pairs, by whole sketches.
     """
-    labelled = found.join(labels, found["set_id"] == labels["node"], "left").select("bucket", "set_id", "members", F.coalesce("label", "set_id").alias("label"))
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("weight"))
+    sized = labels.join(broadcast_if_small(sizes, F.lit(24)), "label").select("node", "label", "weight")
+    labelled = found.join(sized, found["set_id"] == sized["node"], "left").select("bucket", "set_id", "members", F.coalesce("label", "set_id").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"))
     ends = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("members").alias("n"), F.min("set_id").alias("a"), F.max("set_id").alias("b"))
     seen = done.select("a", "b", F.lit(2).cast("long").alias("n"))
     mixed = ends.where(F.col("low") != F.col("high")).join(seen, ["a", "b", "n"], "left_anti").select("bucket")
-    open_ = labelled.join(mixed, "bucket").join(nodes.select("set_id", "n_shingles", F.col("narrow").alias("sketch")), "set_id")
+    open_ = labelled.join(mixed, "bucket").join(nodes.select("set_id", "n_shingles", F.col("narrow" if nearest else "sketch").alias("sketch")), "set_id")
     parts = F.ceil(F.col("members") / BUCKET_BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set_id"), parts).cast("int")
     sides = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("k")))
-    spread = open_.withColumn("own", own).withColumn("cell", F.explode(sides)).select("bucket", "cell.i", "cell.k", "own", "set_id", "label", "n_shingles", "sketch")
+    spread = open_.withColumn("own", own).withColumn("cell", F.explode(sides)).select("bucket", "cell.i", "cell.k", "own", "set_id", "label", "weight", "n_shingles", "sketch")
 
     def pairs(group: tuple, rows: list[tuple]) -> list[tuple]:
         bucket, i, k = group
         left, right = [r for r in rows if r[0] == i], [r for r in rows if r[0] == k]
-        ok = close([r[4] for r in left], [r[4] for r in right], np.array([r[3] for r in left]), np.array([r[3] for r in right]), percent)
-        label, label2 = np.array([r[2] for r in left]), np.array([r[2] for r in right])
-        ids, ids2 = np.array([r[1] for r in left]), np.array([r[1] for r in right])
+        ok = close([r[5] for r in left], [r[5] for r in right], np.array([r[4] for r in left]), np.array([r[4] for r in right]), percent)
+        if i == k:
+            ok = np.where(np.triu(np.ones(ok.shape, bool), 1), ok, -1)
+        ids, label, weight = (np.array([r[j] for r in left]) for j in (1, 2, 3))
+        ids2, label2, weight2 = (np.array([r[j] for r in right]) for j in (1, 2, 3))
         x, y = np.nonzero((ok >= 0) & (label[:, None] != label2))
-        several = np.zeros(len(x), bool)
+        apart, turn = ok[x, y], (weight[x] > weight2[y]) | ((weight[x] == weight2[y]) & (label[x] > label2[y]))
+        few, many, of = np.where(turn, ids2[y], ids[x]), np.where(turn, ids[x], ids2[y]), np.where(turn, label[x], label2[y])
+        several = np.ones(len(x), bool)
         if nearest and len(x):
-            order = np.lexsort((ids2[y], ok[x, y], label2[y], x))
-            x, y = x[order], y[order]
-            first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (label2[y[1:]] != label2[y[:-1]])]))
+            order = np.lexsort((many, apart, of, few))
+            few, many, of = few[order], many[order], of[order]
+            first = np.flatnonzero(np.concatenate([[True], (few[1:] != few[:-1]) | (of[1:] != of[:-1])]))
             several = np.diff(np.concatenate([first, [len(x)]])) > 1
-            x, y = x[first], y[first]
-        a, b = np.minimum(ids[x], ids2[y]), np.maximum(ids[x], ids2[y])
-        return [(*p, None) for p in zip(a.tolist(), b.tolist(), strict=True)] + [(*p, bucket) for p in zip(a[several].tolist(), b[several].tolist(), strict=True)]
+            few, many = few[first], many[first]
+        return [(a, b, bucket if more else None) for a, b, more in zip(np.minimum(few, many).tolist(), np.maximum(few, many).tolist(), several.tolist(), strict=True)]
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["a", "b", "bucket"])
@@ -413,7 +419,7 @@ def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, done: D
         group, rows = None, []
         for b in batches:
             out = []
-            columns = [b.column(k).to_pylist() for k in range(8)]
+            columns = [b.column(k).to_pylist() for k in range(9)]
             for g, row in zip(zip(*columns[:3], strict=True), zip(*columns[3:], strict=True), strict=True):
                 if g != group:
                     if rows:
@@ -425,7 +431,7 @@ def split_buckets(found: DataFrame, nodes: DataFrame, labels: DataFrame, done: D
             yield batch(pairs(group, rows))
 
     dealt = spread.repartition(deals, "bucket", "i", "k").sortWithinPartitions("bucket", "i", "k")
-    return dealt.mapInArrow(run, "a long, b long, bucket long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, bucket long")
 
 
 def node_table(sets: DataFrame, *more: str) -> DataFrame:
@@ -459,7 +465,7 @@ def classes(docs: DataFrame, sets: DataFrame, nodes: DataFrame, found: DataFrame
         nonlocal links, seen
         rows = written(split_buckets(looked_at, nodes, labels, seen, deals, percent, nearest), "open")
         dropped(labels)
-        more = written(rows.where("bucket IS NULL").select("a", "b").join(seen, ["a", "b"], "left_anti").withColumn("by", F.col("a")), "pairs")
+        more = written(rows.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti").withColumn("by", F.col("a")), "pairs")
         several = written(rows.where("bucket IS NOT NULL"), "several")
         dropped(rows)
         links, seen = with_links(more), seen.unionByName(more)
