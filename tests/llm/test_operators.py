@@ -600,3 +600,13 @@ def test_main_text_of_copies(spark, prose, tag):
     assert all(out[k].removeprefix(menu) == f"One head {text}" for k in range(1000))
     assert all(out[1000 + k].removeprefix(menu) == f"One head {near[k]}" for k in range(1000))
     assert all(out[2000 + k] == f"Head {k} {prose(100 + k, 60)}" for k in range(200))
+
+
+@pytest.mark.parametrize(("folder", "recall"), [("sf0.01", 0.5), ("sf0.1", 0.9)])
+def test_toxic_recall_on_driver_tables(spark, folder, recall):
+    """Held-out labelled documents, with few and with more labels to learn from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity_gru.scored(docs, labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").toPandas()
+    found = out["predicted"] == 1
+    assert (found & (out["toxic"] == 1)).sum() > recall * (out["toxic"] == 1).sum()
+    assert (out["toxic"][found] == 1).mean() > 0.7

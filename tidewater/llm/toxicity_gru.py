@@ -10,12 +10,13 @@ documents.
 Trained in numpy with Adam on at most 2 x PER_CLASS labelled documents, first on windows drawn from all,
 then on each document's strongest one, as a toxic document need not be toxic throughout. The
 strongest come from CANDIDATES windows of each document, which are chosen from all of its windows
-every REFRESH epochs. Batches are smaller for smaller samples, so that few labels get as many steps.
+every REFRESH epochs. Batches are smaller and epochs more for smaller samples, so that few labels get enough steps.
 Scoring is one pass over all texts without shuffle; inputs to the gates are computed once for each
 distinct word of a slice.
 
 Edge cases: null or empty texts, or texts of marks only, are one window without words, whose score
-is 0; repeated rows score alike; an empty table gives no rows; without labels of both classes every
+is 0; repeated rows score alike; very long texts are scored whole, window by window; of equal training windows the first is the
+strongest, and a score of 0.5 is toxic; an empty table gives no rows; without labels of both classes every
 score is 0; only doc_id and text are read.
 """
 
@@ -36,7 +37,9 @@ WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 15
 #: Characters of the beginnings, of the endings and of the runs anywhere that a word is read by.
 BEGINNINGS, ENDINGS, INNER = (3, 4, 5, 6), (3, 4), 4
 INPUT, HIDDEN, ATTEND = 16, 8, 8
-EPOCHS_ALL, EPOCHS_TOP, RATE = 3, 14, 0.01
+EPOCHS_ALL, EPOCHS_TOP, RATE = 6, 14, 0.01
+#: A sample of fewer texts than ENOUGH is gone through more often on its strongest windows, up to EPOCHS_FEW times.
+ENOUGH, EPOCHS_FEW = 1000, 40
 #: Windows of a training step: this, or fewer for a sample of few documents.
 BATCH, STEPS_AN_EPOCH = 256, 12
 MODULUS, REST = 5, 0
@@ -253,7 +256,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> dict[str, np.
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     batch = max(1, min(BATCH, len(texts) // STEPS_AN_EPOCH))
-    for epoch in range(EPOCHS_ALL + EPOCHS_TOP):
+    for epoch in range(EPOCHS_ALL + max(EPOCHS_TOP, min(EPOCHS_FEW, EPOCHS_TOP * ENOUGH // len(texts)))):
         if epoch < EPOCHS_ALL:
             chosen = strongest(x, every, rng.random(len(every)), 3)
         else:
