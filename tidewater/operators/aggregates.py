@@ -78,3 +78,31 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def cover_sets(members: DataFrame, name: str, item: str, date: str, floor: float, target: float, cap: int, least: int, near: float) -> DataFrame:
+    """Sets chosen to cover the items: pick, name, cover (its share of all items), dates, and covered (the share of items that all picks so far have).
+
+    Sets come by cover, then dates, until they cover `target` of the items or are `cap`; those under `floor` only if first. Then, up to
+    `least` sets, the ones of at least `near` cover come by dates. An item is covered from the rank of the first set that has it, so
+    the choice takes aggregations and no step for each pick; only sets of rank up to cap, and of the top-up, are ordered.
+    """
+    pairs = members.select(name, item, date).dropna(subset=[name, item])
+    total = F.broadcast(pairs.agg(F.count_distinct(item).alias("_all")))  # one row
+    stats = pairs.groupBy(name).agg(F.count_distinct(item).alias("_n"), F.count_distinct(date).alias("dates")).crossJoin(total)
+    stats = stats.withColumn("cover", F.col("_n") / F.col("_all"))
+    first = stats.orderBy(F.desc("_n"), F.desc("dates"), name).limit(cap)
+    rank = Window.orderBy(F.desc("_n"), F.desc("dates"), name)
+    ranked = first.withColumn("rank", F.row_number().over(rank)).where((F.col("cover") >= floor) | (F.col("rank") == 1))  # at most cap rows
+    new = pairs.join(F.broadcast(ranked.select(name, "rank")), name).groupBy(item).agg(F.min("rank").alias("rank")).groupBy("rank").agg(F.count(F.lit(1)).alias("_new"))
+    sofar = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    grown = ranked.join(F.broadcast(new), "rank", "left").withColumn("_sum", F.sum(F.coalesce("_new", F.lit(0))).over(sofar) / F.col("_all"))
+    before = F.coalesce(F.lag("_sum").over(Window.orderBy("rank")), F.lit(0.0))
+    chosen = grown.withColumn("_before", before).where(F.col("_before") < target).select(name, F.col("rank").alias("pick"), "cover", "dates")
+    taken = F.broadcast(chosen.agg(F.count(F.lit(1)).alias("_taken")))
+    rest = stats.where(F.col("cover") >= near).join(F.broadcast(chosen.select(name)), name, "left_anti").orderBy(F.desc("dates"), F.desc("_n"), name).limit(max(0, min(least, cap)))
+    rest = rest.withColumn("_k", F.row_number().over(Window.orderBy(F.desc("dates"), F.desc("_n"), name))).crossJoin(taken).where(F.col("_taken") + F.col("_k") <= min(least, cap))
+    picks = chosen.unionByName(rest.select(name, (F.col("_taken") + F.col("_k")).cast("int").alias("pick"), "cover", "dates"))  # at most cap rows
+    got = pairs.join(F.broadcast(picks.select(name, "pick")), name).groupBy(item).agg(F.min("pick").alias("pick")).groupBy("pick").agg(F.count(F.lit(1)).alias("_new"))
+    covered = F.sum(F.coalesce("_new", F.lit(0))).over(Window.orderBy("pick").rowsBetween(Window.unboundedPreceding, 0)) / F.col("_all")
+    return picks.join(F.broadcast(got), "pick", "left").crossJoin(total).select("pick", name, "cover", "dates", covered.alias("covered"))

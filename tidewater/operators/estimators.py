@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import dropped, written
+
 
 def least_squares(df: DataFrame, y: str, xs: list[str], weight: Column | None = None, ridge: float = 0.0) -> DataFrame:
     """One row: the coefficient of each of xs and the intercept, which the ridge does not shrink. Rows with a null take no part.
@@ -44,6 +46,37 @@ def two_way(panel: DataFrame, unit: str, time: str, x: str, y: str) -> DataFrame
     return score.agg(F.first("beta").alias("beta"), F.sqrt(F.sum(F.col("s") ** 2) / F.first("sxx") ** 2 * g / F.greatest(g - 1, F.lit(1))).alias("se"), F.first("n").alias("n"), g.alias("units"))
 
 
+def two_way_unbalanced(panel: DataFrame, unit: str, time: str, x: str, y: str, tolerance: float = 1e-9, rounds: int = 1000) -> DataFrame:
+    """As two_way, for panels with gaps and repeats: alternating projections until no mean of a unit or time exceeds the tolerance times the spread.
+
+    A round takes means of units and of times out, each combined before it is shuffled, and ends in a written table. Rows with a
+    null take no part. Raises if the tolerance is not reached in the given rounds.
+    """
+    now = written(panel.select(F.col(unit).alias("_unit"), F.col(time).alias("_time"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna(), "panel")
+    spread = now.agg(*(F.stddev_pop(c).alias(c) for c in ("_x", "_y"))).first()
+    scale = {c: spread[c] or 1.0 for c in ("_x", "_y")}
+    for _ in range(rounds):
+        after = now
+        for by in ("_unit", "_time"):
+            means = after.groupBy(by).agg(*(F.avg(c).alias(f"{c}_m") for c in ("_x", "_y")))
+            after = after.join(means, by).select("_unit", "_time", *((F.col(c) - F.col(f"{c}_m")).alias(c) for c in ("_x", "_y")))
+        after = written(after, "panel")
+        dropped(now)
+        now = after
+        left = now.groupBy("_unit").agg(*(F.abs(F.avg(c)).alias(c) for c in ("_x", "_y"))).agg(*(F.max(c).alias(c) for c in ("_x", "_y"))).first()
+        if all((left[c] or 0.0) <= tolerance * scale[c] for c in scale):
+            break
+    else:
+        raise ValueError(f"means of units are not below {tolerance} of the spread after {rounds} rounds")
+    fit = now.agg((F.sum(F.col("_x") * F.col("_y")) / F.sum(F.col("_x") ** 2)).alias("beta"), F.sum(F.col("_x") ** 2).alias("sxx"), F.count(F.lit(1)).alias("n"))
+    score = now.crossJoin(F.broadcast(fit)).groupBy("_unit").agg(F.sum(F.col("_x") * (F.col("_y") - F.col("beta") * F.col("_x"))).alias("s"), *(F.first(c).alias(c) for c in ("beta", "sxx", "n")))
+    g = F.count(F.lit(1))
+    out = score.agg(F.first("beta").alias("beta"), F.sqrt(F.sum(F.col("s") ** 2) / F.first("sxx") ** 2 * g / F.greatest(g - 1, F.lit(1))).alias("se"), F.first("n").alias("n"), g.alias("units"))
+    row = out.first()
+    dropped(now)
+    return panel.sparkSession.createDataFrame([tuple(row)], out.schema)
+
+
 def raked(rows: DataFrame, official: DataFrame, group: str, key: str, rate: str, weight: str, top: float) -> DataFrame:
     """Rates times one factor a group, cut at top, so that their weighted mean is the group's official one.
 

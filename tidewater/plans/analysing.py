@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import aggregates as A
+from ..operators import routes as R
 from ..operators import stats as S
 from ..operators.components import components, spanning_forest
 from ..operators.estimators import least_squares
 from ..operators.joins import neighbours
+from ..sources.arrays import array_window, packed_arrays
 from ..sources.shared import written
-from ..sources.tables import table
+from ..sources.tables import table, zip_csv, zipped
 from .registry import query
+from .streams import shared
 from .windowing import DAILY, PANEL, by, daily, panel
 
 
@@ -374,3 +378,85 @@ def facts_partner_balance(spark, d):
     w = Window.partitionBy("y")
     r = t.withColumn("share", F.col("v") / F.sum("v").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("v"), "n_name")))
     return r.where("k <= 8").select("y", "n_name", rnd("v", "v", 2), rnd("share", "share", 8), "k")
+
+
+@query("cover_by_rank", """WITH m AS (SELECT user_id % 40 AS s, date_trunc('hour', ts) AS i, CAST(ts AS DATE) AS d FROM events), t AS (SELECT count(DISTINCT i) AS t FROM m),
+    c AS (SELECT s, count(DISTINCT i) AS n, count(DISTINCT d) AS dates FROM m GROUP BY 1),
+    r AS (SELECT s, n, dates, n / t AS cover, row_number() OVER (ORDER BY n DESC, dates DESC, s) AS k FROM c, t),
+    f AS (SELECT i, min(k) AS k FROM m JOIN r USING (s) WHERE (cover >= 0.02 OR k = 1) AND k <= 12 GROUP BY 1),
+    g AS (SELECT r.k, r.s, cover, dates, (SELECT count(*) FROM f WHERE f.k < r.k) / t AS before FROM r, t WHERE (cover >= 0.02 OR r.k = 1) AND r.k <= 12),
+    a AS (SELECT s, k AS pick, cover, dates FROM g WHERE before < 0.5),
+    b AS (SELECT s, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY dates DESC, n DESC, s) AS pick, cover, dates FROM r WHERE cover >= 0.03 AND s NOT IN (SELECT s FROM a)),
+    p AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE pick <= 10),
+    h AS (SELECT i, min(pick) AS pick FROM m JOIN p USING (s) GROUP BY 1)
+    SELECT pick, s, round(cover, 9) AS cover, dates, round((SELECT count(*) FROM h WHERE h.pick <= p.pick) / t, 9) AS covered FROM p, t""")
+def cover_by_rank(spark, d):
+    """Groups of users chosen to cover the hours that have events."""
+    e = table(spark, d, "events").select((F.col("user_id") % 40).alias("s"), F.date_trunc("hour", "ts").alias("i"), F.to_date("ts").alias("d"))
+    return A.cover_sets(e, "s", "i", "d", floor=0.02, target=0.5, cap=12, least=10, near=0.03).select("pick", "s", rnd("cover", "cover", 9), "dates", rnd("covered", "covered", 9))
+
+
+ROADS = """n AS (SELECT max(c_custkey) AS n FROM customer), e AS (SELECT c_custkey AS u, (c_custkey * (3 + 2 * k) + 11 * k) % n + 1 AS v, CAST(1 + (c_custkey * 7 + k * 5) % 10 AS DOUBLE) AS cost FROM customer, n, range(3) t(k))"""
+
+
+def roads(spark, d):
+    """Three edges from each customer to others, with costs of 1 to 10."""
+    c = table(spark, d, "customer").select("c_custkey")
+    n = F.broadcast(c.agg(F.max("c_custkey").alias("n")))
+    k = F.col("k")
+    edges = c.crossJoin(n).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return edges.select(F.col("c_custkey").alias("u"), ((F.col("c_custkey") * (3 + 2 * k) + 11 * k) % F.col("n") + 1).alias("v"), (1.0 + (F.col("c_custkey") * 7 + k * 5) % 10).cast("double").alias("cost"))
+
+
+@query("travel_times", f"""WITH RECURSIVE {ROADS}, r(source, node, cost) AS (SELECT c_custkey, c_custkey, CAST(0 AS DOUBLE) FROM customer WHERE c_custkey % 50 = 0
+    UNION SELECT r.source, e.v, r.cost + e.cost FROM r JOIN e ON e.u = r.node WHERE r.cost + e.cost <= 14) SELECT source, node, CAST(min(cost) AS DOUBLE) AS cost FROM r GROUP BY 1, 2""")
+def travel_times(spark, d):
+    """All that customers whose key is divisible by 50 reach for at most 14."""
+    sources = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("source"))
+    return R.travel_times(roads(spark, d), sources, 14.0)
+
+
+STOPS = "[s_nationkey, (s_nationkey + 1 + s_suppkey % 5) % 25, (s_nationkey + 9) % 25, (s_nationkey + 13 + s_suppkey % 3) % 25]"
+RIDES = f"""trips AS (SELECT s_suppkey AS line, {STOPS} AS stops, 4 + s_suppkey % 7 AS leg, unnest(generate_series(300 + s_suppkey % 60, 1320, 10 + s_suppkey % 50)) AS t FROM supplier),
+    rides AS (SELECT line, t, k AS seq, stops[k + 1] AS u, stops[k + 2] AS v, t + k * leg AS departs, t + (k + 1) * leg AS arrives FROM trips, range(3) r(k))"""
+
+
+def rides(spark, d):
+    """Each supplier as a line of four stops (nations), with trips every 10 to 59 minutes."""
+    s, n = F.col("s_suppkey"), F.col("s_nationkey")
+    stops = F.array(n, (n + 1 + s % 5) % 25, (n + 9) % 25, (n + 13 + s % 3) % 25)
+    lines = table(spark, d, "supplier").select(s.alias("line"), stops.alias("stops"))
+    key = F.col("line")
+    return R.schedule(lines, headway=10 + key % 50, first=300 + key % 60, last=F.lit(1320).cast("long"), stops="stops", leg=4 + key % 7)
+
+
+@query("earliest_arrivals", f"""WITH RECURSIVE {RIDES}, best AS (SELECT DISTINCT u, v, departs, arrives FROM rides WHERE arrives <= 560),
+    r(source, node, moment) AS (SELECT n_nationkey, n_nationkey, 480 FROM nation UNION SELECT r.source, b.v, b.arrives FROM r JOIN best b ON b.u = r.node AND b.departs >= r.moment)
+    SELECT source, node, min(moment) AS cost FROM r GROUP BY 1, 2""")
+def earliest_arrivals(spark, d):
+    """When one gets to each nation who sets out from another at 8:00, until 9:20."""
+    starts = table(spark, d, "nation").select(F.col("n_nationkey").alias("source"), F.lit(480).alias("at"))
+    return R.arrivals(rides(spark, d), starts, latest=560)
+
+
+@query("schedule_archive", f"WITH {RIDES} SELECT line, count(DISTINCT t) AS trips, count(*) AS rides, min(departs) AS first, max(arrives) AS last FROM rides GROUP BY 1")
+def schedule_archive(spark, d):
+    """The schedule packed as text members of zip archives, one for every hundred lines, and read back from them."""
+    r = rides(spark, d)
+    text = F.concat_ws(",", "line", "trip", "seq", "u", "v", "departs", "arrives")
+    lines = r.select(F.floor(F.col("line") / 100).cast("string").alias("archive"), F.concat(F.lit("stop_times_"), (F.col("line") % 10).cast("string"), F.lit(".txt")).alias("member"), text.alias("row"))
+    path = shared(spark)
+    zipped(lines, "archive", "member", "row", "line,trip,seq,u,v,departs,arrives").write.parquet(path)
+    back = zip_csv(spark.read.parquet(path), r"stop_times_\d\.txt", "line long, trip int, seq int, u int, v int, departs long, arrives long")
+    trips = F.count_distinct("trip").alias("trips")
+    return back.groupBy("line").agg(trips, F.count(F.lit(1)).alias("rides"), F.min("departs").alias("first"), F.max("arrives").alias("last"))
+
+
+@query("scan_npz", """WITH c AS (SELECT event_type AS name, dayofmonth(ts) - 1 AS i, hour(ts) AS j, sum(value) AS v FROM events GROUP BY 1, 2, 3)
+    SELECT name, i, j, round(round(v * 100) / 100, 6) AS value FROM c WHERE i BETWEEN 3 AND 9 AND j < 12""")
+def scan_npz(spark, d):
+    """Sums by day and hour as one dense array of hundredths for each event type, of which a window is read back."""
+    cells = table(spark, d, "events").groupBy(F.col("event_type").alias("name"), (F.dayofmonth("ts") - 1).alias("i"), F.hour("ts").alias("j")).agg(F.sum("value").alias("v"))
+    path = shared(spark)
+    packed_arrays(cells, "name", "i", "j", "v", shape=(31, 24), scale=0.01).write.parquet(path)
+    return array_window(spark.read.parquet(path), "name", rows=(3, 10), columns=(0, 12)).select("name", "i", "j", rnd("value", "value"))

@@ -27,6 +27,14 @@ def fe_ols_twoway(spark, d):
     return E.two_way(p, "k", "day", "x", "y").select(rnd("beta", "beta"), rnd("se", "se"), "n", "units")
 
 
+@query("fe_ols_unbalanced")
+def fe_ols_unbalanced(spark, d):
+    """Order values on their number of lines within customers and weeks, of all orders: most customers have none in most weeks."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("unit"), F.date_trunc("week", "o_orderdate").cast("date").alias("week"), F.col("o_totalprice").alias("y"))
+    n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("x"))
+    return E.two_way_unbalanced(o.join(n, "o_orderkey"), "unit", "week", "x", "y", tolerance=1e-6).select(rnd("beta", "beta", 2), rnd("se", "se", 2), "n", "units")
+
+
 @query("ols_wls", """WITH l AS (SELECT l_quantity AS x, l_extendedprice AS y, l_tax + 0.01 AS w FROM lineitem), s AS (SELECT sum(w) AS w, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * x * y) AS xy FROM l),
     b AS (SELECT *, (w * xy - x * y) / (w * xx - x * x) AS slope FROM s) SELECT round(slope, 4) AS slope, round((y - slope * x) / w, 4) AS intercept FROM b""")
 def ols_wls(spark, d):
