@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from test_operators import ODD, jaccard_components
 
-from tidewater.llm import common, parity_join, spelling_halves, superminhash, yinyang_codes
+from tidewater.llm import common, grouping, parity_join, spelling_halves, superminhash, yinyang_codes
 
 
 def brute_words(rows):
@@ -176,7 +176,7 @@ def test_bounds_skip_work():
 def test_near_duplicates(make_docs, prose, monkeypatch, way):
     if way == "shuffled":
         monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
-        monkeypatch.setattr(superminhash, "LINKS", 3)
+        monkeypatch.setattr(grouping, "LINKS", 3)
         for name in ("BLOCK", "BUCKET_BLOCK"):
             monkeypatch.setattr(parity_join, name, 4)
     rnd = random.Random(13)
@@ -229,10 +229,12 @@ def test_signatures():
     assert np.std(off) < 0.9 * math.sqrt(100 / 120 * 20 / 120 / superminhash.SLOTS)
 
 
-def test_union_find(spark):
+@pytest.mark.parametrize("at_once", [7, 1000])
+def test_union_find(spark, monkeypatch, at_once):
+    monkeypatch.setattr(grouping, "LINKS", at_once)
     rnd = random.Random(1)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)]
-    got = {r.node: r.label for r in superminhash.united(spark.createDataFrame(links, "a long, b long").repartition(5), "a", "b").collect()}
+    got = {r.node: r.label for r in grouping.united(spark.createDataFrame(links, "a long, b long").repartition(5), "a", "b").collect()}
     label = list(range(300))
     for _ in range(300):
         for x, y in links:

@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import components
 from .common import broadcast_if_small, dropped, pieces, small_batches, text_column, written
+from .grouping import united
 from .hashing import U64, mix, shingle_sets
 
 SHINGLE = 5
@@ -440,11 +440,8 @@ def node_table(sets: DataFrame, *more: str) -> DataFrame:
     return written(known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "narrow", *more))), "nodes")
 
 
-def classes(docs: DataFrame, sets: DataFrame, nodes: DataFrame, found: DataFrame, deals: int, size: int, percent: int, grouped=components) -> DataFrame:
-    """doc_id, n_shingles and component_id of the rows of sets, from the buckets (bucket, set_id, members, times) that linked sets share. found is deleted.
-
-    grouped: labels the nodes of links (links, a, b).
-    """
+def classes(docs: DataFrame, sets: DataFrame, nodes: DataFrame, found: DataFrame, deals: int, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles and component_id of the rows of sets, from the buckets (bucket, set_id, members, times) that linked sets share. found is deleted."""
     stars = pivots(found).select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b"), F.col("pivot").alias("by")).dropDuplicates(["a", "b"])
     seen = written(stars, "pairs")  # checked, or ruled out by their sketches
     links = seen.select("a", "b").limit(0)
@@ -471,9 +468,9 @@ def classes(docs: DataFrame, sets: DataFrame, nodes: DataFrame, found: DataFrame
         links, seen = with_links(more), seen.unionByName(more)
         return several
 
-    several = more_links(found, grouped(links, "a", "b"), nearest=True)
+    several = more_links(found, united(links, "a", "b"), nearest=True)
     if not several.isEmpty():
-        labels = grouped(links, "a", "b")
+        labels = united(links, "a", "b")
         of = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
         apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
         left = written(several.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("bucket").distinct(), "left")
@@ -485,7 +482,7 @@ def classes(docs: DataFrame, sets: DataFrame, nodes: DataFrame, found: DataFrame
         dropped(table)
 
     rep = nodes.select("set_id", "rep")
-    labels = grouped(links, "a", "b")
+    labels = united(links, "a", "b")
     of_set = rep.join(labels, rep["set_id"] == labels["node"], "left").select("set_id", "rep", F.coalesce("label", "set_id").alias("class"))
     least = of_set.groupBy("class").agg(F.min("rep").alias("component_id"))
     of_set = of_set.join(least, "class").select("set_id", "component_id")

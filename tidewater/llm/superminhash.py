@@ -15,8 +15,7 @@ checked against the hub that it shares most bands with, and only sets that are s
 classes and that their sketches don't rule out are checked further, on full sets. So groups of
 copies never become all pairs, and no pair that shares a bucket is lost.
 
-Grouping: each task joins its own links by union-find and passes one link for each node on to its root;
-alternating stars join those of all tasks.
+Grouping: union-find in each task, then over all tasks (see grouping).
 
 Edge cases: null or empty texts, and texts without words, have no shingles and no links; texts of
 fewer words than a shingle are one shingle and link only with their like; very long texts are taken
@@ -32,7 +31,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import components
 from .common import pieces, written
 from .hashing import U64, Words, mix, shingles, slices
 from .parity_join import PERCENT, classes, deals_of, fold_bytes, node_table, set_id, sketch, texts, texts_bytes
@@ -40,8 +38,6 @@ from .parity_join import PERCENT, classes, deals_of, fold_bytes, node_table, set
 SHINGLE = 2
 BANDS, ROWS = 48, 5
 SLOTS = BANDS * ROWS
-#: Links that a task joins by union-find at a time.
-LINKS = 500_000
 _LEVEL, _FRACTION = U64(56), U64((1 << 56) - 1)
 
 
@@ -123,51 +119,9 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return banded.join(shared, "bucket").select("bucket", "set_id", "members", F.lit(1).cast("long").alias("times"))
 
 
-def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union-find over the links (a, b): every node that is not its own root, with its root."""
-    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = list(range(len(names)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    to = np.array([root(x) for x in range(len(names))], np.int64)
-    own = np.flatnonzero(to != np.arange(len(names)))
-    return names[own], names[to[own]] if len(own) else names[own]
-
-
-def united(links: DataFrame, a: str, b: str) -> DataFrame:
-    """node and label, the least node of its class: union-find in each task, stars over all of them."""
-
-    def run(batches):
-        held, n = [], 0
-
-        def joined() -> pa.RecordBatch:
-            x, y = (np.concatenate([np.asarray(h[k]) for h in held]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in roots(x, y)], names=["a", "b"])
-
-        for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            n += batch.num_rows
-            if n >= LINKS:
-                yield joined()
-                held, n = [], 0
-        if n:
-            yield joined()
-
-    return components(links.select(F.col(a).alias("a"), F.col(b).alias("b")).mapInArrow(run, "a long, b long"), "a", "b")
-
-
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) and kept (it is the document's own) of every row."""
     sets = written(set_table(docs, size), "sets")
     deals, nodes = deals_of(sets), node_table(sets, "bands")
-    out = classes(docs, sets, nodes, written(buckets(nodes), "buckets"), deals, size, percent, united)
+    out = classes(docs, sets, nodes, written(buckets(nodes), "buckets"), deals, size, percent)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
