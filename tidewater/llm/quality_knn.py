@@ -14,8 +14,8 @@ task that it comes in, nor on the order in which sums are taken.
 The sample of labelled rows is the only bounded part; every whole text is scored, in slices of about
 1 MB, in one pass without shuffle.
 
-Edge cases: a null or empty text, or one that shares no term with the sample, scores the share of
-label 1 among the labelled rows drawn; of equal similarities the lower sample row is nearer; equal
+Edge cases: a null or empty text, or one of blanks, says nothing good and scores 0; a text that shares no term with the sample
+scores the share of label 1 among the labelled rows drawn; of equal similarities the lower sample row is nearer; equal
 texts score alike; of repeated doc_ids the fit takes the least text and label; an empty table gives no rows; without labels of both classes the score is that of the
 one class, or 0.5; only doc_id and text are read.
 """
@@ -125,9 +125,9 @@ def vote(model: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
             cosine, row = near // n, n - 1 - near % n
             weight = (np.maximum(cosine, 0) / LATENT_STEP**2) ** SHARPNESS
             total = weight.sum(axis=1)
-            usable = (total > 0) & np.array([bool(t.strip()) for t in some])
             voted = (weight * labels[row]).sum(axis=1) / np.where(total > 0, total, 1)
-            out[c : c + len(some)] = np.where(usable, np.clip(voted, 0, 1), share)
+            blank = np.array([not t.strip() for t in some])
+            out[c : c + len(some)] = np.where(blank, 0.0, np.where(total > 0, np.clip(voted, 0, 1), share))
     return out
 
 

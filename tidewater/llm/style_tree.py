@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, pieces, small_batches, written
+from .common import broadcast_if_small, dropped, pieces, small_batches, written
 from .url_rules import url_parts
 
 CONTENT_SHARE = 0.9
@@ -244,14 +244,16 @@ def importances(pages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), total(ln("k")).alias("logs"), total(ln("k_all")).alias("logs_all"), total(F.col("k") * F.log("k")).alias("turns"), total(F.col("k") * F.log("k_all")).alias("cross")
     )
     nodes_ = written(own.join(sums, "node"), "style-nodes")
+    for table in (parsed, parts, counts, shared):
+        dropped(table)
     # summed over the nodes of a path, k log k_all gives k_all log k_all of each feature once
     everywhere = nodes_.groupBy("path", "inner").agg(total("m").alias("m_all"), total("cross").alias("turns_all"))
-    table = nodes_.join(everywhere, ["path", "inner"])
+    full = nodes_.join(everywhere, ["path", "inner"])
     size = lambda m: F.log(F.greatest(F.col(m), F.lit(2)))
     content = lambda logs, m: F.when(F.col(m) <= 1, 1.0).otherwise(1 - F.col(logs) / (F.col("n") * size(m)))
     shape = lambda turns, m: F.when(F.col(m) <= 1, 1.0).otherwise(F.least(F.lit(1.0), (F.log(m) - F.col(turns) / F.col(m)) / size(m)))
-    texts = table.where(~F.col("inner")).withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
-    shapes = table.where("inner").select("host", F.col("path").alias("parent"), shape("turns", "m").alias("shape"), shape("turns_all", "m_all").alias("shape_all"))
+    texts = full.where(~F.col("inner")).withColumn("parent", F.regexp_replace("path", "/[^/]*$", ""))
+    shapes = full.where("inner").select("host", F.col("path").alias("parent"), shape("turns", "m").alias("shape"), shape("turns_all", "m_all").alias("shape_all"))
     blend = lambda c, s: F.round(CONTENT_SHARE * c + (1 - CONTENT_SHARE) * F.coalesce(s, F.lit(1.0)), 6)
     return texts.join(shapes, ["host", "parent"], "left").select(
         "host", "path", "m", "m_all", blend(content("logs", "m"), F.col("shape")).alias("importance"), blend(content("logs_all", "m_all"), F.col("shape_all")).alias("importance_all")
@@ -275,7 +277,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     small_batches(pages)
     host, _ = url_parts(F.col("url"))
     named = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    low = written(low_branches(named), "low-branches")
+    found = low_branches(named)
+    low = written(found, "low-branches")
+    dropped(found, "style-nodes")
     low = broadcast_if_small(low, F.length("host") + F.length(F.concat_ws("", "low")) + 64)
 
     def run(batches):
