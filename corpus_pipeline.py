@@ -3,7 +3,7 @@
 Each stage works on all documents that the one before kept. All but the last return the columns of
 documents; the last gives each remaining document's token count and digests.
 
-Edge cases, as the operators define them: null and empty texts score the share of good labels, are
+Edge cases, as the operators define them: null and empty texts go in the first stage where there are labels; they are
 never toxic, near to nothing and free of benchmark items, and have no tokens; of rows with one
 doc_id, the Jaccard stage keeps one, and rows without doc_id stay as they are; of equal texts the one
 of least doc_id stays; very long texts are judged whole; an empty table gives no rows; further
