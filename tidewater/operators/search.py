@@ -53,11 +53,15 @@ def lexical_hits(docs: DataFrame, key: str, text: str, query: str, glossary: dic
 def nearest_products(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
     """q, key, s and rank k of the k rows with the greatest products with each query, itself left out; ties go to the lesser key.
 
+    Vectors that are null, hold nulls, or have fewer dimensions than the longest query have no products; rows without a key have none either.
+
     The queries are counted and taken in blocks of bounded bytes, each broadcast in turn. A task keeps its own k best for each
     query of the block, so what is shuffled follows queries and tasks and not rows times queries.
     """
     spark = rows.sparkSession
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("dims")).first()
+    whole = F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) == (size.dims or 0)) & F.forall(vector, lambda v: v.isNotNull())
+    rows, queries = rows.where(whole), queries.where(whole)
     blocks = max(1, math.ceil(size.n * (size.dims or 1) * 8 / BLOCK_BYTES))
     out = None
     for block in range(blocks):

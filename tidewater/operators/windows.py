@@ -49,11 +49,30 @@ def sliced_bins(order: WindowSpec, whole: WindowSpec, bins: int) -> Column:
 
 
 def spaced(df: DataFrame, by: list[str], at: str, apart: int) -> DataFrame:
-    """Greedy picking in order: a row stays if it is at least `apart` after the last that stayed. A fold over each key's sorted array."""
-    folded = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.col(at).cast("long"))).alias("_all"))
-    picked = F.aggregate(
-        "_all",
-        F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= apart), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return folded.select(*by, F.explode(picked).alias(at))
+    """Greedy picking in order: a row stays if it is at least `apart` after the last that stayed. Null values never stay.
+
+    After a gap of `apart` the next row stays whatever came before, so such stretches are independent and are dealt to tasks as
+    groups of their own, not by key. A task reads its stretches in order and remembers the last pick alone.
+    """
+    import pyarrow as pa
+
+    rows = df.where(F.col(at).isNotNull()).select(*by, F.col(at).cast("long").alias(at))
+    w = Window.partitionBy(*by).orderBy(at)
+    fresh = F.coalesce(F.col(at) - F.lag(at).over(w) >= apart, F.lit(True))
+    marked = rows.withColumn("_s", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = marked.repartition(*by, "_s").sortWithinPartitions(*by, "_s", at)
+
+    def run(batches):
+        group = last = None
+        for b in batches:
+            keep = []
+            for *own, x, stretch in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (own, stretch) != group:
+                    group, last = (own, stretch), None
+                stays = last is None or x - last >= apart
+                if stays:
+                    last = x
+                keep.append(stays)
+            yield b.filter(pa.array(keep, pa.bool_())).select(range(len(by) + 1))
+
+    return dealt.mapInArrow(run, rows.schema)

@@ -44,8 +44,8 @@ def scan_csv_gzip(spark, d):
 
 @query("scan_csv_zip", SUPPLIERS)
 def scan_csv_zip(spark, d):
-    """Suppliers by nation as members of two zip archives, packed by tasks and read back member by member."""
-    lines = table(spark, d, "supplier").select((F.col("s_nationkey") % 2).cast("string").alias("archive"), F.concat(F.lit("part_"), F.col("s_nationkey").cast("string"), F.lit(".csv")).alias("member"), F.concat_ws(",", "s_suppkey", "s_name", "s_nationkey", "s_acctbal").alias("line"))
+    """Suppliers by nation as members of zip archives, one for every 500 suppliers, packed by tasks and read back member by member."""
+    lines = table(spark, d, "supplier").select(F.floor(F.col("s_suppkey") / 500).cast("string").alias("archive"), F.concat(F.lit("part_"), F.col("s_nationkey").cast("string"), F.lit(".csv")).alias("member"), F.concat_ws(",", "s_suppkey", "s_name", "s_nationkey", "s_acctbal").alias("line"))
     path = shared(spark)
     tables.zipped(lines, "archive", "member", "line", "s_suppkey,s_name,s_nationkey,s_acctbal").write.parquet(path)
     return tables.zip_csv(spark.read.parquet(path).select("content"), r"part_\d+\.csv", SUPPLIER_DDL)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import boosting as B
 from ..operators import estimators as E
+from ..operators import sequences as Q
 from ..operators.joins import densify
 from ..sources.tables import table
 from .analysing import rnd
@@ -137,3 +138,15 @@ def permutation_importance(spark, d):
     x = boosting_rows(spark, d)
     forest = B.fit(x.where("NOT held_out"), BOOST_FEATURES, "price", trees=8)
     return B.permutation_importance(x.where("held_out"), forest, "price", "line")
+
+
+@query("sequence_classes")
+def sequence_classes(spark, d):
+    """Users by the half of the month in which most of their events are, told from their daily counts; of held-out users."""
+    e = table(spark, d, "events").select("user_id", (F.dayofmonth("ts") - 1).alias("day"))
+    daily = e.groupBy("user_id", "day").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    late = F.sum(F.when(F.col("day") >= 15, F.col("n")).otherwise(0.0)) > F.sum(F.when(F.col("day") < 15, F.col("n")).otherwise(0.0))
+    users = daily.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("day", "n"))).alias("of"), late.cast("int").alias("label"))  # at most 31 days
+    users = users.select("user_id", "label", F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.coalesce(F.element_at("of", k), F.lit(0.0))).alias("series"))
+    p, _ = Q.fit(users.where("user_id % 5 <> 0"), "series", "label", steps=31, classes=2, epochs=12)
+    return Q.classified(users.where("user_id % 5 = 0"), p, "series", 31, ["user_id", "label"]).select("user_id", "label", "predicted", rnd("probability", "probability"))

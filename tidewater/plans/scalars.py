@@ -204,10 +204,13 @@ def derive_physics(spark, d):
     return w.select("k", r(S.relative_humidity(t, td), "rh"), r(S.vapour_deficit(t, td), "vpd"), r(S.wind_from(u, v), "wind_from"), r(F.hypot(u, v), "speed"))
 
 
-@query("param_sweep", "SELECT i, n, round(i * (1 + i) ** n / ((1 + i) ** n - 1), 9) AS crf, round(1 - 253.15 / (273.15 + n), 9) AS carnot FROM (VALUES (0.04), (0.08), (0.12)) a(i) CROSS JOIN (VALUES (10), (20), (30)) b(n)")
+@query("param_sweep", """SELECT s_suppkey, i, n, round((1000 + abs(s_acctbal)) * i * (1 + i) ** n / ((1 + i) ** n - 1), 6) AS yearly, round(1 - 253.15 / (273.15 + n), 9) AS carnot
+    FROM supplier CROSS JOIN (VALUES (0.04), (0.08), (0.12)) a(i) CROSS JOIN (VALUES (10), (20), (30)) b(n)""")
 def param_sweep(spark, d):
-    grid = spark.range(1).select(F.explode(F.array(*(F.lit(i) for i in (0.04, 0.08, 0.12)))).alias("i")).select("i", F.explode(F.array(*(F.lit(n) for n in (10, 20, 30)))).alias("n"))
-    return grid.select("i", "n", F.round(S.capital_recovery(F.col("i"), F.col("n")), 9).alias("crf"), F.round(1 - 253.15 / (273.15 + F.col("n")), 9).alias("carnot"))
+    """What each supplier would pay a year for its sum over rates and terms, and the best efficiency at the same numbers as temperatures."""
+    sums = table(spark, d, "supplier").select("s_suppkey", (1000 + F.abs("s_acctbal")).alias("v"))
+    grid = sums.withColumn("i", F.explode(F.array(*map(F.lit, (0.04, 0.08, 0.12))))).withColumn("n", F.explode(F.array(*map(F.lit, (10, 20, 30)))))
+    return grid.select("s_suppkey", "i", "n", F.round(F.col("v") * S.capital_recovery(F.col("i"), F.col("n")), 6).alias("yearly"), F.round(1 - 253.15 / (273.15 + F.col("n")), 9).alias("carnot"))
 
 
 @query("array_ops", "SELECT vec_id, embedding[1] AS first, embedding[-1] AS last, list_sum(list_filter(embedding[1:8], lambda x: x > 0)) AS pos, len(embedding) AS n FROM embeddings")

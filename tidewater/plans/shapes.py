@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import lines as L
 from ..operators import geometry as G
 from ..sources import vectors as V
 from ..sources.tables import table
@@ -83,3 +84,12 @@ def intersection_share(spark, d):
     ells = table(spark, d, "nation").select(F.col("n_nationkey").alias("zone"), box(F.col("n_nationkey") * 17 % 100, F.col("n_nationkey") * 29 % 100, [(F.lit(a), F.lit(b)) for a, b in shape]).alias("ell"))
     areas = boxes.withColumn("area", G.polygon_area("box"))
     return G.intersections(areas, ells, "box", "ell", 10.0).select("id", "zone", rnd(F.col("shared") / F.col("area"), "share", 9))
+
+
+@query("line_codes", f"""WITH o AS (SELECT * FROM (VALUES {", ".join(f"({k}, {x}, {y})" for k, (x, y) in enumerate(OUTER))}) v(i, x, y))
+    SELECT n_nationkey AS zone, i, round((n_nationkey * 17 % 100 + x) / 7, 5) AS x, round((n_nationkey * 29 % 100 + y) / 7, 5) AS y FROM nation CROSS JOIN o""")
+def line_codes(spark, d):
+    """The outer rings of the zones as short texts and back."""
+    line = F.transform(F.col("parts")[0][0], lambda c: F.struct((c["x"] / 7).alias("x"), (c["y"] / 7).alias("y")))
+    texts = zones(spark, d).select("zone", line.alias("line")).select("zone", L.encoded("line").alias("text"))
+    return texts.select("zone", F.posexplode(L.decoded("text")).alias("i", "c")).select("zone", "i", rnd("c.x", "x", 5), rnd("c.y", "y", 5))
