@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from tidewater.operators import joins
 
 
@@ -37,7 +39,9 @@ def test_best_match(spark):
     assert got == want and len(want) > 20
 
 
-def test_nearest_value(spark):
+@pytest.mark.parametrize("ranges", [1, 4, 64])
+def test_nearest_value(spark, monkeypatch, ranges):
+    monkeypatch.setattr(joins, "RANGES", ranges)
     rnd = random.Random(4)
     left = [(k % 3, rnd.randint(0, 50) / 2, k) for k in range(40)]
     right = list({(g, x): (g, x, 100 + k) for k, (g, x) in enumerate((rnd.randint(0, 1), rnd.randint(0, 50) / 2) for _ in range(30))}.values())

@@ -45,17 +45,30 @@ def within_distance(a: DataFrame, b: DataFrame, ax: str, ay: str, bx: str, by: s
     return left.join(right, ["_cx", "_cy"]).withColumn("distance", d).where(F.col("distance") <= radius).drop("_cx", "_cy")
 
 
+#: Ranges of values that a group's rows are sorted in; a group of very many rows is as many tasks.
+RANGES = 64
+
+
 def nearest_value(left: DataFrame, right: DataFrame, by: str, at: str, key: str) -> DataFrame:
     """Each left row with the key of the right row of its group whose value is nearest, and the gap; of equal gaps the lesser key.
 
-    right has one row a value. Both sides are sorted once by value: the nearest is the last one before or the first one after.
+    right has one row a value. Both sides are sorted by value within ranges of about equal counts: the nearest is the last one before
+    or the first one after, in the row's own range or else in the next one that has any, of which each group has a list of RANGES at most.
     """
-    both = left.withColumn("_m", F.lit(None).cast(right.select(F.struct(F.col(at), F.col(key)).alias("m")).schema["m"].dataType)).unionByName(right.select(by, at, F.struct(F.col(at), F.col(key)).alias("_m")), allowMissingColumns=True)
-    order = Window.partitionBy(by).orderBy(at)
+    mark = right.select(F.struct(F.col(at), F.col(key)).alias("m")).schema["m"].dataType
+    both = left.withColumn("_m", F.lit(None).cast(mark)).unionByName(right.select(by, at, F.struct(F.col(at), F.col(key)).alias("_m")), allowMissingColumns=True)
+    edges = right.select(F.percentile_approx(F.col(at).cast("double"), [k / RANGES for k in range(1, RANGES)], 1000)).first()[0] or []
+    ranged = both.withColumn("_r", F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col(at))) if edges else F.lit(0))
+    ends = ranged.where("_m IS NOT NULL").groupBy(by, "_r").agg(F.min("_m").alias("first"), F.max("_m").alias("last"))
+    of_group = ends.groupBy(F.col(by).alias("_by")).agg(F.collect_list(F.struct("_r", "first", "last")).alias("_ends"))
+    order = Window.partitionBy(by, "_r").orderBy(at)
     near = lambda m: F.when(m.isNotNull(), F.struct(F.abs(F.col(at) - m[at]).alias("gap"), m[key].alias(key)))
-    before = F.last("_m", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_m", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("_before", near(before)).withColumn("_after", near(after)).where("_m IS NULL")
+    own_before = F.last("_m", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    own_after = F.first("_m", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    found = ranged.withColumn("_before", own_before).withColumn("_after", own_after).where("_m IS NULL").join(of_group, F.col(by).eqNullSafe(F.col("_by")), "left")
+    before = F.coalesce("_before", F.array_max(F.filter("_ends", lambda e: e["_r"] < F.col("_r")))["last"])
+    after = F.coalesce("_after", F.array_min(F.filter("_ends", lambda e: e["_r"] > F.col("_r")))["first"])
+    found = found.withColumn("_before", near(before)).withColumn("_after", near(after))
     best = F.when(F.col("_before").isNull() | F.col("_after").isNull(), F.coalesce("_before", "_after")).otherwise(F.least("_before", "_after"))
     return found.withColumn("_best", best).where("_best IS NOT NULL").select(*left.columns, f"_best.{key}", "_best.gap")
 

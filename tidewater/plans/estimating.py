@@ -76,6 +76,16 @@ def cv_blocked(spark, d):
     return E.cross_validated(x, "fold", "x", "y").select("fold", "n", rnd("slope", "slope", 4), rnd("rmse", "rmse", 3))
 
 
+@query("cv_spatial", """WITH l AS (SELECT floor(c_acctbal / 2500) * 10 + floor(c_custkey % 1000 / 250) AS fold, o_totalprice AS y, CAST(year(o_orderdate) AS DOUBLE) AS x FROM orders JOIN customer ON o_custkey = c_custkey), f AS (SELECT DISTINCT fold FROM l),
+    m AS (SELECT f.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM f JOIN l ON l.fold <> f.fold GROUP BY 1)
+    SELECT CAST(fold AS BIGINT) AS fold, count(*) AS n, round(any_value(b), 2) AS slope, round(sqrt(avg((y - a - b * x) ** 2)), 1) AS rmse FROM l JOIN m USING (fold) GROUP BY 1""")
+def cv_spatial(spark, d):
+    """Blocks of the plane that customers stand in, each predicted from all others."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.floor(F.col("c_acctbal") / 2500) * 10 + F.floor(F.col("c_custkey") % 1000 / 250)).cast("long").alias("fold"))
+    o = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").cast("double").alias("x"), F.col("o_totalprice").alias("y"))
+    return E.cross_validated(o.join(c, "o_custkey"), "fold", "x", "y").select("fold", "n", rnd("slope", "slope", 2), rnd("rmse", "rmse", 1))
+
+
 @query("upwind_features", """WITH s AS (SELECT event_type AS k, CAST(ts AS DATE) AS day, avg(value) AS pm, count(DISTINCT user_id) % 8 AS wind FROM events GROUP BY 1, 2),
     f AS (SELECT CAST(ts AS DATE) AS day, user_id % 8 AS sector, count(*) AS fires FROM events WHERE event_type = 'error' GROUP BY 1, 2),
     u AS (SELECT s.k, s.day, s.pm, s.wind, CAST(coalesce(sum(f.fires), 0) AS BIGINT) AS upwind FROM s LEFT JOIN f ON f.day = s.day AND (f.sector - s.wind + 9) % 8 <= 2 GROUP BY ALL)
