@@ -475,7 +475,9 @@ def classes(docs: DataFrame, sets: DataFrame, nodes: DataFrame, found: DataFrame
         apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
         left = written(several.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("bucket").distinct(), "left")
         if not left.isEmpty():
-            dropped(more_links(found.join(left, "bucket", "left_semi"), labels, nearest=False))
+            again = written(found.join(left, "bucket", "left_semi"), "again")  # is read twice
+            dropped(more_links(again, labels, nearest=False))
+            dropped(again)
         dropped(labels)
         dropped(left)
     for table in (several, found, seen):
