@@ -147,7 +147,10 @@ def deseasonalize(spark, d):
 
 @query("eci")
 def eci(spark, d):
-    """Complexity of nations from which brands they buy: the second eigenvector, by power iteration over the nation-nation table."""
+    """Complexity of nations from which brands they buy: the second eigenvector, by power iteration over the nation-nation table.
+
+    Where all nations hold the same brands there is none, and all have 0.
+    """
     from .analysing import brand_holders
 
     has = brand_holders(spark, d).withColumnsRenamed({"c_nationkey": "c", "p_brand": "p"})
@@ -158,10 +161,10 @@ def eci(spark, d):
     pairs, now = written(pairs), written(now)
     for _ in range(12):
         mean = now.agg((F.sum(F.col("x") * F.col("kc")) / F.sum("kc")).alias("mu"), F.max(F.abs("x")).alias("top"))
-        centred = now.crossJoin(F.broadcast(mean)).select("c", "kc", ((F.col("x") - F.col("mu")) / F.greatest(F.col("top"), F.lit(1e-9))).alias("x"))  # takes the first eigenvector out
+        centred = now.crossJoin(F.broadcast(mean)).select("c", "kc", F.when(F.col("top") > 1e-9, (F.col("x") - F.col("mu")) / F.col("top")).otherwise(0.0).alias("x"))  # takes the first eigenvector out
         step = pairs.join(centred.select(F.col("c").alias("c2"), "x"), "c2").groupBy("c").agg(F.sum(F.col("m") * F.col("x")).alias("x"))
         now = written(kc.join(step, "c"))
-    sign = F.broadcast(now.agg(F.signum(F.corr("x", "kc")).alias("s")))
+    sign = F.broadcast(now.agg(F.signum(F.covar_pop("x", "kc")).alias("s")))  # no correlation: all nations may hold as many brands
     return now.crossJoin(sign).select("c", (F.col("x") * F.when(F.col("s") < 0, -1).otherwise(1)).alias("eci"))
 
 
