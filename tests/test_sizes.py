@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tidewater.operators import estimators
 from tidewater.plans import registry
 
 
@@ -15,3 +18,13 @@ def test_eci_without_spread(spark, tmp_path):
     spark.range(2).select(F.col("id").alias("p_partkey"), F.concat(F.lit("b"), "id").alias("p_brand")).write.parquet(f"{d}/part.parquet")
     spark.range(6).select((F.col("id") % 3).alias("l_orderkey"), (F.col("id") % 2).alias("l_partkey"), F.lit(50.0).alias("l_quantity")).write.parquet(f"{d}/lineitem.parquet")
     assert sorted((r.c, r.eci) for r in registry.QUERIES["eci"](spark, d).collect()) == [(0, 0.0), (1, 0.0), (2, 0.0)]
+
+
+def test_raked_with_rates_of_zero(spark):
+    """Once only rates of 0 are left, the rest of the sums is rounding alone and must not make a factor."""
+    rng = np.random.default_rng(5)
+    rows = [(g, g * 1000 + k, 0.0 if k < 3 else float(rng.integers(1, 9999)) / 100, float(rng.integers(1, 6))) for g in range(20) for k in range(400)]
+    official = [(g, 60.0) for g in range(20)]
+    out = estimators.raked(spark.createDataFrame(rows, "g int, k int, p double, w double"), spark.createDataFrame(official, "g int, official double"), "g", "k", "p", "w", 100.0)
+    mean = out.groupBy("g").agg((F.sum(F.col("rate") * F.col("w")) / F.sum("w")).alias("m")).collect()
+    assert [r.m for r in mean] == pytest.approx([60.0] * 20)

@@ -81,16 +81,17 @@ def raked(rows: DataFrame, official: DataFrame, group: str, key: str, rate: str,
     """Rates times one factor a group, cut at top, so that their weighted mean is the group's official one.
 
     What cutting takes is given to the others until it fits. That end is found at once: with the j highest rates at top the
-    others' factor is known from running sums, and the right j is where it puts the j-th rate over top and not the next.
+    others' factor is known from running sums, and the right j is the first where it puts the j-th rate over top and not the next;
+    where only rates of 0 are left, rounding in the sums can seem to give another, huge factor.
     Official rates are below top, so at least one rate stays below it.
     """
     high = Window.partitionBy(group).orderBy(F.desc(rate), key)
     sofar = high.rowsBetween(Window.unboundedPreceding, 0)
     whole = rows.groupBy(group).agg(F.sum(weight).alias("_w"), F.sum(F.col(weight) * F.col(rate)).alias("_wp"), F.max(rate).alias("_top")).join(official, group)
-    run = rows.select(group, rate, F.sum(weight).over(sofar).alias("_cut_w"), F.sum(F.col(weight) * F.col(rate)).over(sofar).alias("_cut_wp"), F.lead(rate).over(high).alias("_below")).join(whole, group)
+    run = rows.select(group, key, rate, F.sum(weight).over(sofar).alias("_cut_w"), F.sum(F.col(weight) * F.col(rate)).over(sofar).alias("_cut_wp"), F.lead(rate).over(high).alias("_below")).join(whole, group)
     f = (F.col("official") * F.col("_w") - top * F.col("_cut_w")) / F.nullif(F.col("_wp") - F.col("_cut_wp"), F.lit(0.0))
     fits = run.withColumn("_f", f).where((F.col("_f") > 0) & (F.col(rate) * F.col("_f") >= top) & (F.col("_below") * F.col("_f") < top))
-    cut = fits.groupBy(group).agg(F.max("_f").alias("_cut"))
+    cut = fits.groupBy(group).agg(F.min_by("_f", F.struct(-F.col(rate), F.col(key))).alias("_cut"))
     plain = F.col("official") * F.col("_w") / F.col("_wp")
     factor = whole.join(cut, group, "left").select(group, F.when(plain * F.col("_top") <= top, plain).otherwise(F.col("_cut")).alias("_factor"))
     return rows.join(factor, group).withColumn("rate", F.least(F.lit(top), F.col(rate) * F.col("_factor"))).drop("_factor")
