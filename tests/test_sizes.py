@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from support import same
 
 from tidewater.operators import estimators
 from tidewater.plans import registry
@@ -20,6 +21,16 @@ def test_eci_without_spread(spark, tmp_path):
     assert sorted((r.c, r.eci) for r in registry.QUERIES["eci"](spark, d).collect()) == [(0, 0.0), (1, 0.0), (2, 0.0)]
 
 
+def test_quantize_in_single_floats(spark, duck, tmp_path):
+    """0.35106301 of 0.37 is 120 in single floats and 121 in doubles."""
+    d = str(tmp_path)
+    rows = [(1, [0.3510630130767822, -0.37, 0.0]), (2, [1.0, 0.5, None]), (3, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    sql = registry.ORACLES["vec_quantize_int8"].replace("FROM embeddings", f"FROM '{d}/embeddings.parquet/*.parquet'")
+    got, want = same(registry.QUERIES["vec_quantize_int8"](spark, d), duck, sql)
+    assert got == want and [0.0, 120.0, 1.0] in got[1]
+
+
 def test_raked_with_rates_of_zero(spark):
     """Once only rates of 0 are left, the rest of the sums is rounding alone and must not make a factor."""
     rng = np.random.default_rng(5)

@@ -78,7 +78,8 @@ def json_sink_nan_safe(spark, d):
     SELECT vec_id, i - 1 AS i, CAST(round_even(x / s * 127, 0) AS INTEGER) AS q FROM v JOIN s USING (vec_id)""")
 def vec_quantize_int8(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding", F.array_max(F.transform("embedding", F.abs)).alias("s"))
-    return e.select("vec_id", F.posexplode(F.transform("embedding", lambda x: F.bround(x.cast("double") / F.col("s") * 127, 0).cast("int"))).alias("i", "q"))
+    scaled = lambda x: ((x / F.col("s")).cast("float") * F.lit(127.0).cast("float")).cast("double")  # noqa: E731 -- quotient and product are single floats, as the components
+    return e.select("vec_id", F.posexplode(F.transform("embedding", lambda x: F.bround(scaled(x), 0).cast("int"))).alias("i", "q"))
 
 
 @query("project_computed", "SELECT o_orderkey, year(o_orderdate) AS y, o_totalprice / 1000 AS thousands FROM orders")
