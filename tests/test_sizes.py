@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from support import same
 
-from tidewater.operators import estimators
+from tidewater.operators import boosting, estimators
 from tidewater.plans import registry
 
 
@@ -39,3 +39,22 @@ def test_raked_with_rates_of_zero(spark):
     out = estimators.raked(spark.createDataFrame(rows, "g int, k int, p double, w double"), spark.createDataFrame(official, "g int, official double"), "g", "k", "p", "w", 100.0)
     mean = out.groupBy("g").agg((F.sum(F.col("rate") * F.col("w")) / F.sum("w")).alias("m")).collect()
     assert [r.m for r in mean] == pytest.approx([60.0] * 20)
+
+
+def test_quantiles_without_a_group_in_one_task(spark):
+    """Brackets and counts give what percentile gives, ties and few rows included."""
+    rng = np.random.default_rng(6)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 4000), rng.integers(0, 900, 4000))] + [(7, 1.0), (8, 2.0), (8, 3.0), (9, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    for q, accuracy in ((0.9, 50), (0.5, 10_000), (1.0, 100)):
+        want = {r.g: r.v for r in df.where("v IS NOT NULL").groupBy("g").agg(F.percentile("v", q).alias("v")).collect()}
+        assert boosting.quantiles(df, "g", "v", q, accuracy) == pytest.approx(want)
+
+
+def test_shapley_by_cells():
+    """Values looked up by cells are those of the definition."""
+    rng = np.random.default_rng(7)
+    trees = [boosting.Tree({1: (0, 5), 2: (1, 3), 3: (0, 9)}, {4: 1.0, 5: 2.0, 6: -3.0, 7: 4.0}, {2: 30, 3: 20, 4: 10, 5: 20, 6: 15, 7: 5}), boosting.Tree({}, {1: 2.0}, {1: 50})]
+    forest = boosting.Forest(["a", "b", "c"], [[]] * 3, "squared", 0.5, 0.2, 1.0, trees)
+    bins = rng.integers(0, 12, (200, 3))
+    assert boosting.looked_up(boosting.shapley_tables(forest), list(bins.T)) == pytest.approx(boosting.shapley(forest, bins))

@@ -2,7 +2,7 @@
 
 A tree grows level by level. For each level tasks sum gradients by node, feature and bin over Arrow batches, and only these sums,
 whose number is bounded by 2 ** depth nodes, the features and BINS, come to the driver, which picks the splits. Gradients are whole
-numbers of 1 / SCALE, so sums don't depend on the order of rows and a fit repeats exactly. Rows are written with their bins once and
+numbers of 1 / SCALE, so sums don't depend on the order of rows and a fit repeats exactly. Rows are written in blocks, with their bins once and
 with their margin every CUT trees; until then tasks work out the latest trees anew from the bins.
 """
 
@@ -22,6 +22,8 @@ from ..sources.shared import dropped, written
 BINS = 32
 SCALE = 1 << 20
 CUT = 10
+#: Rows of a written block: small enough for readers that take thousands of them at once.
+BLOCK = 256
 
 
 @dataclass
@@ -116,11 +118,20 @@ def best_split(hist: np.ndarray, least: int, ridge: float) -> tuple[int, int] |
     return (f, b) if gain[f, b] > 1e-9 * max(1.0, float(np.abs(score(whole)).max())) else None
 
 
-def read(batch: pa.RecordBatch, forest: Forest, fresh: list[Tree]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Bins, targets and margins of written rows; fresh are the trees that the written margins lack."""
-    bins = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-2]]
-    y, m = (c.to_numpy(zero_copy_only=False) for c in batch.columns[-2:])
-    return bins, y, margin(forest, fresh, m, bins)
+def blocks(bins: list[np.ndarray], y: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+    """Rows as blocks of BLOCK: their bins row by row, targets and margins as bytes, so that passes over them cost little outside NumPy."""
+    table, n = np.stack(bins, axis=1), len(y)
+    cut = lambda x: pa.array([x[k : k + BLOCK].tobytes() for k in range(0, n, BLOCK)], pa.binary())
+    return pa.RecordBatch.from_arrays([cut(table), cut(np.asarray(y, float)), cut(np.asarray(m, float))], names=["_bins", "_target", "_margin"])
+
+
+def read(batches, forest: Forest, fresh: list[Tree]):
+    """Bins, targets and margins of written blocks, some of these at a time; fresh are the trees that the written margins lack."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            table, y, m = (b"".join(c.to_pylist()) for c in batch.slice(k, 64).columns)
+            bins = list(np.ascontiguousarray(np.frombuffer(table, np.int8).reshape(-1, len(forest.features)).T))
+            yield bins, np.frombuffer(y), margin(forest, fresh, np.frombuffer(m), bins)
 
 
 def level_sums(rows: DataFrame, forest: Forest, fresh: list[Tree], tree: Tree, nodes: list[int]) -> dict[int, np.ndarray]:
@@ -131,8 +142,7 @@ def level_sums(rows: DataFrame, forest: Forest, fresh: list[Tree], tree: Tree, n
         slot = np.full(2 * max(nodes) + 2, -1)
         slot[nodes] = np.arange(len(nodes))
         sums = np.zeros((n_features, 3, len(nodes) * BINS), np.int64)
-        for b in batches:
-            bins, y, m = read(b, forest, fresh)
+        for bins, y, m in read(batches, forest, fresh):
             own = slot[node_of(tree, bins)]
             g, h = (np.rint(x * SCALE) for x in slopes(forest, y, m))
             if (own < 0).any():
@@ -177,8 +187,7 @@ def grow(rows: DataFrame, forest: Forest, fresh: list[Tree], depth: int, least:
     if forest.loss == "quantile":
 
         def rest(batches):
-            for b in batches:
-                bins, y, m = read(b, forest, fresh)
+            for bins, y, m in read(batches, forest, fresh):
                 yield pa.RecordBatch.from_arrays([pa.array(node_of(tree, bins)), pa.array(y - m)], names=["node", "rest"])
 
         tree.values.update(quantiles(rows.mapInArrow(rest, "node int, rest double"), "node", "rest", forest.quantile))
@@ -229,17 +238,16 @@ def fit(df: DataFrame, features: list[str], y: str, loss: str = "squared", quant
         start = min(max(start, 1e-6), 1 - 1e-6)
         start = math.log(start / (1 - start))
     forest.base = float(start)
-    names = [*(f"_b{k}" for k in range(len(features))), "_target", "_margin"]
-    schema = ", ".join([*(f"_b{k} tinyint" for k in range(len(features))), "_target double, _margin double"])
+    schema = "_bins binary, _target binary, _margin binary"
 
     def first(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, bins_of(b.columns[:-1], forest.edges)), b.column(len(features)), pa.array(np.full(b.num_rows, forest.base))], names=names)
+            yield blocks(bins_of(b.columns[:-1], forest.edges), b.column(len(features)).to_numpy(zero_copy_only=False), np.full(b.num_rows, forest.base))
 
     def further(fresh):
         def run(batches):
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(read(b, forest, fresh)[2])], names=names)
+            for rows in read(batches, forest, fresh):
+                yield blocks(*rows)
 
         return run
 
@@ -315,6 +323,8 @@ def shapley_tables(forest: Forest) -> list[Forest | tuple]:
     for t in forest.trees:
         alone = Forest(forest.features, forest.edges, forest.loss, forest.quantile, forest.rate, 0.0, [t])
         own = sorted({f for f, _ in t.splits.values()})
+        if not own:
+            continue  # one leaf: all features have 0
         at = [sorted({b for f, b in t.splits.values() if f == g}) for g in own]
         shape = [len(x) + 1 for x in at]
         if math.prod(shape) > CELLS:
