@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from support import same
 
 from tidewater.operators import boosting, estimators
+from tidewater.operators import joins as J
 from tidewater.plans import registry
 
 
@@ -58,3 +59,17 @@ def test_shapley_by_cells():
     forest = boosting.Forest(["a", "b", "c"], [[]] * 3, "squared", 0.5, 0.2, 1.0, trees)
     bins = rng.integers(0, 12, (200, 3))
     assert boosting.looked_up(boosting.shapley_tables(forest), list(bins.T)) == pytest.approx(boosting.shapley(forest, bins))
+
+
+def test_sums_within_without_pairs(spark):
+    """Counts and sums in circles against all pairs, points on the edge and repeated ones included; the plan joins nothing."""
+    rng = np.random.default_rng(8)
+    a = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(-20, 20, (60, 2)))] + [(99, None, 1.0)]
+    b = [(float(x), float(y)) for x, y in rng.integers(-40, 40, (500, 2)) / 2] + [(1.0, None)]
+    out = J.sums_within(spark.createDataFrame(a, "k int, ax double, ay double"), spark.createDataFrame(b, "x double, y double"), "k", "ax", "ay", "x", "y", 5.0)
+    want = {}
+    for k, x, y in a[:-1]:
+        own = [p for p, q in b[:-1] if np.sqrt((p - x) ** 2 + (q - y) ** 2) <= 5.0]
+        if own:
+            want[k] = (len(own), pytest.approx(sum(own)))
+    assert {r.k: (r.n, r.total) for r in out.collect()} == want

@@ -45,6 +45,58 @@ def within_distance(a: DataFrame, b: DataFrame, ax: str, ay: str, bx: str, by: s
     return left.join(right, ["_cx", "_cy"]).withColumn("distance", d).where(F.col("distance") <= radius).drop("_cx", "_cy")
 
 
+def sums_within(a: DataFrame, b: DataFrame, key: str, ax: str, ay: str, bx: str, by: str, radius: float) -> DataFrame:
+    """key of a, and n and total: how many of b's points are within the radius, and the sum of their bx. No pair is made.
+
+    Both sides meet in grid cells, a's points in their own and the neighbouring ones. b's points of one place are counted first; in a
+    cell those of one by are sorted by bx, where a circle holds a stretch, so its ends are sought and sums are differences of running
+    ones. The ends are settled by sqrt(dx * dx + dy * dy) <= radius itself. Keys of a are distinct; points with a null take no part.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    left = neighbours(a.select(F.col(key).alias("_k"), F.col(ax).cast("double").alias("_x"), F.col(ay).cast("double").alias("_y")).dropna(subset=["_x", "_y"]).withColumn("_cx", cell(F.col("_x"), radius)).withColumn("_cy", cell(F.col("_y"), radius)), "_cx", "_cy")
+    right = b.select(F.col(bx).cast("double").alias("_x"), F.col(by).cast("double").alias("_y")).dropna().groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    right = right.withColumn("_cx", cell(F.col("_x"), radius)).withColumn("_cy", cell(F.col("_y"), radius))
+
+    def run(own: pa.Table, other: pa.Table) -> pa.Table:
+        column = lambda t, c: t.column(c).to_numpy()
+        order = np.argsort(column(own, "_x"), kind="stable") if own.num_rows else np.zeros(0, int)
+        keys, n, total = own.column("_k").take(pa.array(order)), np.zeros(len(order), np.int64), np.zeros(len(order))
+        if len(order) and other.num_rows:
+            x, y = column(own, "_x")[order], column(own, "_y")[order]
+            px, py, pn = (column(other, c) for c in ("_x", "_y", "_n"))
+            sort = np.lexsort((px, py))
+            px, py, pn = px[sort], py[sort], pn[sort]
+            rows = np.flatnonzero(np.append(True, py[1:] != py[:-1]))
+            for lo, hi in zip(rows, np.append(rows[1:], len(py))):
+                xs, upto, sums = px[lo:hi], np.append(0, np.cumsum(pn[lo:hi])), np.append(0.0, np.cumsum(px[lo:hi] * pn[lo:hi]))
+                dy = py[lo] - y
+                near = np.flatnonzero(np.abs(dy) <= radius)
+                at, dy2, last = x[near], dy[near] * dy[near], len(xs) - 1
+                reach = np.sqrt(np.maximum(radius * radius - dy2, 0.0))
+                inside = lambda k: np.sqrt((xs[np.clip(k, 0, last)] - at) * (xs[np.clip(k, 0, last)] - at) + dy2) <= radius  # noqa: B023, E731
+                first, end = np.searchsorted(xs, at - reach, "left"), np.searchsorted(xs, at + reach, "right")
+                while (wider := (first > 0) & inside(first - 1)).any():
+                    first = first - wider
+                while (less := (first < end) & ~inside(first)).any():
+                    first = first + less
+                end = np.maximum(end, first)
+                while (wider := (end <= last) & inside(end)).any():
+                    end = end + wider
+                while (less := (end > first) & ~inside(end - 1)).any():
+                    end = end - less
+                n[near] += upto[end] - upto[first]
+                total[near] += sums[end] - sums[first]
+        some = np.flatnonzero(n)
+        return pa.table({"_k": keys.take(pa.array(some)), "n": n[some], "total": total[some]})
+
+    kind, n_parts = dict(left.dtypes)["_k"], int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = (t.repartition(n_parts, "_cx", "_cy") for t in (left, right))  # cells are small in bytes, so they would be put in few tasks
+    parts = left.groupBy("_cx", "_cy").cogroup(right.groupBy("_cx", "_cy")).applyInArrow(run, f"_k {kind}, n long, total double")
+    return parts.groupBy(F.col("_k").alias(key)).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
 #: Ranges of values that a group's rows are sorted in; a group of very many rows is as many tasks.
 RANGES = 64
 

@@ -165,7 +165,7 @@ POINTS = "SELECT c_custkey AS id, c_acctbal / 100 AS x, (c_custkey % 1000) / 10.
 def distance_join(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_custkey") % 1000 / 10).alias("y"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sid"), (F.col("s_acctbal") / 100).alias("sx"), (F.col("s_suppkey") * 7 % 1000 / 10).alias("sy"))
-    return J.within_distance(s, c, "sx", "sy", "x", "y", 8.0).groupBy("sid").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 4).alias("total"))
+    return J.sums_within(s, c, "sid", "sx", "sy", "x", "y", 8.0).select("sid", "n", F.round("total", 4).alias("total"))
 
 
 @query("pairwise_within_r", """SELECT n_nationkey, count(*) FILTER (WHERE abs(s_acctbal - n_nationkey * 400) <= 500) AS near, round(coalesce(sum(CASE WHEN abs(s_acctbal - n_nationkey * 400) <= 500 THEN s_acctbal END), 0), 2) AS total
