@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +75,13 @@ def test_sums_within_without_pairs(spark):
         if own:
             want[k] = (len(own), pytest.approx(sum(own)))
     assert {r.k: (r.n, r.total) for r in out.collect()} == want
+
+
+def test_toxicity_is_trained_in_a_task(spark, monkeypatch):
+    """Not in the driver, whose memory the texts and the training would take."""
+    toxicity = pytest.importorskip("tidewater.llm.toxicity_gru")
+    docs = spark.createDataFrame([(k, f"word{k % 7} " * 12 + ("vile" if k % 2 else "kind")) for k in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int")
+    assert "scale" in toxicity.fitted(docs, labels) and toxicity.fitted(docs.limit(0), labels) is None
+    monkeypatch.setattr(toxicity, "fit", lambda *_: {"process": os.getpid()})
+    assert toxicity.fitted(docs, labels).get("process") != os.getpid()

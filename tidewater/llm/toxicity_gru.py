@@ -7,7 +7,7 @@ pools their states, and a linear unit gives the window's logit. Windows overlap
 whole text; a document scores by its strongest window, scaled to a probability on the training
 documents.
 
-Trained in numpy with Adam on at most 2 x PER_CLASS labelled documents, first on windows drawn from all,
+Trained in one task, in numpy, with Adam on at most 2 x PER_CLASS labelled documents, first on windows drawn from all,
 then on each document's strongest one, as a toxic document need not be toxic throughout. The
 strongest come from CANDIDATES windows of each document, which are chosen from all of its windows
 every REFRESH epochs. Batches are smaller and epochs more for smaller samples, so that few labels get enough steps.
@@ -22,11 +22,13 @@ score is 0; only doc_id and text are read.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_rows, per_text
+from .common import kept_rows, per_text, small_batches
 from .hashing import U64, Words, mix, powers, slices
 from .labels import held_out, sample
 
@@ -331,9 +333,17 @@ def scores(p: dict[str, np.ndarray] | None, texts: list[bytes]) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict[str, np.ndarray] | None:
-    """Trained on the driver on the bounded sample."""
-    drawn = sorted(sample(docs, labels, "toxic", MODULUS, REST, per_class).collect(), key=lambda r: r.doc_id)
-    return fit([r.text.encode() for r in drawn], np.array([r.label for r in drawn]))
+    """Trained on the bounded sample in one task, so that neither its texts nor the training take the driver's memory."""
+    import pyarrow as pa
+
+    def train(batches):
+        drawn = sorted(((i, t, label) for b in batches for i, t, label in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        model = fit([t.encode() for _, t, _ in drawn], np.array([label for *_, label in drawn]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    small_batches(docs)
+    row = sample(docs, labels, "toxic", MODULUS, REST, per_class).select("doc_id", "text", "label").repartition(1).mapInArrow(train, "model binary").first()
+    return pickle.loads(row.model) if row else None
 
 
 def scored(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
