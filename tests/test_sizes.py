@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 from support import same
 
+from tidewater.operators import aggregates as A
 from tidewater.operators import boosting, estimators
 from tidewater.operators import joins as J
+from tidewater.operators import stats as S
 from tidewater.plans import registry
 
 
@@ -85,3 +87,26 @@ def test_toxicity_is_trained_in_a_task(spark, monkeypatch):
     assert "scale" in toxicity.fitted(docs, labels) and toxicity.fitted(docs.limit(0), labels) is None
     monkeypatch.setattr(toxicity, "fit", lambda *_: {"process": os.getpid()})
     assert toxicity.fitted(docs, labels).get("process") != os.getpid()
+
+
+def test_spearman_of_odd_groups(spark, duck, tmp_path):
+    """Ties, single rows and groups in which a value never varies, which once divided by zero, against the SQL."""
+    rng = np.random.default_rng(9)
+    rows = [(int(g), float(q), float(p)) for g, q, p in zip(rng.integers(0, 5, 400), rng.integers(0, 6, 400), rng.integers(0, 40, 400))]
+    rows += [(7, 1.0, 2.0), (8, 1.0, 2.0), (8, 1.0, 3.0), (9, 1.0, 2.0), (9, 4.0, 2.0), (None, 1.0, 2.0), (None, 4.0, 3.0), (None, 9.0, -1.0)]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{d}/lineitem.parquet")
+    got, want = same(registry.QUERIES["agg_spearman"](spark, d), duck, registry.ORACLES["agg_spearman"].replace("FROM lineitem", f"FROM '{d}/lineitem.parquet/*.parquet'"))
+    assert got == want
+
+
+def test_ranks_in_tasks_of_bounded_size(spark, monkeypatch):
+    """However large the table, a task sorts about TASK_ROWS rows; equal scores are counted before they are sorted."""
+    df = spark.range(4000).select((F.col("id") % 400).alias("g"), F.col("id").alias("x"), (-F.col("id")).alias("y"))
+    monkeypatch.setattr(A, "TASK_ROWS", 100)
+    assert A.dealt(df, ["g"]).rdd.getNumPartitions() == 40
+    assert {r.spearman for r in A.spearman(df, ["g"], "x", "y").collect()} == {-1.0}
+    scores = spark.range(5000).select((F.col("id") % 2).alias("g"), (F.col("id") % 50).alias("x"))
+    plan = S.auc(scores, ["g"], "x", F.col("x") > 30)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window [sum(_n") < plan.index("partial_count(1)")  # plans are written from their end on
+    assert [r.auc for r in S.auc(scores, ["g"], "x", F.col("x") > 30).collect()] == [1.0, 1.0]

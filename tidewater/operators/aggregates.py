@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: About the rows of one task where groups are sorted or kept; a larger table is dealt to as many more tasks.
+TASK_ROWS = 1 << 19
+
+
+def dealt(df: DataFrame, by: list[str]) -> DataFrame:
+    """The rows, which are counted first, dealt by key to tasks of about TASK_ROWS: what a task holds doesn't grow with the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / TASK_ROWS)), *by)
+
 
 def weighted_mean(x: str | Column, w: str | Column) -> Column:
     x, w = F.col(x) if isinstance(x, str) else x, F.col(w) if isinstance(w, str) else w
@@ -70,9 +80,23 @@ def average_rank(value: str | Column, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(v)) + (F.count(F.lit(1)).over(ties) - 1) / 2
 
 
+def counted_rank(value: str, n: str, by: list[str]) -> Column:
+    """Average rank where each value stands for n rows."""
+    return F.sum(n).over(Window.partitionBy(*by).orderBy(value)) - (F.col(n) - 1) / 2
+
+
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
-    return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("spearman"))
+    """Correlation of average ranks over rows that have both values; NaN, as in SQL, where all of a group's x or y are equal.
+
+    Rows are sorted by y alone. From then on equal x of a group are one row with the count and sums of their ranks of y.
+    """
+    rows = dealt(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_u"), F.col(y).alias("_v")), by)
+    own = rows.withColumn("_y", average_rank("_v", by)).groupBy(*by, "_u").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_s"), F.sum(F.col("_y") ** 2).alias("_ss"), F.min("_y").alias("_least"), F.max("_y").alias("_most"))
+    own = own.withColumn("_x", counted_rank("_u", "_n", by))
+    n, sx, sy = F.sum("_n"), F.sum(F.col("_n") * F.col("_x")), F.sum("_s")
+    spread = (n * F.sum(F.col("_n") * F.col("_x") ** 2) - sx * sx) * (n * F.sum("_ss") - sy * sy)
+    varied = (F.count(F.lit(1)) > 1) & (F.min("_least") < F.max("_most"))
+    return own.groupBy(*by).agg(F.when(varied, (n * F.sum(F.col("_x") * F.col("_s")) - sx * sy) / F.sqrt(spread)).otherwise(float("nan")).alias("spearman"))
 
 
 def dedupe(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

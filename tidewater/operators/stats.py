@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregates import average_rank
+from .aggregates import counted_rank
 
 
 def auc(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
-    """Area under the curve by average ranks: ties count half."""
-    ranked = df.withColumn("_r", average_rank(score, by)).withColumn("_p", positive.cast("double"))
-    p, n = F.sum("_p"), F.count(F.lit(1)) - F.sum("_p")
+    """Area under the curve by average ranks: ties count half. Equal scores of a group are counted before they are ranked."""
+    counts = df.groupBy(*by, F.col(score).alias("_v")).agg(F.count(F.lit(1)).alias("_n"), F.sum(positive.cast("double")).alias("_p"))
+    ranked = counts.withColumn("_r", counted_rank("_v", "_n", by))
+    p, n = F.sum("_p"), F.sum("_n") - F.sum("_p")
     value = (F.sum(F.col("_r") * F.col("_p")) - p * (p + 1) / 2) / F.nullif(p * n, F.lit(0.0))
     return ranked.groupBy(*by).agg(value.alias("auc"))
 

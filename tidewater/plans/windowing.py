@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import windows as W
-from ..operators.aggregates import average_rank
+from ..operators.aggregates import average_rank, dealt
 from ..operators.joins import densify
 from ..sources.tables import table
 from .registry import query
@@ -147,7 +147,8 @@ def win_percent_rank(spark, d):
 
 @query("win_avg_rank", "SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2 AS r FROM lineitem")
 def win_avg_rank(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", average_rank("l_quantity", ["l_suppkey"]).alias("r"))
+    rows = dealt(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"), ["l_suppkey"])
+    return rows.select("l_orderkey", "l_linenumber", average_rank("l_quantity", ["l_suppkey"]).alias("r"))
 
 
 @query("win_qcut", """WITH q AS (SELECT c_nationkey, quantile_cont(c_acctbal, 0.2) AS a, quantile_cont(c_acctbal, 0.4) AS b, quantile_cont(c_acctbal, 0.6) AS c, quantile_cont(c_acctbal, 0.8) AS e FROM customer GROUP BY 1)
