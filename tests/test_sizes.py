@@ -7,7 +7,7 @@ import os
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from support import same
+from support import DATA, same
 
 from tidewater.operators import aggregates as A
 from tidewater.operators import boosting, estimators
@@ -110,3 +110,13 @@ def test_ranks_in_tasks_of_bounded_size(spark, monkeypatch):
     plan = S.auc(scores, ["g"], "x", F.col("x") > 30)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Window [sum(_n") < plan.index("partial_count(1)")  # plans are written from their end on
     assert [r.auc for r in S.auc(scores, ["g"], "x", F.col("x") > 30).collect()] == [1.0, 1.0]
+
+
+def test_boosted_rows_in_tasks_of_bounded_size(spark, monkeypatch):
+    """What a task of the fit keeps and reads for every level doesn't grow with the table, and no row is left out."""
+    regression = pytest.importorskip("pyspark.ml.regression")
+    fit, sizes = regression.GBTRegressor.fit, []
+    monkeypatch.setattr(A, "TASK_ROWS", 500, raising=False)
+    monkeypatch.setattr(regression.GBTRegressor, "fit", lambda self, rows: sizes.extend(rows.rdd.mapPartitions(lambda own: [sum(1 for _ in own)]).collect()) or fit(self, rows))
+    assert registry.QUERIES["ml_gbt"](spark, DATA).count() == spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_orderkey % 5 = 0").count()
+    assert sum(sizes) == spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_orderkey % 5 <> 0").count() and max(sizes) < 1000
