@@ -262,6 +262,22 @@ def test_word_tokenizer():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [[*w.ids, 1] for w in want]
 
 
+def test_words_are_met_once(monkeypatch):
+    """Of a word's many spellings and marks, and of all texts, Python sees the letters once and the marks once; Arrow lays out the rest."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, met = public_tokenizers.path("word_bpe_49k.json"), []
+    learn = token_index.WordTokenizer.learn
+    monkeypatch.setattr(token_index.WordTokenizer, "learn", lambda self, words: met.append(words) or learn(self, words))
+    texts = ["Word word. WORD!!", "worD,, word\nWord. ", "word", "", "été. été!!"]
+    words = token_index.WordTokenizer(path)
+    want = [[*e.ids, 1] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for given in (pa.array(["no", *texts]).slice(1), texts):
+        assert [np.frombuffer(g, "<u4").tolist() for g in words.encode(given, b"\1\0\0\0")] == want
+    assert met[0] == {"word", "été", ".", "!!", ",,", ""} and not met[1] and words.encode([], b"") == []
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 1000])
 def test_perfect_hash(n):
     keys = list(range(0, 7 * n, 7))

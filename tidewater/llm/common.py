@@ -43,13 +43,13 @@ def held(name: str, build: Callable):
     return _held[name]
 
 
-def pieces(batches, holds: str | None = None):
-    """Arrow batches cut to ROWS_AT_ONCE rows, for a task that uses no other held thing than that."""
+def pieces(batches, holds: str | None = None, rows: int = ROWS_AT_ONCE):
+    """Arrow batches cut to so many rows, for a task that uses no other held thing than that."""
     if holds not in _held:
         _held.clear()
     for b in batches:
-        for k in range(0, b.num_rows, ROWS_AT_ONCE):
-            yield b.slice(k, ROWS_AT_ONCE)
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"

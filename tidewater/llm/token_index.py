@@ -31,6 +31,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,11 +45,12 @@ KEPT_WORDS = 400_000
 #: Longer words are not kept, so that a table's bytes are bounded with its words.
 KEPT_LENGTH = 48
 KEYS_PER_BUCKET = 4
+#: More texts at once share more of their words; a batch has 4 MB at most or one long text.
+ROWS_AT_ONCE = 2048
 #: Letters, then marks that the tokenizer never joins to letters: the two can be encoded apart. İ ends in a mark once lower-cased.
-WORD_AND_MARKS = re.compile(r"([^\W\d_]*[^\W\d_İ])([.,!?&$%*#|:;]+)")
-
-
-MARKS_ALONE = re.compile(r"[.,!?&$%*#|:;]+")
+MARKS = ".,!?&$%*#|:;"
+WORD_AND_MARKS = re.compile(rf"([^\W\d_]*[^\W\d_İ])([{MARKS}]+)")
+MARKS_ALONE = re.compile(f"[{MARKS}]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -110,6 +112,9 @@ class WordTokenizer:
                     continue
                 m = WORD_AND_MARKS.fullmatch(c)
                 parts = (m[1].lower(), m[2]) if m else (c if "<|" in c else c.lower(),)  # a special token's name is one only as it is written
+            elif (mapped := self.plain(c)) is not None:
+                young[c] = self.merged(mapped)
+                continue
             else:
                 parts = m.groups() if (m := WORD_AND_MARKS.fullmatch(c)) else (c,)
                 parts = tuple([p if "<|" in p or "Σ" in p or "İ" in p or not is_normalized("NFC", p) else p.lower() for p in parts])
@@ -129,22 +134,37 @@ class WordTokenizer:
         young.update([(c, young[parts[0]] if len(parts) == 1 else young[parts[0]] + young[parts[1]]) for c, parts in cut.items()])
         return [w for c, parts in cut.items() for w in (c, *parts) if len(w) > KEPT_LENGTH] + [v for w in words if len(w) > KEPT_LENGTH for v in (w, w.lower())]
 
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers, then end."""
-        words, get = [t.replace("\n", " ").split(" ") for t in texts], self.young.get
-        found = [list(map(get, own)) for own in words]
-        passing = self.learn({w for own, ids in zip(words, found, strict=True) if None in ids for w, i in zip(own, ids, strict=True) if i is None})
-        known, out = self.young.__getitem__, []
-        for own, ids in zip(words, found, strict=True):
-            if None in ids:
-                ids = [known(w) if i is None else i for w, i in zip(own, ids, strict=True)]
-            ids.append(end)
-            out.append(b"".join(ids))
+    def encode(self, texts: list[str] | pa.Array, end: bytes) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers, then end.
+
+        Arrow cuts the texts, numbers their distinct words and lays the ids in line; Python sees each distinct word once. Letters
+        alone, or letters and then marks, are looked up apart, and the letters in lower case where they are ASCII.
+        """
+        if not len(texts):
+            return []
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        own = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = own.flatten().dictionary_encode()
+        whole = words.dictionary
+        letters = pc.ascii_rtrim(whole, MARKS)
+        apart = pc.and_not(pc.utf8_is_alpha(letters), pc.ends_with(letters, "İ"))
+        lower = pc.if_else(pc.string_is_ascii(letters), pc.ascii_lower(letters), letters)
+        marks = pc.replace_substring_regex(whole, f"^.*[^{MARKS}]", "")
+        parts = pa.concat_arrays([pc.if_else(apart, lower, whole), pc.if_else(apart, marks, pa.scalar("", pa.large_string()))]).dictionary_encode()
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(parts.dictionary)], parts.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        ids = list(map(self.young.get, distinct))
+        passing = self.learn({w for w, i in zip(distinct, ids, strict=True) if i is None})
+        ids = pa.array([self.young[w] if i is None else i for w, i in zip(distinct, ids, strict=True)], pa.large_binary())
+        first, second = ids.take(parts.indices[: len(whole)]), ids.take(parts.indices[len(whole) :])
+        laid = pc.binary_join_element_wise(first, second, pa.scalar(b"", pa.large_binary())).take(words.indices)
+        starts = np.frombuffer(laid.buffers()[1], np.int64)[laid.offset :]
+        edges = starts[np.concatenate([[0], np.cumsum(pc.list_value_length(own).to_numpy())])].tolist()
+        payload = memoryview(laid.buffers()[2] or b"")
         for w in passing:
             self.young.pop(w, None)
         if len(self.young) >= KEPT_WORDS:
             self.young, self.old = {}, self.young
-        return out
+        return [b"".join((payload[a:b], end)) for a, b in zip(edges, edges[1:])]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -254,16 +274,14 @@ def write_segments(docs: DataFrame, tokenizer_file: str, path: str, parts: int |
             values = (part, seq, min(known, default=None), max(known, default=None), len(keys) - len(known), len(keys), before, len(payload) // 4, seeds, entries, payload)
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(values, SEGMENT_SCHEMA, strict=True)], schema=SEGMENT_SCHEMA)
 
-        for b in pieces(batches, f"words {tokenizer_file}"):
-            for k in range(0, b.num_rows, 128):
-                some = b.slice(k, 128)
-                for key, own in zip(some.column(0).to_pylist(), tokenizer(tokenizer_file).encode(some.column(1).to_pylist(), end), strict=True):
-                    keys.append(key)
-                    ids.append(own)
-                    size += len(own) // 4
-                    if size >= SEGMENT_IDS:
-                        yield row()
-                        seq, keys, ids, size, before = seq + 1, [], [], 0, before + size
+        for b in pieces(batches, f"words {tokenizer_file}", ROWS_AT_ONCE):
+            for key, own in zip(b.column(0).to_pylist(), tokenizer(tokenizer_file).encode(b.column(1), end), strict=True):
+                keys.append(key)
+                ids.append(own)
+                size += len(own) // 4
+                if size >= SEGMENT_IDS:
+                    yield row()
+                    seq, keys, ids, size, before = seq + 1, [], [], 0, before + size
         if keys:
             yield row()
 
